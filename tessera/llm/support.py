@@ -39,7 +39,8 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges (a, b), any sortable type: rows (v, root), root the smallest v.
+    """Connected components of undirected edges (a, b), any sortable type: rows (v, root), the same
+    root, one of its vertices, for every vertex of a component.
 
     Each round points every vertex at the smallest of itself and its neighbours and contracts the edges
     along these pointers, until none is left.  For names in random order (digests) the rounds are expected to
@@ -64,9 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
     out = levels[0]
     for nxt in levels[1:]:
         step = nxt.select(F.col("v").alias("up"), F.col("up").alias("top"))
-        out = out.join(step, "up", "left").select("v", F.coalesce("top", "up").alias("up"))
-    low = out.groupBy("up").agg(F.min("v").alias("root"))
-    return out.join(low, "up").select("v", "root")
+        out = out.join(sized(step), "up", "left").select("v", F.coalesce("top", "up").alias("up"))
+    return out.select("v", F.col("up").alias("root"))
 
 
 def crc32_mod(column: Column, by: int) -> Column:
