@@ -7,20 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
+from .decontam import decontaminate
 from .neardup import near_duplicates
+from .substring import remove_repeats
+from .support import shared_folder
+from .tokens import read_shards, write_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as ids in binary shards, read back: where a document's ids begin, how many, and their crc32."""
+    folder = f"{shared_folder(spark)}/tokens"
+    write_shards(_table(spark, sf_dir, "documents"), folder, tokenizer_file(), eos=0)
+    return read_shards(spark, folder)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document lie in 10-word windows of benchmark items, and of which items."""
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 13-word passages that an earlier document has."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
+    "op2_decontamination": op2_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
 }
 
 SQL: dict[str, str] = {}

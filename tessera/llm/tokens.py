@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -36,14 +35,21 @@ from .support import shuffle_parts
 
 #: What stands for a null doc_id in a shard.
 NULL_ID = -(1 << 63)
-#: Runs that a task remembers: some 60 MB.
-REMEMBERED = 300_000
+#: Runs that a task remembers, in either of two generations: some 60 MB each.
+REMEMBERED = 400_000
 
-_TOUCHING = re.compile(r"\s\s|^\s|\s\Z|\x00")
+#: White space beyond space and newline, as UTF-8.
+_OTHER_SPACE = [bytes([b]) for b in (0, 9, 11, 12, 13, 28, 29, 30, 31)] + [c.encode() for c in "\x85\xa0\u1680\u202f\u205f\u3000"] + [b"\xe2\x80"]
+_TOUCHING = (b"  ", b" \n", b"\n ", b"\n\n")
+
+
+def _plain(text: bytes) -> bool:
+    """Single spaces and newlines between runs, and no other white space."""
+    return not (any(x in text for x in _TOUCHING) or any(x in text for x in _OTHER_SPACE) or text[:1] in (b" ", b"\n") or text[-1:] in (b" ", b"\n"))
 
 
 class Encoder:
-    """Texts to bytes of ids."""
+    """Texts (UTF-8) to bytes of ids."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,22 +58,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.runs: dict[str, bytes] = {"": b""}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            cut.append(None if _TOUCHING.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
-        if len(self.runs) > REMEMBERED:
-            self.runs = {"": b""}
-        new = list({run for runs in cut if runs for run in runs if run not in self.runs})
-        self.runs.update(zip(new, self._library(new), strict=True))
-        whole = iter(self._library([t for t, runs in zip(texts, cut, strict=True) if runs is None]))
-        get = self.runs.__getitem__
-        return [(next(whole) if runs is None else b"".join(map(get, runs))) + end for runs in cut]
+        self.newline = self._library(["\n"])[0]
+        #: Only a byte-level vocabulary whose newline is one id can have runs told apart in one call.
+        self.joined = len(self.newline) == 1
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, runs: set[bytes]) -> None:
+        """Encode unknown runs, joined by newlines, in a few calls."""
+        if len(self.new) + len(runs) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        known = {r: self.old[r] for r in runs if r in self.old}
+        self.new.update(known)
+        # a comma or stop after a letter or digit is an id of its own: learn what stands before it
+        tails = {r: r[:-1] for r in runs if len(r) > 2 and r[-1:] in (b",", b".") and r[-2:-1].isalnum() and r not in known}
+        todo = list((runs - known.keys() - tails.keys()) | {b for b in tails.values() if b not in self.new} | {b",", b"."} - self.new.keys())
+        for at in range(0, len(todo), 4096):
+            part = todo[at : at + 4096]
+            ids = self._library([b"\n".join(part).decode()])[0]
+            cuts = np.flatnonzero(ids == self.newline[0])
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            begin, end = np.append(0, cuts + 1) * width, np.append(cuts, len(ids)) * width
+            self.new.update(zip(part, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], strict=True))
+        self.new.update((r, self.new[b] + self.new[r[-1:]]) for r, b in tails.items())
+
+    def __call__(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        cut = [t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") if self.joined and _plain(t) else None for t in texts]
+        needed: set[bytes] = set()
+        for runs in cut:
+            needed.update(runs or ())
+        needed -= self.new.keys()
+        needed -= {b"\n", b""}
+        self._learn(needed) if len(self.new) + len(needed) <= REMEMBERED else self._learn({r for runs in cut if runs for r in runs} - {b"\n", b""})
+        self.new[b"\n"], self.new[b""] = self.newline.tobytes(), b""
+        whole = iter(self._library([t.decode() for t, runs in zip(texts, cut, strict=True) if runs is None]))
+        get = self.new.__getitem__
+        return [(next(whole).tobytes() if runs is None else b"".join(map(get, runs))) + end for runs in cut]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos: int) -> Iterator[pa.RecordBatch]:
@@ -86,7 +115,7 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos:
             out = store.open_output_stream(f"{root}/{name}.bin")
             end = np.array([eos], encode.dtype).tobytes()
         docs.append(batch.column(0).fill_null(NULL_ID).to_numpy())
-        texts = batch.column(1).fill_null("")
+        texts = batch.column(1).fill_null("").cast(pa.large_binary())
         _, off = K.binary_column(batch, "text")
         for lo, hi in K.slices(off):
             ids = encode(texts.slice(lo, hi - lo).to_pylist(), end)
