@@ -112,7 +112,7 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos:
         if encode is None:
             encode = Encoder(tokenizer)
             store.create_dir(root, recursive=True)
-            out = store.open_output_stream(f"{root}/{name}.bin")
+            out = store.open_output_stream(f"{root}/{name}.bin", compression=None)
             end = np.array([eos], encode.dtype).tobytes()
         docs.append(batch.column(0).fill_null(NULL_ID).to_numpy())
         texts = batch.column(1).fill_null("").cast(pa.large_binary())
@@ -126,7 +126,7 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos:
     out.close()
     off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<u8")
     for kind, data in (("off", off), ("doc", np.concatenate(docs).astype("<i8"))):
-        with store.open_output_stream(f"{root}/{name}.{kind}") as f:
+        with store.open_output_stream(f"{root}/{name}.{kind}", compression=None) as f:
             f.write(data.tobytes())
     row = {"shard": [number], "name": [name], "docs": [len(off) - 1], "ids": [int(off[-1])], "width": [encode.dtype.itemsize]}
     yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("width", pa.int32())]))
