@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
+from .ann import nearest
 from .decontam import decontaminate
 from .neardup import near_duplicates
+from .secretscan import scan_secrets
 from .substring import remove_repeats
 from .support import shared_folder
 from .tokens import read_shards, write_shards
+from .toxicity import score_toxicity
+from .warc import archived, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, equal payloads stored once, read back through the data source."""
+    folder = f"{shared_folder(spark)}/warc"
+    return archived(spark, folder, write_warc(_table(spark, sf_dir, "pages"), folder))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -47,11 +57,30 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every text, learnt from the labels that are not held out."""
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets in every text."""
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector with all others."""
+    return nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
+    "op4_warc": op4_warc,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {}
