@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +30,17 @@ PACK = 1 << 22
 #: The place of a null doc_id in the order: after all others, so that it's no one's source.
 LAST = (1 << 63) - 1
 
-_REPLY = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("th", pa.int64()), ("payload", pa.binary())])
-_STEP = np.dtype([("pos", "<u4"), ("src_pos", "<u4"), ("src", "<i8"), ("src_th", "<i8")])
+_DEALT = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("steps", pa.binary())])
+#: An edge of a document and its source.
+_STEP = np.dtype([("doc", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("src", "<i8"), ("src_th", "<i8"), ("src_pos", "<u4")])
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int(np.frombuffer(data[:8], "<i8")[0]), codec="zstd", asbytes=True)
 
 
 def _pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, th: np.ndarray) -> bytes:
@@ -41,13 +49,12 @@ def _pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, th:
     delta = np.diff(h, prepend=np.uint64(0))
     planes = [delta.view(np.uint8).reshape(-1, 8).T, place.astype("<u4").view(np.uint8).reshape(-1, 4).T, pos.astype("<u4").view(np.uint8).reshape(-1, 4).T]
     raw = b"".join(p.tobytes() for p in planes) + ids[used].tobytes() + th[used].tobytes()
-    head = np.array([len(h), len(used), len(raw)], "<i8").tobytes()
-    return head + pa.compress(raw, codec="zstd", asbytes=True)
+    return np.array([len(h), len(used)], "<i8").tobytes() + _squeeze(raw)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, m, size = np.frombuffer(data[:24], "<i8").tolist()
-    raw = np.frombuffer(pa.decompress(data[24:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    n, m = np.frombuffer(data[:16], "<i8").tolist()
+    raw = np.frombuffer(_expand(data[16:]), np.uint8)
     take = lambda at, width: np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T)
     h = np.cumsum(take(0, 8).view("<u8").ravel(), dtype=np.uint64)
     place, pos = take(8 * n, 4).view("<u4").ravel(), take(12 * n, 4).view("<u4").ravel()
@@ -72,21 +79,16 @@ def _resolve(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray) -
     return keep, order[again], source[again]
 
 
-def _replies(target: np.ndarray, source: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, th: np.ndarray) -> pa.RecordBatch:
-    """A row for each document with repeated edges."""
-    order = np.argsort(doc[target], kind="stable")
-    target, source = target[order], source[order]
+def _steps(target: np.ndarray, source: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, th: np.ndarray) -> np.ndarray:
     steps = np.empty(len(target), _STEP)
-    steps["pos"], steps["src_pos"], steps["src"], steps["src_th"] = pos[target], pos[source], ids[doc[source]], th[doc[source]]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc[target])) + 1, [len(target)]]).astype(np.int64) if len(target) else np.zeros(1, np.int64)
-    who = doc[target][cuts[:-1]] if len(target) else np.zeros(0, np.int64)
-    payload = pa.array([steps[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(who), -1, np.int32)), pa.array(ids[who]), pa.array(th[who]), payload], schema=_REPLY)
+    steps["doc"], steps["th"], steps["pos"] = ids[doc[target]], th[doc[target]], pos[target]
+    steps["src"], steps["src_th"], steps["src_pos"] = ids[doc[source]], th[doc[source]], pos[source]
+    return steps
 
 
 def _edges(batches: Iterator[pa.RecordBatch], window: int, keys: list[int]) -> Iterator[pa.RecordBatch]:
     """The distinct edges of each slice by partition, and what is repeated within the slice."""
-    parts, deal = len(keys), np.array(keys)
+    parts = len(keys)
     for batch in batches:
         all_ids, all_th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         buf, off = K.binary_column(batch, "text")
@@ -102,27 +104,21 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int, keys: list[int]) -> I
             h, doc, pos = h[order], doc[order], pos[order]
             ids, th = all_ids[lo:hi], all_th[lo:hi]
             keep, again, source = _resolve(h, doc, pos, ids)
-            if len(again):
-                local = _replies(again, source, doc, pos, ids, th)
-                # any partition does: spread them
-                part = deal[np.arange(local.num_rows) % parts].astype(np.int32)
-                yield local.set_column(0, _REPLY.field(0), pa.array(part))
+            # what is repeated within the slice is settled; any partition may hand it on
+            local = _squeeze(_steps(again, source, doc, pos, ids, th).tobytes()) if len(again) else None
             h, doc, pos = h[keep], doc[keep], pos[keep]
             cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
             rows = [(k, _pack(h[a:b], doc[a:b], pos[a:b], ids, th)) for k, a, b in zip(keys, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), none, none, pa.array([p for _, p in rows], pa.binary())], schema=_REPLY)
+            extra = [local] + [None] * (len(rows) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary()), pa.array(extra, pa.binary())], schema=_DEALT)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All edges of a partition: the repeated ones go back to their documents with their sources."""
-    packed = []
+def _meet(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.RecordBatch]:
+    """All edges of a partition: the repeated ones go on to their documents' partitions, with their sources."""
+    packed, steps = [], []
     for batch in batches:
-        mine = batch.column(1).is_null()
-        local = batch.filter(pc.invert(mine))
-        if local.num_rows:
-            yield local
-        packed += [_unpack(x) for x in batch.filter(mine).column(3).to_pylist()]
+        packed += [_unpack(x) for x in batch.column(1).to_pylist()]
+        steps += [np.frombuffer(_expand(x), _STEP) for x in batch.column(2).to_pylist() if x is not None]
     if not packed:
         return
     base = np.cumsum([0] + [len(p[3]) for p in packed])
@@ -134,34 +130,39 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(h)
     h, doc, pos = h[order], doc[order], pos[order]
     _, again, source = _resolve(h, doc, pos, ids)
-    if len(again):
-        yield _replies(again, source, doc, pos, ids, th)
+    found = np.concatenate([*steps, _steps(again, source, doc, pos, ids, th)])
+    if not len(found):
+        return
+    to = (K.mix(found["doc"].view(np.uint64) ^ K.mix(found["th"].view(np.uint64))) % np.uint64(len(keys))).astype(np.int64)
+    order = np.lexsort((found["pos"], found["th"], found["doc"], to))
+    found, cuts = found[order], np.searchsorted(to[order], np.arange(len(keys) + 1))
+    rows = [(k, _squeeze(found[a:b].tobytes())) for k, a, b in zip(keys, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([x for _, x in rows], pa.binary())], schema=_DEALT)
+
+
+_PATH = ["doc", "th", "start", "n", "src", "src_th", "src_start"]
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compaction: consecutive edges of a document whose sources are consecutive too become one path."""
-    from .neardup import _runs
-
-    columns: list[list] = [[] for _ in range(7)]
-    names = ["doc", "th", "start", "n", "src", "src_th", "src_start"]
-    done = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-    for run in _runs(batches, ["doc", "th"]):
-        steps = np.frombuffer(b"".join(run["payload"].to_pylist()), _STEP)
-        # an edge may have a source in its slice and one beyond: the smallest stands
-        steps = steps[np.lexsort((steps["src_pos"], steps["src_th"], steps["src"], steps["pos"]))]
-        steps = steps[np.concatenate([[True], steps["pos"][1:] != steps["pos"][:-1]])]
-        cut = np.ones(len(steps), bool)
-        cut[1:] = (steps["pos"][1:] != steps["pos"][:-1] + 1) | (steps["src_pos"][1:] != steps["src_pos"][:-1] + 1) | (steps["src"][1:] != steps["src"][:-1]) | (steps["src_th"][1:] != steps["src_th"][:-1])
-        at = np.flatnonzero(cut)
-        first = steps[at]
-        key = (run["doc"][0].as_py(), run["th"][0].as_py())
-        for c, values in zip(columns, ([key[0]] * len(at), [key[1]] * len(at), first["pos"], np.diff(np.append(at, len(steps))), first["src"], first["src_th"], first["src_pos"]), strict=True):
-            c.extend(values if isinstance(values, list) else values.tolist())
-        if len(columns[0]) > 8192:
-            yield done()
-            columns = [[] for _ in range(7)]
-    if columns[0]:
-        yield done()
+    steps = [np.frombuffer(_expand(x), _STEP) for batch in batches for x in batch.column(2).to_pylist()]
+    if not steps:
+        return
+    s = np.concatenate(steps)
+    # an edge may have a source in its slice and one beyond: the smallest stands
+    s = s[np.lexsort((s["src_pos"], s["src_th"], s["src"], s["pos"], s["th"], s["doc"]))]
+    last, here = s[:-1], s[1:]
+    new = np.ones(len(s), bool)
+    new[1:] = (here["pos"] != last["pos"]) | (here["th"] != last["th"]) | (here["doc"] != last["doc"])
+    s = s[new]
+    last, here = s[:-1], s[1:]
+    cut = np.ones(len(s), bool)
+    cut[1:] = (here["doc"] != last["doc"]) | (here["th"] != last["th"]) | (here["pos"] != last["pos"] + 1) | (here["src"] != last["src"]) | (here["src_th"] != last["src_th"]) | (here["src_pos"] != last["src_pos"] + 1)
+    at = np.flatnonzero(cut)
+    first = s[at]
+    columns = [first["doc"], first["th"], first["pos"], np.diff(at, append=len(s)), first["src"], first["src_th"], first["src_pos"]]
+    for lo in range(0, len(at), 8192):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 8192].astype(np.int64)) for c in columns], names=_PATH)
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +209,11 @@ def repeated_paths(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """
     parts = shuffle_parts(docs.sparkSession)
     keys = even_keys(docs, parts)
-    reply = "part int, doc long, th long, payload binary"
+    dealt = "part int, packed binary, steps binary"
     return (
-        docs.mapInArrow(lambda it: _edges(it, window, keys), reply)
-        .repartition(parts, "part").mapInArrow(_meet, reply)
-        .select("doc", "th", "payload").repartition(parts, "doc", "th").sortWithinPartitions("doc", "th")
-        .mapInArrow(_paths, "doc long, th long, start long, n long, src long, src_th long, src_start long")
+        docs.mapInArrow(lambda it: _edges(it, window, keys), dealt)
+        .repartition(parts, "part").mapInArrow(lambda it: _meet(it, keys), dealt)
+        .repartition(parts, "part").mapInArrow(_paths, ", ".join(f"{c} long" for c in _PATH))
     )
 
 
