@@ -35,8 +35,8 @@ from .support import shuffle_parts
 
 #: What stands for a null doc_id in a shard.
 NULL_ID = -(1 << 63)
-#: Runs that a task remembers, in either of two generations: some 60 MB each.
-REMEMBERED = 400_000
+#: Runs that a task remembers, in either of two generations: some 90 MB each.
+REMEMBERED = 600_000
 
 #: White space beyond space and newline, as UTF-8.
 _OTHER_SPACE = [bytes([b]) for b in (0, 9, 11, 12, 13, 28, 29, 30, 31)] + [c.encode() for c in "\x85\xa0\u1680\u202f\u205f\u3000"] + [b"\xe2\x80"]
@@ -99,6 +99,16 @@ class Encoder:
         return [(next(whole).tobytes() if runs is None else b"".join(map(get, runs))) + end for runs in cut]
 
 
+#: A worker's tasks share what they have learnt.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     number = task.partitionId()
@@ -110,7 +120,7 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos:
     out = None
     for batch in batches:
         if encode is None:
-            encode = Encoder(tokenizer)
+            encode = encoder(tokenizer)
             store.create_dir(root, recursive=True)
             out = store.open_output_stream(f"{root}/{name}.bin", compression=None)
             end = np.array([eos], encode.dtype).tobytes()
