@@ -1,15 +1,85 @@
-"""The corpus pipeline: its stages are added as their operators are built."""
+"""From raw documents to token shards: toxicity, near-dedup, decontamination, mixing, tokens.
+
+Each stage takes the documents that its predecessor kept; ``run`` writes them between stages and reads them again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.decontam import decontaminate
+from tessera.llm.mixing import copies, mix
+from tessera.llm.neardup import near_duplicates
+from tessera.llm.queries import LANGUAGES, labelled_languages, tokenizer_file
+from tessera.llm.support import materialize, shared_folder, sized
+from tessera.llm.tokens import read_shards, write_shards
+from tessera.llm.toxicity import score_toxicity
+from tessera.shipping import ship
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` whose ids are not in ``rejected`` (doc_id); documents without an id stay."""
+    return docs.join(sized(materialize(rejected.distinct(), "rejected")), "doc_id", "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator does not reject."""
+    scores = score_toxicity(docs, _read(spark, sf_dir, "labels"))
+    return _without(docs, scores.where("predicted = 1").select("doc_id"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest doc_id."""
+    ship(spark)
+    return _without(docs, near_duplicates(docs).where("NOT kept").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    hits = decontaminate(docs, _read(spark, sf_dir, "benchmark"))
+    return _without(docs, hits.where("contaminated").select("doc_id"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as brings the languages' tokens to their target shares.
+
+    Rates are fitted with a floor of 1: no document is lost, and those of scarce languages come more than once.
+    """
+    labels = _read(spark, sf_dir, "labels")
+    mixed = mix(docs, labelled_languages(docs, labels), LANGUAGES, floor=1.0)
+    times = F.explode(F.sequence(F.lit(1), copies(F.col("_mix.rate"), F.col("doc_id")))).alias("_time")
+    return mixed.select(*docs.columns, times).drop("_time")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards, read back: where each document's ids begin, how many there are, and their crc32."""
+    folder = f"{shared_folder(ship(spark))}/tokens"
+    write_shards(docs, folder, tokenizer_file())
+    return read_shards(spark, folder)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("tokens", tokens),
+]
 
-STAGES: list = []
+#: SQL can't express the trained score, nor the tokenizer: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents of ``sf_dir``; every stage's result is written to the shared folder and read again."""
+    docs = _read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .ann import nearest
 from .decontam import decontaminate
+from .mixing import mix
 from .neardup import near_duplicates
+from .quality import score_quality
 from .secretscan import scan_secrets
 from .substring import remove_repeats
 from .support import shared_folder
@@ -41,6 +44,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Target shares of tokens by language.
+LANGUAGES = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixing query: the language of the documents that ``labels`` names."""
+    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", docs["lang"].alias("domain"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its tokens, its soft membership in the languages, and the rate that mixes them to the targets."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    mixed = mix(docs, labelled_languages(docs, labels), LANGUAGES, keep=["doc_id"])
+    parts = [F.round(F.col("_mix.posterior")[i], 6).alias(f"p_{d}") for i, d in enumerate(sorted(LANGUAGES))]
+    return mixed.select("doc_id", F.col("_mix.tokens").alias("tokens"), *parts, F.round("_mix.rate", 6).alias("rate"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record for every page, equal payloads stored once, read back through the data source."""
     folder = f"{shared_folder(spark)}/warc"
@@ -62,6 +82,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every text, learnt from the labels that are not held out."""
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of the secrets in every text."""
     return scan_secrets(_table(spark, sf_dir, "documents"))
@@ -75,10 +100,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
+    "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
