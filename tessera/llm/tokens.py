@@ -35,21 +35,42 @@ from .support import shuffle_parts
 
 #: What stands for a null doc_id in a shard.
 NULL_ID = -(1 << 63)
-#: Runs that a task remembers, in either of two generations: some 90 MB each.
-REMEMBERED = 600_000
-
-#: White space beyond space and newline, as UTF-8.
-_OTHER_SPACE = [bytes([b]) for b in (0, 9, 11, 12, 13, 28, 29, 30, 31)] + [c.encode() for c in "\x85\xa0\u1680\u202f\u205f\u3000"] + [b"\xe2\x80"]
-_TOUCHING = (b"  ", b" \n", b"\n ", b"\n\n")
-
-
-def _plain(text: bytes) -> bool:
-    """Single spaces and newlines between runs, and no other white space."""
-    return not (any(x in text for x in _TOUCHING) or any(x in text for x in _OTHER_SPACE) or text[:1] in (b" ", b"\n") or text[-1:] in (b" ", b"\n"))
+#: Runs that a task remembers, in either of two generations: some 150 MB each.
+REMEMBERED = 900_000
+
+#: Bytes of text whose runs are told apart together.
+PACK = 1 << 23
+
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_BREAKS = K.byte_table([10, 32])
+#: White space beyond space and newline: bytes, and what is longer as UTF-8.
+_OTHER = K.byte_table([0, 9, 11, 12, 13, 28, 29, 30, 31])
+_LONG_SPACES = [c.encode() for c in "\x85\xa0\u1680\u202f\u205f\u3000"] + [b"\xe2\x80"]
+
+
+def _odd(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Documents in which white space touches white space or an end of the text, or is other than space and newline."""
+    odd = np.zeros(len(off) - 1, bool)
+    if not len(buf):
+        return odd
+    breaks = _BREAKS[buf]
+    beside = np.append(breaks[1:], True)
+    ends = off[1:][np.diff(off) > 0] - 1
+    starts = off[:-1][np.diff(off) > 0]
+    beside[ends] = True
+    at = [np.flatnonzero(breaks & beside), starts[breaks[starts]], np.flatnonzero(_OTHER[buf])]
+    raw = buf.tobytes()
+    for space in _LONG_SPACES:
+        found = raw.find(space)
+        while found >= 0:
+            at.append(np.array([found]))
+            found = raw.find(space, found + 1)
+    odd[np.searchsorted(off, np.concatenate(at), "right") - 1] = True
+    return odd
 
 
 class Encoder:
-    """Texts (UTF-8) to bytes of ids."""
+    """Texts to ids, a slice of documents at a time."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,7 +80,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self._library(["\n"])[0]
-        #: Only a byte-level vocabulary whose newline is one id can have runs told apart in one call.
+        #: Only with a byte-level vocabulary whose newline is one id can runs be told apart in one call.
         self.joined = len(self.newline) == 1
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -67,36 +88,73 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, runs: set[bytes]) -> None:
-        """Encode unknown runs, joined by newlines, in a few calls."""
-        if len(self.new) + len(runs) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        known = {r: self.old[r] for r in runs if r in self.old}
+    def _learn(self, runs: list[bytes]) -> None:
+        """Encode runs that this generation doesn't have, joined by newlines, in a few calls."""
+        unknown, old = runs, self.old
+        known = {r: old[r] for r in unknown if r in old} if old else {}
         self.new.update(known)
-        # a comma or stop after a letter or digit is an id of its own: learn what stands before it
-        tails = {r: r[:-1] for r in runs if len(r) > 2 and r[-1:] in (b",", b".") and r[-2:-1].isalnum() and r not in known}
-        todo = list((runs - known.keys() - tails.keys()) | {b for b in tails.values() if b not in self.new} | {b",", b"."} - self.new.keys())
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
+        # punctuation at the end of a run, after a letter or digit, is encoded apart from it: learn either once
+        tails: dict[bytes, tuple[bytes, bytes]] = {}
+        for r in unknown:
+            base = r.rstrip(_PUNCTUATION)
+            if len(base) < len(r) and len(base) > 1 and base[-1:].isalnum() and r not in known:
+                tails[r] = (base, r[len(base) :])
+        todo = list(({r for r in unknown if r not in tails} | {x for pair in tails.values() for x in pair}) - self.new.keys())
+        width = self.dtype.itemsize
+        for at in range(0, len(todo), 8192):
+            part = todo[at : at + 8192]
             ids = self._library([b"\n".join(part).decode()])[0]
             cuts = np.flatnonzero(ids == self.newline[0])
-            raw, width = ids.tobytes(), self.dtype.itemsize
+            raw = ids.tobytes()
             begin, end = np.append(0, cuts + 1) * width, np.append(cuts, len(ids)) * width
             self.new.update(zip(part, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], strict=True))
-        self.new.update((r, self.new[b] + self.new[r[-1:]]) for r, b in tails.items())
-
-    def __call__(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        cut = [t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") if self.joined and _plain(t) else None for t in texts]
-        needed: set[bytes] = set()
-        for runs in cut:
-            needed.update(runs or ())
-        needed -= self.new.keys()
-        needed -= {b"\n", b""}
-        self._learn(needed) if len(self.new) + len(needed) <= REMEMBERED else self._learn({r for runs in cut if runs for r in runs} - {b"\n", b""})
-        self.new[b"\n"], self.new[b""] = self.newline.tobytes(), b""
-        whole = iter(self._library([t.decode() for t, runs in zip(texts, cut, strict=True) if runs is None]))
-        get = self.new.__getitem__
-        return [(next(whole).tobytes() if runs is None else b"".join(map(get, runs))) + end for runs in cut]
+        self.new.update((r, self.new[base] + self.new[tail]) for r, (base, tail) in tails.items())
+
+    def __call__(self, buf: np.ndarray, off: np.ndarray, eos: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, each with ``eos`` at its end, and how many each has."""
+        n = len(off) - 1
+        odd = _odd(buf, off) if self.joined else np.ones(n, bool)
+        words = K.Words(buf, off, _BREAKS, lower=False)
+        doc = np.repeat(np.arange(n), np.diff(words.doc))
+        plain = ~odd[doc]
+        doc, start, end, h = doc[plain], words.start[plain], words.end[plain], words.hash[plain]
+        # a run's leading space is part of it; a newline before it is an id of its own
+        inner = start > off[doc]
+        before = np.where(inner, buf[np.maximum(start - 1, 0)], 0)
+        space, line = before == 32, (before == 10).astype(np.int64)
+        _, first, which = np.unique(h ^ np.where(space, np.uint64(0x5851F42D4C957F2D), np.uint64(0)), return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        runs = [raw[a:b] for a, b in zip((start[first] - space[first]).tolist(), end[first].tolist(), strict=True)]
+        ids = list(map(self.new.get, runs))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if len(self.new) + len(missing) > REMEMBERED:
+            # a new generation begins; what it needs of the last one is found there
+            self.old, self.new = self.new, {}
+        self._learn([runs[i] for i in missing])
+        for i in missing:
+            ids[i] = self.new[runs[i]]
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        count = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        begin = np.cumsum(count) - count
+        whole = dict(zip(np.flatnonzero(odd).tolist(), self._library([raw[off[d] : off[d + 1]].decode() for d in np.flatnonzero(odd).tolist()]), strict=True))
+
+        mine = count[which] if len(which) else np.zeros(0, np.int64)
+        sizes = np.bincount(doc, mine + line, n).astype(np.int64) + 1
+        for d, x in whole.items():
+            sizes[d] += len(x)
+        at = np.cumsum(sizes) - sizes
+        out = np.full(int(sizes.sum()), eos, self.dtype)
+        for d, x in whole.items():
+            out[at[d] : at[d] + len(x)] = x
+        if len(doc):
+            # where each run goes: its document's place, and what the runs before it in the document take
+            run = np.cumsum(mine + line) - mine - line
+            lead = np.searchsorted(doc, np.arange(n))
+            to = at[doc] + run - run[lead[doc]]
+            out[to[line == 1]] = self.newline[0]
+            step = np.arange(int(mine.sum())) - np.repeat(np.cumsum(mine) - mine, mine)
+            out[np.repeat(to + line, mine) + step] = flat[np.repeat(begin[which], mine) + step]
+        return out, sizes
 
 
 #: A worker's tasks share what they have learnt.
@@ -123,14 +181,12 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos:
             encode = encoder(tokenizer)
             store.create_dir(root, recursive=True)
             out = store.open_output_stream(f"{root}/{name}.bin", compression=None)
-            end = np.array([eos], encode.dtype).tobytes()
         docs.append(batch.column(0).fill_null(NULL_ID).to_numpy())
-        texts = batch.column(1).fill_null("").cast(pa.large_binary())
-        _, off = K.binary_column(batch, "text")
-        for lo, hi in K.slices(off):
-            ids = encode(texts.slice(lo, hi - lo).to_pylist(), end)
-            sizes.append(np.array([len(x) for x in ids], np.int64) // encode.dtype.itemsize)
-            out.write(b"".join(ids))
+        buf, off = K.binary_column(batch, "text")
+        for lo, hi in K.slices(off, PACK):
+            ids, counts = encode(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], eos)
+            sizes.append(counts)
+            out.write(ids.tobytes())
     if out is None:
         return
     out.close()
