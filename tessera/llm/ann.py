@@ -3,9 +3,9 @@
 A vector's residual to the mean is rotated at random and kept as the signs of its coordinates (packed bits)
 with two scalars: the residual's length and its unit vector's inner product with the code's.  A query's product with the
 residual is estimated from the bits and the scalars without bias, with a deviation that the scalars give; what is
-added to either side is ``bounds`` such deviations.  A block of vectors is searched for a block of queries at a time: a
-vector is reranked, with the original vectors in double precision, if its upper bound reaches the k-th best lower
-bound or exact product so far.
+added to an estimate is ``bounds`` such deviations.  A block of vectors is searched for a block of queries at a time: the
+best estimates are computed exactly and set a mark, the k-th of them; a vector is reranked, with the original vectors
+in double precision, if its upper bound reaches the mark.
 
 Queries and vectors meet as pairs of packed blocks of bounded size; each pair hands on k rows for each query.
 The rotation is fixed by a seed, the mean is taken over all vectors.
@@ -116,6 +116,14 @@ def _vectors(body: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(body[1:], np.float32 if body[:1] == b"f" else np.float64).astype(np.float64).reshape(-1, dim)
 
 
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest, and of all that rounding may have put below them."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    mark = np.partition(score, len(score) - k)[len(score) - k]
+    return np.flatnonzero(score >= mark - 1e-9 * max(1.0, abs(mark)))
+
+
 def _searched(batches: Iterator[pa.RecordBatch], means: dict[int, list[float]], k: int, bounds: float) -> Iterator[pa.RecordBatch]:
     """The k nearest of each query of a block among the vectors of another."""
     for batch in batches:
@@ -127,18 +135,21 @@ def _searched(batches: Iterator[pa.RecordBatch], means: dict[int, list[float]],
             bits = np.frombuffer(row["codes"][: n * width], np.uint8).reshape(n, width)
             scalars = np.frombuffer(row["codes"][n * width :])
             out: list[tuple[int, int, float]] = []
+            probe = min(n, max(4 * k, 64))
             for at in range(0, len(qids), 128):
                 about, spread = estimate(bits, scalars[:n], scalars[n:], queries[at : at + 128], mean)
-                reach = spread * np.float32(bounds) + np.float32(1e-5)
-                low, high = about - reach, about + reach
+                high = about + (spread * np.float32(bounds) + np.float32(1e-5))
                 for j in range(len(about)):
-                    q = int(qids[at + j])
-                    if n > k + 1:  # the query itself may be one of them
-                        near = np.flatnonzero(high[j] >= np.partition(low[j], n - k - 1)[n - k - 1])
+                    q, query = int(qids[at + j]), queries[at + j]
+                    if n > probe:
+                        # exact products of the best estimates set the mark; who may reach it is reranked
+                        first = vectors[np.argpartition(about[j], n - probe)[n - probe :]] @ query
+                        near = np.flatnonzero(high[j] >= np.partition(first, probe - k - 1)[probe - k - 1] - 1e-6)
                     else:
                         near = np.arange(n)
-                    score = products(vectors[near], queries[at + j])
-                    order = [o for o in np.lexsort((ids[near], -score))[: k + 1].tolist() if ids[near[o]] != q][:k]
+                    near = near[_top(vectors[near] @ query, k + 1)]  # the query itself may be one of them
+                    score = products(vectors[near], query)
+                    order = [o for o in np.lexsort((ids[near], -score)).tolist() if ids[near[o]] != q][:k]
                     out += [(q, int(ids[near[o]]), float(score[o])) for o in order]
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
