@@ -188,6 +188,6 @@ def config_label(strategy: Column, mode: Column, rerank: Column) -> Column:
 def format_bytes(size: Column) -> Column:
     return (
         F.when(size < 1024, F.format_string("%d B", size.cast("long")))
-        .when(size < 1024 * 1024, F.format_string("%.1f KiB", size / 1024.0))
-        .otherwise(F.format_string("%.1f MiB", size / (1024.0 * 1024.0)))
+        .when(size < 1024 * 1024, F.format_string("%.1f KiB", F.bround(size / 1024.0, 1)))
+        .otherwise(F.format_string("%.1f MiB", F.bround(size / (1024.0 * 1024.0), 1)))
     )

@@ -1,6 +1,6 @@
 """Chunking: spans of a text by token windows, headers or meaning, under a cap.
 
-All spans are computed within a row, by array functions: no shuffle, whatever the corpus' size.  Spans carry character
+Spans are computed within a row, by array functions: no shuffle, whatever the corpus' size.  They carry character
 offsets (code points) into the text of their row.
 """
 
@@ -17,74 +17,75 @@ from ..functions import vectors as V
 SIZE, OVERLAP, CAP = 400, 80, 512
 PERCENTILE = 95
 
-_SPAN = "array<struct<char_start:int,char_end:int,token_count:int,text:string>>"
+def _spans(docs: DataFrame, text: str, *, cap: int | None, size: int, overlap: int, offset: Column | None = None) -> DataFrame:
+    """``docs`` with a row for each span of a text: see windows() and capped().
 
-
-def _span(start: Column, end: Column, count: Column, text: Column) -> Column:
-    return F.struct(start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), count.cast("int").alias("token_count"), text.alias("text"))
-
-
-def windows(text: Column, *, size: int = SIZE, overlap: int = OVERLAP, offset: Column | int = 0) -> Column:
-    """Token windows of a text: all of it if it has ``size`` tokens or fewer; none if it has no token.
-
-    The first begins where the text does and the last ends where it does; the next begins ``size - overlap`` tokens on.
+    The tokens are a column of their own, so that they are found once, not once for each window.
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("window size must be positive and overlap within it")
-    step = size - overlap
-    offset = F.lit(offset) if isinstance(offset, int) else offset
-    parts, n = T.pieces(text), F.size(T.pieces(text))
-    lead = T.leading_space(text)
-    numbers = F.sequence(F.lit(0), F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int"))
+    if cap is not None and size > cap:
+        raise ValueError("window size must not exceed the cap")
+    step, body = size - overlap, F.coalesce(F.col(text), F.lit(""))
+    base = F.lit(0) if offset is None else offset
+    held = docs.withColumn("_pieces", T.pieces(body)).withColumn("_lead", T.leading_space(body)).withColumn("_base", base)
+    parts, n, lead, base = F.col("_pieces"), F.size("_pieces"), F.col("_lead"), F.col("_base")
+    whole = n <= (size if cap is None else cap)
+    numbers = F.sequence(F.lit(0), F.when(whole, 0).otherwise(F.ceil((n - size) / step)).cast("int"))
 
     def one(i: Column) -> Column:
         first = i * step
-        last = F.least(first + size, n)
+        last = F.when(whole, n).otherwise(F.least(first + size, n))
         start = F.when(i == 0, 0).otherwise(lead + T.joined_length(parts, F.lit(1), first))
-        body = F.array_join(F.slice(parts, F.lit(1), last), "")
-        end = F.when(last == n, F.length(text)).otherwise(lead + F.length(F.regexp_replace(body, r"(?U)\s+$", "")))
-        return _span(offset + start, offset + end, last - first, F.substring(text, start + 1, end - start))
+        upto = F.array_join(F.slice(parts, F.lit(1), last), "")
+        end = F.when(last == n, F.length(text)).otherwise(lead + F.length(F.regexp_replace(upto, r"(?U)\s+$", "")))
+        return F.struct((base + start).cast("int").alias("char_start"), (base + end).cast("int").alias("char_end"), (last - first).cast("int").alias("token_count"), F.substring(F.col(text), start + 1, end - start).alias("chunk"))
 
-    return F.when((n > 0) & text.isNotNull(), F.transform(numbers, one)).otherwise(F.array().cast(_SPAN))
+    spans = held.where(n > 0).select("*", F.posexplode(F.transform(numbers, one)).alias("local_index", "_s"))
+    return spans.select(*docs.columns, "local_index", "_s.char_start", "_s.char_end", "_s.token_count", "_s.chunk")
 
 
-def capped(text: Column, *, cap: int = CAP, size: int = SIZE, overlap: int = OVERLAP, offset: Column | int = 0) -> Column:
-    """One span if the text has ``cap`` tokens or fewer, else its windows; none if it is blank."""
-    if size > cap:
-        raise ValueError("window size must not exceed the cap")
-    offset = F.lit(offset) if isinstance(offset, int) else offset
-    n = T.token_count(text)
-    whole = F.array(_span(offset, offset + F.length(text), n, text))
-    return F.when(text.isNull() | (n == 0), F.array().cast(_SPAN)).when(n <= cap, whole).otherwise(windows(text, size=size, overlap=overlap, offset=offset))
+def windows(docs: DataFrame, text: str = "text", *, size: int = SIZE, overlap: int = OVERLAP, offset: Column | None = None) -> DataFrame:
+    """Token windows: all of a text if it has ``size`` tokens or fewer; none if it has no token.
+
+    The first begins where the text does and the last ends where it does; the next begins ``size - overlap`` tokens on.
+    ``docs`` gets local_index, char_start, char_end, token_count and chunk; offsets count from ``offset``.
+    """
+    return _spans(docs, text, cap=None, size=size, overlap=overlap, offset=offset)
 
 
-def header_bounds(text: Column, *, most: int = T.MAX_HEADER_CHARS) -> Column:
-    """Starts of structural spans: 0, and each header line that longer prose follows before any other prose."""
-    lines = F.split(text, "\n")
-    marked = F.transform(lines, lambda line: F.struct(F.length(line).alias("n"), T.strip(line).alias("bare"), T.looks_like_header(line, most).alias("head")))
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
+def capped(docs: DataFrame, text: str = "text", *, cap: int = CAP, size: int = SIZE, overlap: int = OVERLAP, offset: Column | None = None) -> DataFrame:
+    """One span if a text has ``cap`` tokens or fewer, else its windows; none if it is blank."""
+    return _spans(docs, text, cap=cap, size=size, overlap=overlap, offset=offset)
 
-    def start(i: Column) -> Column:
-        before = F.slice(marked, F.lit(1), i)
-        return F.aggregate(before, F.lit(0), lambda a, x: a + x["n"] + 1)
 
-    def kept(i: Column) -> Column:
-        after = F.filter(F.slice(marked, i + 2, F.size(lines)), lambda x: (x["bare"] != "") & ~x["head"])
-        here = F.get(marked, i)
-        return here["head"] & F.coalesce(F.length(F.get(after, F.lit(0))["bare"]) > F.length(here["bare"]), F.lit(False))
+def header_marks(docs: DataFrame, text: str = "text", *, most: int = T.MAX_HEADER_CHARS) -> DataFrame:
+    """``docs`` with _heads: for each line its offset, whether it looks like a header, and whether it is kept as one:
+    longer prose follows it before any other prose."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.struct(F.length(line).alias("n"), F.length(T.strip(line)).alias("bare"), T.looks_like_header(line, most).alias("head")))
+    marked = docs.withColumn("_lines", lines)
 
-    starts = F.transform(F.filter(places, kept), start)
-    first = F.coalesce(F.get(starts, F.lit(0)), F.lit(0))
-    leads = (F.size(starts) == 0) | ((first > 0) & (T.strip(F.substring(text, F.lit(1), first)) != ""))
-    return F.when(leads, F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
+    def mark(i: Column) -> Column:
+        here = F.get("_lines", i)
+        prose = F.filter(F.slice("_lines", i + 2, F.size("_lines")), lambda x: (x["bare"] > 0) & ~x["head"])
+        longer = here["head"] & F.coalesce(F.get(prose, F.lit(0))["bare"] > here["bare"], F.lit(False))
+        return F.struct(F.aggregate(F.slice("_lines", F.lit(1), i), F.lit(0), lambda a, x: a + x["n"] + 1).alias("offset"), here["head"].alias("head"), longer.alias("kept"))
 
+    return marked.withColumn("_heads", F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), mark)).drop("_lines")
 
-def structural_spans(text: Column, *, most: int = T.MAX_HEADER_CHARS) -> Column:
-    """(char_start, char_end) from each start to the next; none for a blank text."""
-    starts = header_bounds(text, most=most)
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.length(text)))
-    spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("char_start"), b.alias("char_end")))
-    return F.when(F.coalesce(T.strip(text), F.lit("")) == "", F.array().cast("array<struct<char_start:int,char_end:int>>")).otherwise(spans)
+
+def structural_spans(docs: DataFrame, text: str = "text", *, most: int = T.MAX_HEADER_CHARS) -> DataFrame:
+    """``docs`` with a row for each stretch from a kept header, or from the text's beginning, to the next: char_start and
+    char_end; what stands before the first header counts if it isn't blank; none for a blank text."""
+    starts = F.transform(F.filter("_heads", lambda h: h["kept"]), lambda h: h["offset"])
+    held = header_marks(docs, text, most=most).withColumn("_starts", starts).drop("_heads")
+    first = F.coalesce(F.get("_starts", F.lit(0)), F.lit(0))
+    leads = (F.size("_starts") == 0) | ((first > 0) & (T.strip(F.substring(F.col(text), F.lit(1), first)) != ""))
+    held = held.withColumn("_starts", F.when(leads, F.concat(F.array(F.lit(0)), F.col("_starts"))).otherwise(F.col("_starts")))
+    ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(F.length(text)))
+    spans = F.zip_with("_starts", ends, lambda a, b: F.struct(a.alias("char_start"), b.alias("char_end")))
+    out = held.where(T.strip(F.coalesce(F.col(text), F.lit(""))) != "").select("*", F.explode(spans).alias("_s"))
+    return out.select(*docs.columns, "_s.char_start", "_s.char_end")
 
 
 def number(chunks: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -93,37 +94,33 @@ def number(chunks: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def fixed(docs: DataFrame, text: str = "text", *, cap: int = CAP, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` with a row for each token window: local_index, char_start, char_end, token_count, chunk."""
-    spans = windows(F.col(text), size=size, overlap=overlap)
-    return _exploded(docs, spans).where(F.col("token_count") <= cap)
+    """``docs`` with a row for each token window, none above the cap."""
+    return windows(docs, text, size=size, overlap=overlap).where(F.col("token_count") <= cap)
 
 
 def structural(docs: DataFrame, text: str = "text", *, cap: int = CAP, size: int = SIZE, overlap: int = OVERLAP, most: int = T.MAX_HEADER_CHARS) -> DataFrame:
     """``docs`` with a row for each capped header span."""
-    parts = docs.withColumn("_part", F.explode(structural_spans(F.col(text), most=most)))
-    return _capped_parts(parts, text, cap, size, overlap)
-
-
-def _capped_parts(parts: DataFrame, text: str, cap: int, size: int, overlap: int) -> DataFrame:
-    a, b = F.col("_part.char_start"), F.col("_part.char_end")
-    body = F.substring(F.col(text), a + 1, b - a)
-    spans = parts.withColumn("_body", body)
-    return _exploded(spans, capped(F.col("_body"), cap=cap, size=size, overlap=overlap, offset=F.col("_part.char_start"))).drop("_part", "_body")
+    return _capped_parts(docs, structural_spans(docs, text, most=most), text, cap, size, overlap)
 
 
-def _exploded(docs: DataFrame, spans: Column) -> DataFrame:
-    return docs.select("*", F.posexplode(spans).alias("local_index", "_s")).select(*docs.columns, "local_index", F.col("_s.char_start").alias("char_start"), F.col("_s.char_end").alias("char_end"), F.col("_s.token_count").alias("token_count"), F.col("_s.text").alias("chunk"))
+def _capped_parts(docs: DataFrame, parts: DataFrame, text: str, cap: int, size: int, overlap: int) -> DataFrame:
+    held = parts.select(*docs.columns, F.col("char_start").alias("_from"), F.substring(F.col(text), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("_body"))
+    spans = capped(held, "_body", cap=cap, size=size, overlap=overlap, offset=F.col("_from"))
+    return spans.drop("_from", "_body")
 
 
-def sentence_spans(text: Column) -> Column:
-    """(char_start, char_end) of sentences: cut at white space after . ! ? before a capital, quote or parenthesis."""
+def sentence_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a row for each sentence: sentence_index, char_start, char_end; cut at the white space that follows
+    . ! ? and precedes a capital, quote or parenthesis; blank pieces are dropped."""
     boundary = r"(?<=[.!?])(\s+)(?=[A-Z(\"'])"
-    cut = F.split(F.regexp_replace(text, boundary, "\x01$1\x02"), "\x02")
     # a piece is its sentence, a mark and the space after it
-    marked = F.transform(cut, lambda p: F.struct(F.length(F.regexp_replace(p, "\x01.*$", "")).alias("n"), F.length(F.replace(p, F.lit("\x01"), F.lit(""))).alias("all"), (T.strip(F.regexp_replace(p, "(?s)\x01.*$", "")) != "").alias("some")))
-    places = F.transform(F.sequence(F.lit(0), F.size(cut) - 1), lambda i: F.struct(F.aggregate(F.slice(marked, F.lit(1), i), F.lit(0), lambda a, x: a + x["all"]).alias("at"), F.get(marked, i).alias("m")))
-    spans = F.transform(F.filter(places, lambda p: p["m"]["some"]), lambda p: F.struct(p["at"].alias("char_start"), (p["at"] + p["m"]["n"]).alias("char_end")))
-    return F.when(F.coalesce(T.strip(text), F.lit("")) == "", F.array().cast("array<struct<char_start:int,char_end:int>>")).otherwise(spans)
+    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), boundary, "\x01$1\x02"), "\x02")
+    piece = lambda p: F.struct(F.length(F.substring_index(p, "\x01", 1)).alias("n"), F.length(F.replace(p, F.lit("\x01"), F.lit(""))).alias("all"), (T.strip(p) != "").alias("some"))
+    held = docs.withColumn("_cut", F.transform(cut, piece))
+    place = lambda i: F.struct(F.aggregate(F.slice("_cut", F.lit(1), i), F.lit(0), lambda a, x: a + x["all"]).alias("at"), F.get("_cut", i).alias("m"))
+    held = held.withColumn("_places", F.filter(F.transform(F.sequence(F.lit(0), F.size("_cut") - 1), place), lambda p: p["m"]["some"])).drop("_cut")
+    out = held.select("*", F.posexplode("_places").alias("sentence_index", "_s"))
+    return out.select(*docs.columns, "sentence_index", F.col("_s.at").alias("char_start"), (F.col("_s.at") + F.col("_s.m.n")).alias("char_end"))
 
 
 def change_points(rows: DataFrame, key: list[str], order: list[str], vector: str, *, percentile: float = PERCENTILE) -> DataFrame:
@@ -143,8 +140,8 @@ def semantic(docs: DataFrame, key: str, embed: Callable[[DataFrame], DataFrame],
 
     ``embed`` adds a column ``vector`` to sentences (``key``, sentence_index, sentence).
     """
-    cut = docs.select(key, F.col(text).alias("_t"), F.posexplode(sentence_spans(F.col(text))).alias("sentence_index", "_s"))
-    cut = cut.withColumn("sentence", T.strip(F.substring("_t", F.col("_s.char_start") + 1, F.col("_s.char_end") - F.col("_s.char_start")))).drop("_t")
+    cut = sentence_spans(docs.select(key, F.col(text).alias("_t")), "_t")
+    cut = cut.withColumn("sentence", T.strip(F.substring("_t", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))).drop("_t")
     grouped = change_points(embed(cut), [key], ["sentence_index"], "vector", percentile=percentile)
-    parts = grouped.groupBy(key, "group").agg(F.struct(F.min("_s.char_start").alias("char_start"), F.max("_s.char_end").alias("char_end")).alias("_part"))
-    return _capped_parts(docs.join(parts.drop("group"), key), text, cap, size, overlap)
+    parts = grouped.groupBy(key, "group").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    return _capped_parts(docs, docs.join(parts.drop("group"), key), text, cap, size, overlap)

@@ -1,11 +1,548 @@
-"""The registered queries of the retrieval operators and their SQL."""
+"""The registered queries of the retrieval operators and their SQL.
+
+Each query has its SQL beside it.  Documents stand in for sections, benchmark passages for queries and gold quotes,
+embeddings for chunk vectors, orders for filings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as T
+from ..operators import chunking as C
+from ..operators import evaluation as E
+from ..operators import retrieval as R
+from ..operators import store as S
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+#: Figures in every SQL text are the operators' defaults.
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_SMALL = ", ".join(f"'{w}'" for w in T.SMALL_WORDS)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", *more)
+
+
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+# ---------------------------------------------------------------- text and chunks
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '\S+\s*') AS pieces, length(regexp_extract(text, '^\s*')) AS lead FROM documents),
+n AS (SELECT *, len(pieces) AS n FROM p WHERE len(pieces) > 0),
+w AS (SELECT *, unnest(range(0, CASE WHEN n <= 400 THEN 1 ELSE CAST(ceil((n - 400) / 320.0) AS BIGINT) + 1 END)) AS i FROM n),
+e AS (SELECT *, i * 320 AS s, least(i * 320 + 400, n) AS e FROM w)
+SELECT doc_id, CAST(i AS INT) AS local_index,
+  CAST(CASE WHEN s = 0 THEN 0 ELSE lead + length(array_to_string(pieces[1:s], '')) END AS INT) AS char_start,
+  CAST(CASE WHEN e = n THEN length(text) ELSE lead + length(regexp_replace(array_to_string(pieces[1:e], ''), '\s+$', '')) END AS INT) AS char_end,
+  CAST(e - s AS INT) AS token_count FROM e""")
+def fixed_windows(spark: SparkSession, d: str) -> DataFrame:
+    return C.fixed(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "local_index", "char_start", "char_end", "token_count")
+
+
+_HEADERS = rf"""
+WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+flat AS (SELECT doc_id, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM lines),
+bare AS (SELECT *, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS b,
+  coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs FROM flat),
+test AS (SELECT *, regexp_replace(b, '[^\p{{L}}]', '', 'g') AS letters, regexp_split_to_array(b, '\s+') AS words FROM bare),
+head AS (SELECT doc_id, text, i, ofs, b, (b <> '' AND length(b) <= 120
+  AND NOT (contains(b, ' | ') OR length(b) - length(replace(b, '|', '')) >= 2)
+  AND ((length(letters) >= 2 AND regexp_full_match(letters, '\p{{Lu}}+'))
+    OR (regexp_matches(b, '\p{{Lu}}') AND len(list_filter(words, lambda w: NOT (trim(w, '.,:;()[]"''') = ''
+      OR lower(trim(w, '.,:;()[]"''')) IN ({_SMALL}) OR regexp_matches(trim(w, '.,:;()[]"'''), '^[\p{{Nd}}\p{{Lu}}]')))) = 0))) AS h FROM test),
+prose AS (SELECT *, first_value(CASE WHEN b <> '' AND NOT h THEN length(b) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM head),
+"""
+
+
+@query(_HEADERS + r"""
+kept AS (SELECT doc_id, text, ofs AS s FROM prose WHERE h AND next > length(b)),
+starts AS (SELECT doc_id, text, s FROM kept UNION
+  SELECT d.doc_id, d.text, 0 FROM documents d LEFT JOIN (SELECT doc_id, min(s) AS f FROM kept GROUP BY doc_id) k USING (doc_id)
+  WHERE k.f IS NULL OR (k.f > 0 AND regexp_matches(substr(d.text, 1, CAST(k.f AS BIGINT)), '\S')))
+SELECT doc_id, CAST(s AS INT) AS char_start, CAST(coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), length(text)) AS INT) AS char_end
+FROM starts WHERE regexp_matches(text, '\S')""")
+def structural_spans(spark: SparkSession, d: str) -> DataFrame:
+    return C.structural_spans(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "char_start", "char_end")
+
+
+@query(_HEADERS + "x AS (SELECT 1) SELECT doc_id, CAST(sum(CAST(h AS INT)) AS BIGINT) AS headers, CAST(sum(CAST(coalesce(h AND next > length(b), false) AS INT)) AS BIGINT) AS kept FROM prose GROUP BY doc_id")
+def header_lines(spark: SparkSession, d: str) -> DataFrame:
+    heads = C.header_marks(table(spark, d, "documents").select("doc_id", "text"))
+    return heads.select("doc_id", _count("head").alias("headers"), _count("kept").alias("kept"))
+
+
+def _count(flag: str):
+    return F.size(F.filter("_heads", lambda h: h[flag])).cast("long")
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+([A-Z("''])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM documents)
+SELECT doc_id, count(*) AS sentences, CAST(sum(length(s)) AS BIGINT) AS chars, CAST(max(length(s)) AS BIGINT) AS longest FROM s WHERE regexp_matches(s, '\S') GROUP BY doc_id""")
+def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = C.sentence_spans(table(spark, d, "documents").select("doc_id", "text"))
+    n = F.col("char_end") - F.col("char_start")
+    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(n.cast("long")).alias("chars"), F.max(n.cast("long")).alias("longest"))
+
+
+_COS = "list_sum(list_transform(list_zip(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), lambda z: z[1] * z[2]))"
+
+
+@query(f"""
+WITH v AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
+d AS (SELECT label, vec_id, CASE WHEN p IS NULL THEN NULL ELSE 1 - {_COS.format(a="e", b="p")} / (sqrt({_COS.format(a="e", b="e")}) * sqrt({_COS.format(a="p", b="p")})) END AS distance FROM v),
+l AS (SELECT label, quantile_cont(distance, 0.95) AS lim FROM d GROUP BY label)
+SELECT d.label, d.vec_id, round(d.distance, 6) AS distance, CAST(sum(CASE WHEN d.distance > l.lim THEN 1 ELSE 0 END) OVER (PARTITION BY d.label ORDER BY d.vec_id ROWS UNBOUNDED PRECEDING) AS INT) AS "group"
+FROM d JOIN l ON d.label = l.label""")
+def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
+    rows = C.change_points(table(spark, d, "embeddings"), ["label"], ["vec_id"], "embedding")
+    return rows.select("label", "vec_id", F.round("distance", 6).alias("distance"), "group")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+p AS (SELECT doc_id, i, line, regexp_extract_all(line, '\S+\s*') AS pieces, length(regexp_extract(line, '^\s*')) AS lead FROM l WHERE regexp_matches(line, '\S')),
+n AS (SELECT *, len(pieces) AS n FROM p),
+w AS (SELECT *, unnest(range(0, CASE WHEN n <= 48 THEN 1 ELSE CAST(ceil((n - 40) / 32.0) AS BIGINT) + 1 END)) AS k FROM n),
+e AS (SELECT *, CASE WHEN n <= 48 THEN 0 ELSE k * 32 END AS s, CASE WHEN n <= 48 THEN n ELSE least(k * 32 + 40, n) END AS e FROM w)
+SELECT doc_id, CAST(i - 1 AS INT) AS line, CAST(k AS INT) AS local_index, CAST(e - s AS INT) AS token_count,
+  CAST(CASE WHEN s = 0 THEN 0 ELSE lead + length(array_to_string(pieces[1:s], '')) END AS INT) AS char_start,
+  CAST(CASE WHEN e = n THEN length(line) ELSE lead + length(regexp_replace(array_to_string(pieces[1:e], ''), '\s+$', '')) END AS INT) AS char_end FROM e""")
+def cap_spans(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return C.capped(lines, "t", cap=48, size=40, overlap=8).select("doc_id", "line", "local_index", "token_count", "char_start", "char_end")
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN length(c) <= 96 THEN c ELSE substr(c, 1, 93) || '...' END AS snippet
+FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)""")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS pieces, regexp_extract(text, '^\s*') AS lead FROM documents)
+SELECT doc_id, len(pieces) AS tokens, CASE WHEN len(pieces) = 0 THEN '' ELSE lead || regexp_replace(array_to_string(pieces[1:20], ''), '\s+$', '') END AS head FROM p""")
+def token_truncation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"), T.truncate_tokens(F.col("text"), 20).alias("head"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+_TOKENS = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP}))"
+_BM25 = f"""
+toks AS (SELECT doc_id AS id, {_TOKENS} AS ts FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
+terms AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark)),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM toks) WHERE term IN (SELECT term FROM terms) GROUP BY id, dl, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+score AS (SELECT t.qid, f.id, round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf / (f.tf + 1.5 * (1 - 0.75 + 0.75 * f.dl / s.avgdl))), 6) AS score
+  FROM terms t JOIN tf f ON t.term = f.term JOIN df d ON d.term = f.term CROSS JOIN stats s GROUP BY t.qid, f.id)"""
+
+
+def _padded(k: int, name: str, score: str = "score", docs: str = "documents") -> str:
+    """A ranking cut to k, filled up with unmatched documents at 0 in order of their ids."""
+    return f"""{name} AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM (
+  SELECT b.item_id AS qid, d.doc_id AS id, coalesce(s.score, 0) AS score FROM benchmark b CROSS JOIN (SELECT doc_id FROM {docs}) d LEFT JOIN {score} s ON s.qid = b.item_id AND s.id = d.doc_id)
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {k})"""
+
+
+@query(f"WITH {_BM25} SELECT s.n, round(s.avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS terms, CAST((SELECT sum(df) FROM df) AS BIGINT) AS postings FROM stats s")
+def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
+    lengths, stats = R.index(docs(spark, d))
+    terms = passages(spark, d).select(F.explode(T.search_tokens(F.col("text"))).alias("term")).distinct()
+    df = lengths.select("id", F.explode(F.array_distinct("tokens")).alias("term")).join(R.small(terms), "term").groupBy("term").count()
+    return stats.crossJoin(df.agg(F.count(F.lit(1)).alias("terms"), F.sum("count").alias("postings"))).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", "postings")
+
+
+@query(f"WITH {_BM25}, {_padded(10, 'r')} SELECT qid, id, score, rank FROM r")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25(docs(spark, d), passages(spark, d), k=10).select("qid", "id", "score", "rank")
+
+
+@query(f"WITH {_BM25}, {_padded(10, 'r', docs='(SELECT * FROM documents WHERE lang IN (' + chr(39) + 'de' + chr(39) + ', ' + chr(39) + 'fr' + chr(39) + '))')} SELECT qid, id, score, rank FROM r")
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    scope = docs(spark, d, "lang").where(R.Filters({"lang": ["de", "fr"], "source": None}).predicate())
+    return R.bm25(docs(spark, d), passages(spark, d), k=10, allowed=scope).select("qid", "id", "score", "rank")
+
+
+_DENSE = f"""
+WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 50),
+s AS (SELECT q.qid, e.vec_id AS id, e.label, round({_COS.format(a="q.q", b="e.embedding")} / (sqrt({_COS.format(a="q.q", b="q.q")}) * sqrt({_COS.format(a="e.embedding", b="e.embedding")})), 6) AS score FROM q CROSS JOIN embeddings e)
+SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s """
+
+
+@query(_DENSE + "QUALIFY rank <= 10")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    queries = v.where("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return R.dense(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, k=10).select("qid", "id", "score", "rank")
+
+
+@query(_DENSE + "WHERE label IN (1, 3) QUALIFY rank <= 10")
+def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    queries = v.where("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    scope = v.where(R.Filters({"label": [1, 3]}).predicate())
+    return R.dense(scope.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, k=10).select("qid", "id", "score", "rank")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE false")
+def empty_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").where(R.Filters({"label": []}).predicate()).select("vec_id", "label")
+
+
+_HASHED = f"""
+dt AS (SELECT doc_id AS k, unnest({_TOKENS}) AS t FROM documents), qt AS (SELECT item_id AS k, unnest({_TOKENS}) AS t FROM benchmark),
+db AS (SELECT k, (unicode(t) * 131 + unicode(right(t, 1)) * 31 + length(t)) % 64 AS b, count(*) AS c FROM dt GROUP BY ALL),
+qb AS (SELECT k, (unicode(t) * 131 + unicode(right(t, 1)) * 31 + length(t)) % 64 AS b, count(*) AS c FROM qt GROUP BY ALL),
+dw AS (SELECT k, b, c / sqrt(sum(c * c) OVER (PARTITION BY k)) AS w FROM db), qw AS (SELECT k, b, c / sqrt(sum(c * c) OVER (PARTITION BY k)) AS w FROM qb),
+hs AS (SELECT qw.k AS qid, dw.k AS id, round(sum(dw.w * qw.w), 6) AS score FROM dw JOIN qw USING (b) GROUP BY ALL)"""
+
+
+def _top(k: int, name: str, source: str) -> str:
+    return f"{name} AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM {source} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= {k})"
+
+
+@query(f"WITH {_HASHED}, {_top(10, 'r', 'hs')} SELECT qid, id, score, rank FROM r")
+def dense_hashed(spark: SparkSession, d: str) -> DataFrame:
+    return R.dense_hashed(docs(spark, d), passages(spark, d), k=10).select("qid", "id", "score", "rank")
+
+
+_FUSED = f"{_BM25}, {_HASHED}, {_padded(50, 'sparse')}, {_top(50, 'dense', 'hs')}, fs AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM sparse UNION ALL SELECT qid, id, rank FROM dense) GROUP BY qid, id)"
+
+
+@query(f"WITH {_FUSED}, {_top(10, 'r', 'fs')} SELECT qid, id, score, rank FROM r")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return R.search(docs(spark, d), passages(spark, d), mode="hybrid", k=10).select("qid", "id", "score", "rank")
+
+
+_QUERY_TERMS = f"qs AS (SELECT item_id AS qid, list_distinct({_TOKENS}) AS q FROM benchmark)"
+
+
+def _lexical(pool: str, name: str) -> str:
+    return f"{name} AS (SELECT p.qid, p.id, round(len(list_intersect(qs.q, t.ts)) / greatest(len(qs.q), 1), 6) AS score FROM {pool} p JOIN qs USING (qid) JOIN toks t ON t.id = p.id)"
+
+
+@query(f"WITH {_BM25}, {_padded(50, 'pool')}, {_QUERY_TERMS}, {_lexical('pool', 'ls')}, {_top(10, 'r', 'ls')} SELECT qid, id, score, rank FROM r")
+def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return R.search(docs(spark, d), passages(spark, d), mode="sparse", rerank=True, k=10).select("qid", "id", "score", "rank")
+
+
+@query(f"WITH {_BM25}, {_padded(10, 'r')} SELECT qid, id, score, rank FROM r WHERE rank <= 3")
+def rerank_identity(spark: SparkSession, d: str) -> DataFrame:
+    return R.rerank_identity(R.bm25(docs(spark, d), passages(spark, d), k=10), 3).select("qid", "id", "score", "rank")
+
+
+# ---------------------------------------------------------------- evaluation
+
+_GOLD = "gold AS (SELECT DISTINCT b.item_id AS qid, d.source, d.lang FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_SECTIONS = "sec AS (SELECT {by}, source, lang, CAST(row_number() OVER (PARTITION BY {by} ORDER BY f) AS INT) AS rank FROM (SELECT {by}, source, lang, min(rank) AS f FROM {r} r JOIN documents d ON d.doc_id = r.id GROUP BY {by}, source, lang))"
+_METRICS = """
+gs AS (SELECT qid, count(*) AS g FROM gold GROUP BY qid),
+hit AS (SELECT {bys}, sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) AS r1, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS r5, sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS r10, min(rank) AS best, sum(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1.0) END) AS dcg FROM sec s JOIN gold USING (qid, source, lang) GROUP BY {bys}),
+m AS (SELECT {by}, gs.g IS NOT NULL AS answerable, CASE WHEN gs.g IS NOT NULL THEN round(coalesce(r1, 0) / g, 6) END AS recall_at_1, CASE WHEN gs.g IS NOT NULL THEN round(coalesce(r5, 0) / g, 6) END AS recall_at_5, CASE WHEN gs.g IS NOT NULL THEN round(coalesce(r10, 0) / g, 6) END AS recall_at_10,
+  CASE WHEN gs.g IS NOT NULL THEN round(coalesce(1.0 / best, 0), 6) END AS mrr,
+  CASE WHEN gs.g IS NOT NULL THEN round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(g, 10) + 1), lambda i: 1.0 / log2(i + 1.0))), 6) END AS ndcg_at_10
+  FROM {questions} LEFT JOIN gs USING (qid) LEFT JOIN hit USING ({by}))"""
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that hold a passage: the documents are read once, the passages travel."""
+    q = R.small(passages(spark, d).withColumnRenamed("text", "quote"))
+    return docs(spark, d, "source", "lang").join(q, F.col("text").contains(F.col("quote"))).select("qid", "source", "lang").distinct()
+
+
+def _sections(spark: SparkSession, d: str, ranking: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return E.collapse(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang").join(R.small(ranking), "id"), ["source", "lang"], by)
+
+
+@query(f"WITH {_BM25}, {_padded(10, 'r')}, {_SECTIONS.format(by='qid', r='r')} SELECT qid, source, lang, rank FROM sec")
+def section_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return _sections(spark, d, R.bm25(docs(spark, d), passages(spark, d), k=10)).select("qid", "source", "lang", "rank")
+
+
+@query(f"WITH {_BM25}, {_padded(10, 'r')}, {_SECTIONS.format(by='qid', r='r')}, {_GOLD}, {_METRICS.format(by='qid', bys='qid', questions='(SELECT item_id AS qid FROM benchmark)')} SELECT * FROM m")
+def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
+    sections = _sections(spark, d, R.bm25(docs(spark, d), passages(spark, d), k=10))
+    return E.metrics(sections, _gold(spark, d), passages(spark, d).select("qid"), ["source", "lang"])
+
+
+_MODES = [("dense", False), ("dense", True), ("sparse", False), ("sparse", True), ("hybrid", False), ("hybrid", True)]
+#: A latency that any engine can repeat: by mode and question.
+_LATENCY_SQL = "CAST((qid * 37 + length(mode) * 11 + CASE WHEN rerank THEN 900 ELSE 0 END) % 1000 AS DOUBLE)"
+
+
+def _eval_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each cell of the grid and question: the six rankings share one collapse and one scoring."""
+    rankings = None
+    # rankings are pools of one set of rankers: fused and reranked from them
+    dd, q = docs(spark, d), passages(spark, d)
+    pools = {"dense": R.dense_hashed(dd, q, k=50), "sparse": R.bm25(dd, q, k=50)}
+    pools["hybrid"] = R.rrf([pools["dense"], pools["sparse"]], k=50)
+    for mode, rerank in _MODES:
+        hits = R.rerank_lexical(pools[mode], dd, q, 10) if rerank else pools[mode].where("rank <= 10")
+        rows = hits.select("qid", "id", "rank", F.lit("fixed").alias("strategy"), F.lit(mode).alias("mode"), F.lit(rerank).alias("rerank"))
+        rankings = rows if rankings is None else rankings.unionByName(rows)
+    by = ["strategy", "mode", "rerank", "qid"]
+    cells = E.grid(spark, ["fixed"], ["dense", "sparse", "hybrid"], [False, True]).drop("position")
+    questions = passages(spark, d).select("qid").crossJoin(F.broadcast(cells))
+    rows = E.metrics(_sections(spark, d, rankings, by), _gold(spark, d), questions, ["source", "lang"], by=by)
+    latency = (F.col("qid") * 37 + F.length("mode") * 11 + F.when(F.col("rerank"), 900).otherwise(0)) % 1000
+    return rows.withColumn("total_ms", latency.cast("double"))
+
+
+_EVAL = f"""{_FUSED}, {_top(50, 'hybrid', 'fs')}, {_QUERY_TERMS}, {_lexical('dense', 'l1')}, {_lexical('sparse', 'l2')}, {_lexical('hybrid', 'l3')},
+{_top(10, 'r1', 'l1')}, {_top(10, 'r2', 'l2')}, {_top(10, 'r3', 'l3')},
+allr AS (SELECT 'fixed' AS strategy, 'dense' AS mode, false AS rerank, qid, id, rank FROM dense WHERE rank <= 10 UNION ALL SELECT 'fixed', 'dense', true, qid, id, rank FROM r1
+  UNION ALL SELECT 'fixed', 'sparse', false, qid, id, rank FROM sparse WHERE rank <= 10 UNION ALL SELECT 'fixed', 'sparse', true, qid, id, rank FROM r2
+  UNION ALL SELECT 'fixed', 'hybrid', false, qid, id, rank FROM hybrid WHERE rank <= 10 UNION ALL SELECT 'fixed', 'hybrid', true, qid, id, rank FROM r3),
+cells AS (SELECT 'fixed' AS strategy, m AS mode, r AS rerank FROM (VALUES ('dense'), ('sparse'), ('hybrid')) a(m) CROSS JOIN (VALUES (false), (true)) b(r)),
+{_SECTIONS.format(by='strategy, mode, rerank, qid', r='allr')}, {_GOLD},
+{_METRICS.format(by='strategy, mode, rerank, qid', bys='strategy, mode, rerank, qid', questions='(SELECT strategy, mode, rerank, item_id AS qid FROM benchmark CROSS JOIN cells)')},
+rows AS (SELECT *, {_LATENCY_SQL} AS total_ms FROM m),
+rep AS (SELECT strategy, mode, rerank, round(avg(recall_at_1), 6) AS recall_at_1, round(avg(recall_at_5), 6) AS recall_at_5, round(avg(recall_at_10), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr, round(avg(ndcg_at_10), 6) AS ndcg_at_10,
+  round(quantile_cont(total_ms, 0.5), 6) AS p50_ms, round(quantile_cont(total_ms, 0.95), 6) AS p95_ms, count(*) AS n, CAST(sum(CAST(answerable AS INT)) AS BIGINT) AS n_answerable FROM rows GROUP BY strategy, mode, rerank)"""
+
+
+@query(f"WITH {_EVAL} SELECT * FROM rep")
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    return E.report(_eval_rows(spark, d))
+
+
+@query(f"WITH {_EVAL}, w AS (SELECT strategy, mode, max(CASE WHEN NOT rerank THEN round(recall_at_5, 3) END) AS off, max(CASE WHEN rerank THEN round(recall_at_5, 3) END) AS \"on\" FROM rep GROUP BY strategy, mode) SELECT strategy, mode, off, \"on\", round(\"on\" - off, 3) AS gain FROM w")
+def rerank_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return E.rerank_pivot(E.report(_eval_rows(spark, d)))
+
+
+#: Reports over the vectors: a cell's rows are vectors, their "metrics" components, so that the reports have three strategies.
+_CELL_SQL = """rows AS (SELECT CASE label % 3 WHEN 0 THEN 'fixed' WHEN 1 THEN 'structural' ELSE 'semantic' END AS strategy, CASE vec_id % 3 WHEN 0 THEN 'dense' WHEN 1 THEN 'sparse' ELSE 'hybrid' END AS mode, vec_id % 2 = 1 AS rerank,
+  vec_id % 10 <> 0 AS answerable, vec_id % 4 = 0 AS refused, CAST(label % 3 AS INT) AS position,
+  round(abs(CAST(embedding[1] AS DOUBLE)), 6) AS recall_at_5, round(abs(CAST(embedding[2] AS DOUBLE)), 6) AS ndcg_at_10, round(abs(CAST(embedding[3] AS DOUBLE)), 6) AS mrr,
+  CASE WHEN vec_id % 7 <> 0 THEN round(abs(CAST(embedding[4] AS DOUBLE)), 6) END AS faithfulness, round(abs(CAST(embedding[5] AS DOUBLE)), 6) AS context_precision, round(abs(CAST(embedding[6] AS DOUBLE)), 6) AS context_recall, round(abs(CAST(embedding[7] AS DOUBLE)), 6) AS relevancy,
+  round(((vec_id * 13 % 5000) * 0.2 + (vec_id * 7 % 800) * 1.2) / 1000000, 9) AS usd, CAST(vec_id * 31 % 2000 AS DOUBLE) AS serving_ms, vec_id FROM embeddings)"""
+
+
+def _cell_rows(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    at = lambda i: F.round(F.abs(F.get("embedding", F.lit(i)).cast("double")), 6)
+    i = F.col("vec_id")
+    return v.select(
+        F.get(F.array(*map(F.lit, ("fixed", "structural", "semantic"))), F.col("label") % 3).alias("strategy"), F.get(F.array(*map(F.lit, ("dense", "sparse", "hybrid"))), (i % 3).cast("int")).alias("mode"), (i % 2 == 1).alias("rerank"),
+        (i % 10 != 0).alias("answerable"), (i % 4 == 0).alias("refused"), (F.col("label") % 3).alias("position"), at(0).alias("recall_at_5"), at(1).alias("ndcg_at_10"), at(2).alias("mrr"),
+        F.when(i % 7 != 0, at(3)).alias("faithfulness"), at(4).alias("context_precision"), at(5).alias("context_recall"), at(6).alias("relevancy"),
+        F.round(T.cost_usd(i * 13 % 5000, i * 7 % 800), 9).alias("usd"), (i * 31 % 2000).cast("double").alias("serving_ms"), "vec_id",
+    )
+
+
+@query(f"""WITH {_CELL_SQL}, m AS (SELECT strategy, round(avg(recall_at_5), 9) AS r, round(avg(ndcg_at_10), 9) AS n, round(avg(mrr), 9) AS m, min(position) AS p FROM rows WHERE answerable GROUP BY strategy),
+o AS (SELECT *, row_number() OVER w AS place, round(r - lead(r) OVER w, 6) AS lead FROM m WINDOW w AS (ORDER BY r DESC, n DESC, m DESC, p))
+SELECT strategy, round(r, 6) AS recall_at_5, round(n, 6) AS ndcg_at_10, round(m, 6) AS mrr, lead FROM o WHERE place = 1""")
+def winner(spark: SparkSession, d: str) -> DataFrame:
+    return E.winner(_cell_rows(spark, d))
+
+
+_RAG = f"""WITH {_CELL_SQL}, rep AS (SELECT strategy, mode, rerank, {", ".join(f"round(avg(CASE WHEN answerable THEN coalesce({c}, 0) END), 6) AS {c}" for c in ("faithfulness", "context_precision", "context_recall", "relevancy"))},
+  round(avg(CASE WHEN NOT answerable THEN CAST(refused AS INT) END), 6) AS refusal_rate, round(avg(usd), 9) AS usd, round(quantile_cont(serving_ms, 0.5), 6) AS p50_ms, round(quantile_cont(serving_ms, 0.95), 6) AS p95_ms FROM rows GROUP BY strategy, mode, rerank)"""
+
+
+@query(f"{_RAG} SELECT * FROM rep")
+def rag_report(spark: SparkSession, d: str) -> DataFrame:
+    return E.rag_report(_cell_rows(spark, d))
+
+
+@query(f"{_RAG} SELECT min(context_precision) AS lo, max(context_precision) AS hi, (max(context_precision) - min(context_precision)) / min(context_precision) <= 0.10 AS flat FROM rep")
+def spread(spark: SparkSession, d: str) -> DataFrame:
+    return E.spread(E.rag_report(_cell_rows(spark, d)), "context_precision")
+
+
+@query(f"{_RAG}, w AS (SELECT strategy, mode, max(CASE WHEN NOT rerank THEN context_precision END) AS off, max(CASE WHEN rerank THEN context_precision END) AS o FROM rep GROUP BY strategy, mode) SELECT coalesce(bool_and(o < off), false) AS all_hurt FROM w WHERE off IS NOT NULL AND o IS NOT NULL")
+def all_rerank_hurt(spark: SparkSession, d: str) -> DataFrame:
+    return E.all_hurt(E.rag_report(_cell_rows(spark, d)), "context_precision")
+
+
+@query(f"{_RAG} SELECT strategy, mode, rerank, faithfulness FROM rep ORDER BY faithfulness DESC, strategy, mode, rerank LIMIT 1")
+def best_generation(spark: SparkSession, d: str) -> DataFrame:
+    return E.rag_report(_cell_rows(spark, d)).select("strategy", "mode", "rerank", "faithfulness").orderBy(F.desc("faithfulness"), "strategy", "mode", "rerank").limit(1)
+
+
+@query("""SELECT CAST((s * 3 + m) * 2 + r AS INT) AS position, sn AS strategy, mn AS mode, rn AS rerank
+FROM (VALUES (0, 'fixed'), (1, 'structural'), (2, 'semantic')) a(s, sn) CROSS JOIN (VALUES (0, 'dense'), (1, 'sparse'), (2, 'hybrid')) b(m, mn) CROSS JOIN (VALUES (0, false), (1, true)) c(r, rn)""")
+def eval_grid(spark: SparkSession, d: str) -> DataFrame:
+    return E.grid(spark, ["fixed", "structural", "semantic"], list(R.MODES[:2]) + ["hybrid"], [False, True])
+
+
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def quote_check(spark: SparkSession, d: str) -> DataFrame:
+    q = R.small(table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")))
+    return table(spark, d, "documents").select("doc_id", "text").join(q, F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(E.percentile(F.col("value"), 0.5), 6).alias("p50"), F.round(E.percentile(F.col("value"), 0.95), 6).alias("p95"), F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- store, catalogue of filings, pages
+
+
+@query("SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS fiscal_year, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) = 1")
+def latest_per_year(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").withColumn("fiscal_year", F.year("o_orderdate"))
+    return S.latest_per_year(rows, ["o_custkey", "fiscal_year"], date="o_orderdate", order="o_orderkey").select("o_custkey", "fiscal_year", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o.o_orderkey, c.c_name, n.n_name, o.o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_orderstatus = 'F'")
+def filings_join(spark: SparkSession, d: str) -> DataFrame:
+    companies = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return table(spark, d, "orders").where("o_orderstatus = 'F'").join(companies, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "n_name", "o_totalprice")
+
+
+_HALVES = "o AS (SELECT doc_id, text, n_chars FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END AS text, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 <> 1)"
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    new = t.where("doc_id % 3 <> 1").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("text"), (F.col("n_chars") + 1).alias("n_chars"))
+    return t.where("doc_id % 3 <> 0"), new
+
+
+@query(f"WITH {_HALVES} SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.n_chars, o.n_chars) AS n_chars, md5(coalesce(n.text, o.text)) AS digest FROM o FULL JOIN n ON o.doc_id = n.doc_id")
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    return S.upsert(*_halves(spark, d), ["doc_id"], ["text", "n_chars"]).select("doc_id", "n_chars", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {_HALVES} SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL OR o.text IS NOT DISTINCT FROM n.text THEN o.doc_id * 2 ELSE -1 END AS embedding FROM o FULL JOIN n ON o.doc_id = n.doc_id")
+def embedding_reuse(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _halves(spark, d)
+    return S.upsert_chunks(old.withColumn("embedding", F.col("doc_id") * 2), new, ["doc_id"]).select("doc_id", F.coalesce("embedding", F.lit(-1)).alias("embedding"))
+
+
+@query(f"WITH {_HALVES} SELECT count(*) AS pending FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE NOT (n.doc_id IS NULL OR o.text IS NOT DISTINCT FROM n.text)")
+def pending(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _halves(spark, d)
+    return S.unembedded(S.upsert_chunks(old.withColumn("embedding", F.col("doc_id") * 2), new, ["doc_id"])).agg(F.count(F.lit(1)).alias("pending"))
+
+
+@query("SELECT l.lang, s.source FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = l.lang AND d.source = s.source AND d.n_chars > 3000)")
+def coverage_gap(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("lang", "source", "n_chars")
+    expected = t.select("lang").distinct().crossJoin(t.select("source").distinct())
+    return S.gaps(expected, t.where("n_chars > 3000"), ["lang", "source"])
+
+
+@query("SELECT conv_id, turn, role, length(text) AS chars, NULL::VARCHAR AS note FROM conversations WHERE turn < 2 UNION ALL SELECT conv_id, turn, role, length(text), 'late' FROM conversations WHERE turn >= 2")
+def page_union(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
+    return t.where("turn < 2").unionByName(t.where("turn >= 2").withColumn("note", F.lit("late")), allowMissingColumns=True)
+
+
+_CLEAN = r"""
+regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+'(?is)<ix:hidden\b[^>]*>.*?</ix:hidden>', '', 'g'), '(?i)</?ix:[a-z0-9_.-]+\b[^>]*>', '', 'g'),
+'(?is)<(script|style)\b[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+'(?is)</t[dh]>\s*(?:<[^t/][^>]*>\s*)*<t[dh][^>]*>', ' | ', 'g'), '(?is)</tr>', chr(10), 'g'), '(?s)<[^>]+>', chr(10), 'g'),
+'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+'[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)), 'x{0}', '')"""
+
+
+@query(f"SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, {_CLEAN} AS t FROM pages)")
+def html_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.clean_html(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("digest"))
+
+
+@query("SELECT page_id, code, CAST(char_start AS INT) AS char_start, CAST(char_end AS INT) AS char_end FROM (SELECT page_id, length(url) AS u FROM pages) CROSS JOIN LATERAL (VALUES ('1A', 30 + u, 87 + 2 * u), ('7', 87 + 2 * u, 104 + 4 * u)) v(code, char_start, char_end)")
+def item_spans(spark: SparkSession, d: str) -> DataFrame:
+    # a filing's shape made of the page's url: a contents list, then two items
+    filing = F.concat(F.lit("Item 1A. x\nItem 7. y\nContents"), F.col("url"), F.lit("\nItem 1A. Risk Factors of "), F.col("url"), F.lit(" that are long enough, so it is\nItem 7. Analysis "), F.col("url"), F.col("url"))
+    rows = table(spark, d, "pages").select("page_id", F.explode(S.item_spans(filing)).alias("s"))
+    return rows.select("page_id", "s.code", "s.char_start", "s.char_end")
+
+
+# ---------------------------------------------------------------- generation
+
+
+@query("""WITH f AS (SELECT o_orderkey, c_name, CAST(year(o_orderdate) AS INT) AS y, o_orderpriority AS p FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, '[' || c_name || ' FY' || y || ' Item ' || p || ']' AS tag FROM f""")
+def citation_header(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"), "o_orderpriority")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", T.citation_tag(F.col("c_name"), F.col("y"), F.col("o_orderpriority")).alias("tag"))
+
+
+@query(f"""WITH {_BM25}, {_padded(3, 'r')}
+SELECT b.item_id AS qid, 'Question:' || chr(10) || b.text || chr(10) || chr(10) || 'Contexts:' || chr(10) || string_agg('[' || r.rank || '] ' || d.source || chr(10) || substr(d.text, 1, 200), chr(10) || chr(10) ORDER BY r.rank) AS prompt
+FROM r JOIN benchmark b ON b.item_id = r.qid JOIN documents d ON d.doc_id = r.id GROUP BY b.item_id, b.text""")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    q = passages(spark, d)
+    hits = R.bm25(docs(spark, d), q, k=3)
+    blocks = docs(spark, d, "source").join(R.small(hits), "id").select("qid", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source"), F.lit("\n"), F.substring("text", 1, 200)).alias("block"))
+    # a query has k blocks at most
+    context = blocks.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b")).select("qid", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("c"))
+    return q.join(context, "qid").select("qid", F.concat(F.lit("Question:\n"), F.col("text"), F.lit("\n\nContexts:\n"), F.col("c")).alias("prompt"))
+
+
+@query(r"""SELECT role, round(avg(CASE WHEN contains(trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')), 'of the') THEN 1 ELSE 0 END), 6) AS refusal_rate, count(*) AS n FROM conversations GROUP BY role""")
+def refusal_rate(spark: SparkSession, d: str) -> DataFrame:
+    refused = T.is_refusal(F.col("text"), "Of the.")
+    return table(spark, d, "conversations").groupBy("role").agg(F.round(F.avg(refused.cast("int")), 6).alias("refusal_rate"), F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, CAST(sum(CASE WHEN role <> 'assistant' THEN len(regexp_extract_all(text, '\S+')) ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\S+')) ELSE 0 END) AS BIGINT) AS c FROM conversations GROUP BY conv_id)
+SELECT conv_id, p AS prompt_tokens, c AS completion_tokens, round((p * 0.2 + c * 1.2) / 1000000, 9) AS usd FROM t""")
+def token_cost(spark: SparkSession, d: str) -> DataFrame:
+    n = T.token_count(F.col("text")).cast("long")
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "assistant", n).otherwise(0)).alias("prompt_tokens"), F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("completion_tokens"))
+    return t.withColumn("usd", F.round(T.cost_usd(F.col("prompt_tokens"), F.col("completion_tokens")), 9))
+
+
+@query("SELECT conv_id, arg_min(CASE WHEN role = 'system' THEN text END, CASE WHEN role = 'system' THEN turn END) AS instructions, sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END)::BIGINT AS turns FROM conversations GROUP BY conv_id HAVING sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) > 0")
+def instructions_split(spark: SparkSession, d: str) -> DataFrame:
+    system = F.col("role") == "system"
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by(F.when(system, F.col("text")), F.when(system, F.col("turn"))).alias("instructions"), F.sum((~system).cast("long")).alias("turns"))
+    return t.where("turns > 0")
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer, arg_max(turn, turn) AS last_turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def stream_join(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas of an answer in order, and the last usage: a conversation's turns are its deltas."""
+    t = table(spark, d, "conversations").where("role = 'assistant'")
+    parts = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"), F.max_by("turn", "turn").alias("last_turn"))
+    return parts.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("answer"), "last_turn")
+
+
+@query("SELECT conv_id, turn, greatest(coalesce(TRY_CAST(text AS BIGINT), length(text) - 50, 0), 0) AS tokens FROM conversations")
+def usage_coercion(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", T.usage_count(F.col("text"), F.length("text") - 50).alias("tokens"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KiB', n_chars / 1024.0) END AS size, lpad(CAST(doc_id AS VARCHAR), 10, '0') AS cik, replace(source || '-' || lang, '-', '') AS accession FROM documents""")
+def formats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.format_bytes(F.col("n_chars")).alias("size"), T.pad_cik(F.col("doc_id")).alias("cik"), T.accession_key(F.concat_ws("-", "source", "lang")).alias("accession"))
+
+
