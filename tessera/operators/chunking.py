@@ -117,10 +117,12 @@ def sentence_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), boundary, "\x01$1\x02"), "\x02")
     piece = lambda p: F.struct(F.length(F.substring_index(p, "\x01", 1)).alias("n"), F.length(F.replace(p, F.lit("\x01"), F.lit(""))).alias("all"), (T.strip(p) != "").alias("some"))
     held = docs.withColumn("_cut", F.transform(cut, piece))
-    place = lambda i: F.struct(F.aggregate(F.slice("_cut", F.lit(1), i), F.lit(0), lambda a, x: a + x["all"]).alias("at"), F.get("_cut", i).alias("m"))
-    held = held.withColumn("_places", F.filter(F.transform(F.sequence(F.lit(0), F.size("_cut") - 1), place), lambda p: p["m"]["some"])).drop("_cut")
+    none = F.array().cast("array<struct<at:int,n:int,some:boolean>>")
+    step = lambda a, p: F.struct((a["at"] + p["all"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), p["n"].alias("n"), p["some"].alias("some")))).alias("out"))
+    walked = F.aggregate("_cut", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    held = held.withColumn("_places", F.filter(walked, lambda p: p["some"])).drop("_cut")
     out = held.select("*", F.posexplode("_places").alias("sentence_index", "_s"))
-    return out.select(*docs.columns, "sentence_index", F.col("_s.at").alias("char_start"), (F.col("_s.at") + F.col("_s.m.n")).alias("char_end"))
+    return out.select(*docs.columns, "sentence_index", F.col("_s.at").alias("char_start"), (F.col("_s.at") + F.col("_s.n")).alias("char_end"))
 
 
 def change_points(rows: DataFrame, key: list[str], order: list[str], vector: str, *, percentile: float = PERCENTILE) -> DataFrame:

@@ -1,0 +1 @@
+"""Streams: incremental work, and answers as events."""
