@@ -152,7 +152,7 @@ MODES = ("dense", "sparse", "hybrid")
 
 
 def search(docs: DataFrame, queries: DataFrame, *, mode: str = "hybrid", rerank: bool = False, k: int = TOP_K, filters: Filters | None = None, candidates: int = CANDIDATES, rrf_k: int = RRF_K) -> DataFrame:
-    """The search of the reference's pipeline, for many queries at once: rank, fuse, rerank or cut.
+    """The whole search, for many queries at once: rank, fuse, rerank or cut.
 
     ``docs`` has id, text and the filters' columns; ``queries`` has qid and text.
     """

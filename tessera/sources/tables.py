@@ -11,6 +11,8 @@ fiscal_year int, primary_doc string, edgar_url string, sections array<struct<ite
 CHUNK = """ticker string, cik string, accession string, fiscal_year int, edgar_url string, item_code string, item_title string,
 strategy string, chunk_index int, char_start int, char_end int, token_count int, text string"""
 
+CHUNK_COLUMNS = [c.split()[0] for c in CHUNK.split(",")]
+
 #: A retrieval log: names as in its JSON lines.
 RETRIEVAL_LOG = """strategy string, mode string, rerank boolean, question_id string, type string, query string, answerable boolean,
 gold_sections array<struct<accession: string, item_code: string>>, retrieved_sections array<struct<accession: string, item_code: string>>,
