@@ -16,7 +16,8 @@ CITATION_FORMAT = "[TICKER FYyear Item CODE]"
 
 
 def system_prompt(phrase: str = T.REFUSAL_PHRASE) -> str:
-    """The rules of an answer.  Fixed text: its wording is part of what answers depend on."""
+    """The rules of an answer."""
+    # The wording is part of what answers depend on.
     return (
         "You answer questions about SEC 10-K filings using only the numbered contexts.\n"
         "\n"

@@ -546,3 +546,67 @@ def formats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.format_bytes(F.col("n_chars")).alias("size"), T.pad_cik(F.col("doc_id")).alias("cik"), T.accession_key(F.concat_ws("-", "source", "lang")).alias("accession"))
 
 
+
+
+# ---------------------------------------------------------------- keys, sets and numbering
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, source, len(regexp_extract_all(text, '\S+\s*')) AS n FROM documents),
+w AS (SELECT doc_id, source, unnest(range(0, CASE WHEN n <= 400 THEN 1 ELSE CAST(ceil((n - 400) / 320.0) AS BIGINT) + 1 END)) AS i FROM p WHERE n > 0)
+SELECT source, doc_id, CAST(i AS INT) AS local_index, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS INT) AS chunk_index FROM w""")
+def chunk_numbering(spark: SparkSession, d: str) -> DataFrame:
+    chunks = C.fixed(table(spark, d, "documents").select("doc_id", "source", "text")).select("source", "doc_id", "local_index")
+    return C.number(chunks, ["source"], ["doc_id", "local_index"])
+
+
+@query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT conv_id, role, min(turn) AS first_turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS INT) AS position FROM conversations GROUP BY conv_id, role")
+def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "conversations").select("conv_id", "role", F.col("turn").alias("rank"))
+    first = hits.groupBy("conv_id", "role").agg(F.min("rank").alias("first_turn"))
+    return E.collapse(hits, ["role"], ["conv_id"]).withColumnRenamed("rank", "position").join(first, ["conv_id", "role"])
+
+
+@query("SELECT l_orderkey, count(*) AS chunks, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS pending FROM lineitem GROUP BY l_orderkey")
+def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("chunks"), F.sum((F.col("l_returnflag") == "N").cast("long")).alias("pending"))
+
+
+@query("SELECT l.l_orderkey, CAST(l.l_linenumber AS INT) AS l_linenumber, o.o_custkey, l.l_extendedprice FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderpriority = '1-URGENT'")
+def chunk_scan(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    return table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "l_extendedprice")
+
+
+@query("""SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INT) AS fiscal_year, count(*) AS n, count(DISTINCT o_custkey) AS companies FROM orders GROUP BY 1, 2""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("fiscal_year")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("companies"))
+
+
+@query("SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 1")
+def retrieved_and_gold(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("source", "lang", "doc_id")
+    return t.where("doc_id % 3 = 0").select("source", "lang").intersect(t.where("doc_id % 3 = 1").select("source", "lang"))
+
+
+@query("SELECT strategy || '/' || mode || '/' || CASE WHEN rerank THEN 'on' ELSE 'off' END AS label FROM (VALUES ('fixed'), ('structural'), ('semantic')) a(strategy) CROSS JOIN (VALUES ('dense'), ('sparse'), ('hybrid')) b(mode) CROSS JOIN (VALUES (false), (true)) c(rerank)")
+def config_labels(spark: SparkSession, d: str) -> DataFrame:
+    g = E.grid(spark, ["fixed", "structural", "semantic"], ["dense", "sparse", "hybrid"], [False, True])
+    return g.select(T.config_label(F.col("strategy"), F.col("mode"), F.col("rerank")).alias("label"))
+
+
+@query()
+def stream_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events of one streamed answer: citations of a passage's hits, two tokens, done."""
+    from ..operators.generation import answer_events
+
+    q = passages(spark, d).where("qid = 0")
+    hits = docs(spark, d, "source", "lang").join(R.small(R.bm25(docs(spark, d), q, k=3)), "id")
+    hits = hits.select("rank", "score", F.col("source").alias("ticker"), F.lit(2024).alias("fiscal_year"), F.col("lang").alias("item_code"), F.col("id").cast("string").alias("accession"), F.lit("").alias("edgar_url"), "text")
+    events = answer_events(hits, [{"delta": "An"}, {"delta": ""}, {"delta": " answer"}, {"type": "completed", "input_tokens": 12, "output_tokens": 2}])
+    return spark.createDataFrame([(i, e.kind, e.sse()) for i, e in enumerate(events)], "position int, kind string, frame string")

@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Rows that go to Python at once, unless the session says otherwise: texts are long, and a worker holds some batches.
+BATCH_ROWS = "2000"
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Hand the package's source to the executors through Spark's own file server, once per application."""
@@ -23,4 +26,6 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(path, path.relative_to(root.parent))
         context.addPyFile(archive)
         _SHIPPED.add(context.applicationId)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
