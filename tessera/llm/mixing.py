@@ -70,15 +70,15 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], *, samp
 
 
 def scored(docs: DataFrame, priors: list[float], likelihoods: list[list[float]]) -> DataFrame:
-    """``docs`` with _tokens and _posterior (an array in the order of the domains)."""
-    words = docs.withColumn("_words", F.transform(words_of(F.col("text")), _bucket)).withColumn("_tokens", F.size("_words").cast("long"))
+    """``docs`` with _mix_tokens and _mix_posterior (an array in the order of the domains)."""
+    words = docs.withColumn("_mix_words", F.transform(words_of(F.col("text")), _bucket)).withColumn("_mix_tokens", F.size("_mix_words").cast("long"))
     base = likelihoods[0]
     # one pass for each domain but the first: sums of log likelihood ratios to the first
-    sums = [F.lit(0.0)] + [_summed("_words", [x - y for x, y in zip(likelihood, base, strict=True)]) for likelihood in likelihoods[1:]]
-    logs = F.array(*[F.lit(p) + s / F.sqrt(F.greatest(F.col("_tokens"), F.lit(1))) for p, s in zip(priors, sums, strict=True)])
-    weights = words.withColumn("_logs", logs).withColumn("_weights", F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs"))))
-    total = F.aggregate("_weights", F.lit(0.0), lambda a, x: a + x)
-    return weights.withColumn("_posterior", F.transform("_weights", lambda x: x / total)).drop("_words", "_logs", "_weights")
+    sums = [F.lit(0.0)] + [_summed("_mix_words", [x - y for x, y in zip(likelihood, base, strict=True)]) for likelihood in likelihoods[1:]]
+    logs = F.array(*[F.lit(p) + s / F.sqrt(F.greatest(F.col("_mix_tokens"), F.lit(1))) for p, s in zip(priors, sums, strict=True)])
+    weights = words.withColumn("_mix_logs", logs).withColumn("_mix_weights", F.transform("_mix_logs", lambda x: F.exp(x - F.array_max("_mix_logs"))))
+    total = F.aggregate("_mix_weights", F.lit(0.0), lambda a, x: a + x)
+    return weights.withColumn("_mix_posterior", F.transform("_mix_weights", lambda x: x / total)).drop("_mix_words", "_mix_logs", "_mix_weights")
 
 
 def fit_rates(cells: DataFrame, shares: list[float], *, budget: float | None, floor: float, steps: int = STEPS, pull: float = PULL) -> DataFrame:
@@ -125,13 +125,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, keep
     domains = sorted(targets)
     keep = docs.columns if keep is None else keep
     model = classifier(docs, labelled, domains, sample=sample)
-    rows = scored(docs, *model).withColumn("_cell", F.concat_ws(",", F.transform("_posterior", lambda p: F.round(p * GRID).cast("int").cast("string"))))
-    rows = materialize(rows.select(*keep, "_tokens", "_posterior", "_cell"), "scored")
-    cells = rows.groupBy("_cell").agg(F.sum("_tokens").alias("tokens"), F.array(*[F.sum(F.col("_tokens") * F.col("_posterior")[d]) for d in range(len(domains))]).alias("mass"))
+    rows = scored(docs, *model).withColumn("_mix_cell", F.concat_ws(",", F.transform("_mix_posterior", lambda p: F.round(p * GRID).cast("int").cast("string"))))
+    rows = materialize(rows.select(*keep, "_mix_tokens", "_mix_posterior", "_mix_cell"), "scored")
+    cells = rows.groupBy("_mix_cell").agg(F.sum("_mix_tokens").alias("tokens"), F.array(*[F.sum(F.col("_mix_tokens") * F.col("_mix_posterior")[d]) for d in range(len(domains))]).alias("mass"))
     rates = fit_rates(materialize(cells, "cells"), [targets[d] for d in domains], budget=budget, floor=floor)
-    rates = materialize(rates.select("_cell", "rate"), "cell_rates")
-    mixed = F.struct(F.col("_tokens").alias("tokens"), F.col("_posterior").alias("posterior"), F.col("rate"))
-    return rows.join(sized(rates), "_cell").select(*keep, mixed.alias("_mix"))
+    rates = materialize(rates.select("_mix_cell", F.col("rate").alias("_mix_rate")), "cell_rates")
+    mixed = F.struct(F.col("_mix_tokens").alias("tokens"), F.col("_mix_posterior").alias("posterior"), F.col("_mix_rate").alias("rate"))
+    return rows.join(sized(rates), "_mix_cell").select(*keep, mixed.alias("_mix"))
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
