@@ -13,7 +13,7 @@ subsequences, the machine folds into one weight for each subsequence: scoring ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ from . import kernels as K
 from .labelled import held_out, training_sample
 
 #: Labelled texts of either label that training may see.
-SAMPLE = 4_000
+SAMPLE = 3_000
 LANDMARKS = 320
 #: How much more a clean text's word counts than a toxic one's.
 CAUTION = 2.0
@@ -104,7 +104,7 @@ def subsequences(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    """A weight for each subsequence, the machine's bias, and the logistic curve over what a document shows."""
+    """A weight for each subsequence, the machine's bias, and the logistic curve over its decisions."""
 
     weights: np.ndarray
     bias: float
@@ -120,19 +120,16 @@ class Model:
         return np.add.reduceat(total, stream.start) / _norms(stream.length) + self.bias
 
     def documents(self, stream: Stream, n: int) -> np.ndarray:
-        """Of each document the worst word's decision, and the logarithm of one more than its words on the wrong side;
-        the bias and 0 for one without words."""
-        shown = np.zeros((n, 2))
-        shown[:, 0] = self.bias
+        """The worst word's decision of each document; the bias of one without words."""
+        worst = np.full(n, self.bias)
         decision = self.words(stream)
         if len(decision):
             first = np.flatnonzero(np.diff(stream.doc, prepend=-1))
-            shown[stream.doc[first], 0] = np.maximum.reduceat(decision, first)
-            shown[:, 1] = np.log1p(np.bincount(stream.doc[decision > 0], minlength=n))
-        return shown
+            worst[stream.doc[first]] = np.maximum.reduceat(decision, first)
+        return worst
 
-    def probability(self, shown: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(shown @ self.curve[:-1] + self.curve[-1], -40, 40)))
+    def probability(self, decision: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(decision * self.curve[0] + self.curve[1], -40, 40)))
 
 
 def _stream_of(words: list[bytes]) -> Stream:
@@ -163,7 +160,7 @@ def _features(words: list[bytes], codes: np.ndarray | None) -> tuple[np.ndarray,
     return out / _norms(stream.length)[:, None], codes
 
 
-def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 5e-5) -> tuple[np.ndarray, float]:
+def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps."""
     z1 = np.hstack([z, np.ones((len(z), 1))])
     w = np.zeros(z1.shape[1])
@@ -189,18 +186,19 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 5e
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[tuple[int, list[bytes]]], *, landmarks: int = LANDMARKS, rounds: int = 5) -> Model:
-    """Train on (label, words) of labelled texts.  Without either label every score is the share of label 1."""
+def fit(texts: Iterable[tuple[int, list[bytes]]], *, landmarks: int = LANDMARKS, rounds: int = 5) -> Model:
+    """Train on (label, distinct words) of labelled texts.  Without either label every score is the share of label 1."""
     number: dict[bytes, int] = {}
-    docs = [(y, np.array([number.setdefault(w, len(number)) for w in words], np.int64)) for y, words in texts if words]
+    every = [(y, np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32)) for y, words in texts]
+    docs = [(y, d) for y, d in every if len(d)]
     toxic, clean = [d for y, d in docs if y], [d for y, d in docs if not y]
-    share = len([1 for y, _ in texts if y]) / max(1, len(texts))
-    blank = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
+    share = sum(y for y, _ in every) / max(1, len(every))
+    blank = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, np.array([0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
     if not toxic or not clean:
         return blank
     words, n = list(number), len(number)
-    p = np.bincount(np.concatenate([np.unique(d) for d in toxic]), minlength=n)
-    q = np.bincount(np.concatenate([np.unique(d) for d in clean]), minlength=n)
+    p = np.bincount(np.concatenate(toxic), minlength=n)
+    q = np.bincount(np.concatenate(clean), minlength=n)
     odds = np.log((p + 0.5) / (len(toxic) + 1)) - np.log((q + 0.5) / (len(clean) + 1))
     ranked = np.lexsort((np.arange(n), -odds))
     telling = [i for i in ranked[: 3 * landmarks] if p[i] > 1 and odds[i] > 0 and len(words[i]) > 3][: landmarks * 3 // 4]
@@ -237,12 +235,7 @@ def fit(texts: list[tuple[int, list[bytes]]], *, landmarks: int = LANDMARKS, rou
         table[codes] = phi.T @ (root @ w)
         model = Model(table, bias, blank.curve)
         decision = model.words(whole)
-    shown = np.array([(decision[d].max(), np.log1p((decision[d] > 0).sum())) for _, d in docs])
-    label = np.array([y for y, _ in docs], float)
-    model.curve = _logistic(shown, label)
-    if model.curve[1] < 0:  # more bad words must not make a text look better
-        one = _logistic(shown[:, :1], label)
-        model.curve = np.array([one[0], 0.0, one[1]])
+    model.curve = _logistic(np.array([[decision[d].max()] for _, d in docs]), np.array([y for y, _ in docs], float))
     return model
 
 
@@ -261,13 +254,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each sampled text its words, sorted, joined by a byte that no symbol has."""
+    """Of each sampled text its distinct words, joined by a byte that no symbol has."""
     for batch in batches:
         buf, off = K.binary_column(batch, "text")
         for lo, hi in K.slices(off):
             stream = Stream(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             bounds = np.searchsorted(stream.doc, np.arange(hi - lo + 1))
-            words = [b"\xff".join(sorted(stream.word(i) for i in range(a, b))) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            words = [b"\xff".join(sorted({stream.word(i) for i in range(a, b)})) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(words, pa.binary())], names=["label", "words"])
 
 
@@ -287,7 +280,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: i
     rows = training_sample(docs, labels, label, each=sample).select("label", "text").mapInArrow(_words_of, "label int, words binary").toArrow()
     # in a fixed order, whatever the tasks' was
     pairs = sorted(zip(rows["label"].to_pylist(), rows["words"].to_pylist(), strict=True))
-    return fit([(y, w.split(b"\xff") if w else []) for y, w in pairs])
+    del rows
+    return fit((y, w.split(b"\xff") if w else []) for y, w in pairs)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
