@@ -7,13 +7,28 @@ a window's hash from the same trick over the words' hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+
+# A worker outlives its tasks, and executors are sized by their largest hour: what is freed goes back to the system,
+# not to a pool of Arrow's own, nor to the C library's heap.
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+
+    def _trim(_: int) -> int:
+        return 0
+
 
 #: Bytes of text that are looked at together; a longer document is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 20
+#: Bytes over which one running sum goes.
+PIECE = 1 << 19
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -71,8 +86,32 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_KEPT: dict[str, tuple[int, object]] = {}
+
+
+def _stage() -> int:
+    task = TaskContext.get()
+    return task.stageId() if task else -1
+
+
+def kept_for_stage(name: str, make: Callable[[], object]) -> object:
+    """What the tasks of a stage share in a worker; it goes when the worker takes up another stage."""
+    forget_others()
+    if name not in _KEPT:
+        _KEPT[name] = (_stage(), make())
+    return _KEPT[name][1]
+
+
+def forget_others() -> None:
+    stage = _stage()
+    for name in [n for n, (s, _) in _KEPT.items() if s != stage]:
+        del _KEPT[name]
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and 64-bit offsets of a text column; a null is an empty text."""
+    """Bytes and 64-bit offsets of a text column; a null is an empty text.  Called once for each batch."""
+    forget_others()
+    _trim(0)
     column = batch.column(batch.schema.get_field_index(name))
     column = column.fill_null("") if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.fill_null(b"")
     column = column.cast(pa.large_binary())
@@ -111,13 +150,22 @@ class Words:
         last[at] = inside[at]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(self.start, off)
-        self.hash = self._hashes(buf, inside) if hashed else None
-
-    def _hashes(self, buf: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        up, down = _IN_WORD.upto(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * up[: len(buf)] * inside, out=total[1:])
-        raw = (total[self.end] - total[self.start]) * down[self.start]
+        self.hash = self.hashes(buf, inside) if hashed else None
+
+    def hashes(self, buf: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Hashes of the words as they stand.  Piece by piece, so that what is held beside the text stays small."""
+        raw = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(raw):
+            base = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, base + PIECE, "right")))
+            size = int(self.end[to - 1] - base)
+            up, down = _IN_WORD.upto(size + 1)
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(_BYTE[buf[base : base + size]] * up[:size] * inside[base : base + size], out=total[1:])
+            first = self.start[at:to] - base
+            raw[at:to] = (total[self.end[at:to] - base] - total[first]) * down[first]
+            at = to
         return mix(raw + (self.end - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
