@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,14 +139,14 @@ def _hits(batches: Iterator[pa.RecordBatch], windows: Windows, prefixes: dict[in
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit, n_items, digest = [], [], []
-        for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for spans, items in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             covered, end = 0, 0
             for a, b in sorted((s["start"], s["start"] + s["words"]) for s in spans or ()):
                 covered += max(0, b - max(a, end))
                 end = max(end, b)
             names = sorted(set(items or ()))
             hit.append(covered), n_items.append(len(names)), digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([x > 0 for x in hit])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([x > 0 for x in hit])], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -164,25 +165,37 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
         yield block
 
 
-def window_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, int]:
-    """(doc_id, th, n_words, spans of hit words, item_ids) for each row of ``docs``; a row for each block of items; and how many blocks.
-
-    ``th`` is xxhash64 of the text.  Without items there is one row for each document, without spans.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
-    schema = "doc_id long, th long, n_words long, spans array<struct<start:long,words:long>>, items array<string>"
-    out, n = None, 0
-    for n, block in enumerate(_blocks(items), 1):
+def _searches(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> Iterator[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """For each block of items the search of a task's documents for its windows; one at least."""
+    found = False
+    for block in _blocks(items):
+        found = True
         windows = Windows(block, window, shingle)
         tokens = windows.tokens()
         counts = docs.select("text").mapInArrow(lambda it, t=tokens: _counted(it, t), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
         prefixes = windows.prefixes({r["token"] & ((1 << 64) - 1): r["n"] for r in counts})
-        hits = docs.mapInArrow(lambda it, w=windows, p=prefixes: _hits(it, w, p), schema)
+        yield lambda it, w=windows, p=prefixes: _hits(it, w, p)
+    if not found:
+        yield lambda it: _hits(it, Windows([], window, shingle), {})
+
+
+_HIT = "doc_id long, th long, n_words long, spans array<struct<start:long,words:long>>, items array<string>"
+_SUM = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def window_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, th, n_words, spans of hit words, items) for each row of ``docs`` and block of items; ``th`` is xxhash64 of the
+    text.  Without items there is one row for each document, without spans."""
+    docs = _keyed(docs)
+    out = None
+    for search in _searches(docs, items, window, shingle):
+        hits = docs.mapInArrow(search, _HIT)
         out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        empty = Windows([], window, shingle)
-        out = docs.mapInArrow(lambda it: _hits(it, empty, {}), schema)
-    return out, max(n, 1)
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -196,10 +209,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sh
     share an item_id are one item.  Rows that repeat a doc_id and its text are
     answered alike.
     """
-    hits, n_blocks = window_hits(docs, items, window=window, shingle=shingle)
-    if n_blocks > 1:
-        alike = hits.groupBy("doc_id", "th").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
-        hits = rows.join(alike, rows["doc_id"].eqNullSafe(alike["doc_id"]) & (rows["th"] == alike["th"])).select(rows["doc_id"], "n_words", "spans", "items")
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return hits.select("doc_id", "n_words", "spans", "items").mapInArrow(_summed, schema)
+    docs = _keyed(docs)
+    searches = list(_searches(docs, items, window, shingle))
+    if len(searches) == 1:
+        return docs.mapInArrow(lambda it: _summed(searches[0](it)), _SUM)
+    hits = reduce(DataFrame.unionByName, [docs.mapInArrow(search, _HIT) for search in searches])
+    alike = hits.groupBy("doc_id", "th").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    rows = docs.select("doc_id", "th")
+    joined = rows.join(alike, rows["doc_id"].eqNullSafe(alike["doc_id"]) & (rows["th"] == alike["th"])).select(rows["doc_id"], rows["th"], "n_words", "spans", "items")
+    return joined.mapInArrow(_summed, _SUM)
