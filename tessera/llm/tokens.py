@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -35,13 +36,14 @@ from .support import shuffle_parts
 
 #: What stands for a null doc_id in a shard.
 NULL_ID = -(1 << 63)
-#: Runs that a task remembers, in either of two generations: some 150 MB each.
-REMEMBERED = 900_000
-
+#: Runs that a worker remembers, by 64-bit hash: some 60 MB; and how many are merged into the rest at once.
+REMEMBERED = 2_000_000
+RECENT = 200_000
 #: Bytes of text whose runs are told apart together.
-PACK = 1 << 23
+PACK = 1 << 22
 
-_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_PUNCTUATION = K.byte_table(b for b in range(33, 127) if not chr(b).isalnum())
+_ALNUM = K.byte_table(b for b in range(128) if chr(b).isalnum())
 _BREAKS = K.byte_table([10, 32])
 #: White space beyond space and newline: bytes, and what is longer as UTF-8.
 _OTHER = K.byte_table([0, 9, 11, 12, 13, 28, 29, 30, 31])
@@ -69,6 +71,60 @@ def _odd(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return odd
 
 
+def _runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run: document, start, end and hash.  A run has no space or newline; punctuation at its end, after a letter or
+    digit, is a run of its own."""
+    words = K.Words(buf, off, _BREAKS, lower=False, hashed=False)
+    start, end = words.start, words.end
+    if len(start):
+        solid = np.maximum.accumulate(np.where(_PUNCTUATION[buf], -1, np.arange(len(buf))))[end - 1]
+        cut = np.flatnonzero((solid >= start) & (solid < end - 1))
+        cut = cut[_ALNUM[buf[solid[cut]]]]
+        start, end = np.insert(start, cut + 1, solid[cut] + 1), np.insert(end, cut, solid[cut] + 1)
+    words.start, words.end = start, end
+    return np.searchsorted(off, start, "right") - 1, start, end, words.hashes(buf, ~_BREAKS[buf])
+
+
+class _Memory:
+    """Ids of runs by the runs' hash: two sorted levels over one store of ids."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        none = np.zeros(0, np.int64)
+        self.levels = [(np.zeros(0, np.uint64), none, none)] * 2
+        self.ids, self.used = np.zeros(1 << 16, dtype), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin (-1 if unknown) and count of the ids of sorted hashes."""
+        begin, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, at, n in self.levels:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[place] == hashes
+                begin[hit], count[hit] = at[place[hit]], n[place[hit]]
+        return begin, count
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Remember the ids of sorted new hashes; where they begin."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, len(ids)), self.ids.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        self.levels[1] = self._merged(self.levels[1], (hashes, begin, count))
+        if len(self.levels[1][0]) > RECENT:
+            self.levels = [self._merged(*self.levels), (hashes[:0], begin[:0], count[:0])]
+        return begin
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        hashes = np.concatenate([a[0], b[0]])
+        order = np.argsort(hashes, kind="stable")  # two sorted runs: a merge
+        return hashes[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+
+    def __len__(self) -> int:
+        return sum(len(known) for known, _, _ in self.levels)
+
+
 class Encoder:
     """Texts to ids, a slice of documents at a time."""
 
@@ -82,61 +138,50 @@ class Encoder:
         self.newline = self._library(["\n"])[0]
         #: Only with a byte-level vocabulary whose newline is one id can runs be told apart in one call.
         self.joined = len(self.newline) == 1
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.memory = _Memory(self.dtype)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, runs: list[bytes]) -> None:
-        """Encode runs that this generation doesn't have, joined by newlines, in a few calls."""
-        unknown, old = runs, self.old
-        known = {r: old[r] for r in unknown if r in old} if old else {}
-        self.new.update(known)
-        # punctuation at the end of a run, after a letter or digit, is encoded apart from it: learn either once
-        tails: dict[bytes, tuple[bytes, bytes]] = {}
-        for r in unknown:
-            base = r.rstrip(_PUNCTUATION)
-            if len(base) < len(r) and len(base) > 1 and base[-1:].isalnum() and r not in known:
-                tails[r] = (base, r[len(base) :])
-        todo = list(({r for r in unknown if r not in tails} | {x for pair in tails.values() for x in pair}) - self.new.keys())
-        width = self.dtype.itemsize
-        for at in range(0, len(todo), 8192):
-            part = todo[at : at + 8192]
-            ids = self._library([b"\n".join(part).decode()])[0]
-            cuts = np.flatnonzero(ids == self.newline[0])
-            raw = ids.tobytes()
-            begin, end = np.append(0, cuts + 1) * width, np.append(cuts, len(ids)) * width
-            self.new.update(zip(part, [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], strict=True))
-        self.new.update((r, self.new[base] + self.new[tail]) for r, (base, tail) in tails.items())
+    def _encoded(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs, one after the other, and how many each has: encoded joined by newlines, in a few calls."""
+        ids, counts = [], []
+        for at in range(0, len(runs), 8192):
+            found = self._library([b"\n".join(runs[at : at + 8192]).decode()])[0]
+            cuts = np.flatnonzero(found == self.newline[0])
+            counts.append(np.diff(np.concatenate([[-1], cuts, [len(found)]])) - 1)
+            ids.append(np.delete(found, cuts))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def __call__(self, buf: np.ndarray, off: np.ndarray, eos: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with ``eos`` at its end, and how many each has."""
         n = len(off) - 1
         odd = _odd(buf, off) if self.joined else np.ones(n, bool)
-        words = K.Words(buf, off, _BREAKS, lower=False)
-        doc = np.repeat(np.arange(n), np.diff(words.doc))
+        doc, start, end, h = _runs(buf, off)
         plain = ~odd[doc]
-        doc, start, end, h = doc[plain], words.start[plain], words.end[plain], words.hash[plain]
+        doc, start, end, h = doc[plain], start[plain], end[plain], h[plain]
         # a run's leading space is part of it; a newline before it is an id of its own
-        inner = start > off[doc]
-        before = np.where(inner, buf[np.maximum(start - 1, 0)], 0)
+        before = np.where(start > off[doc], buf[np.maximum(start - 1, 0)], 0)
         space, line = before == 32, (before == 10).astype(np.int64)
-        _, first, which = np.unique(h ^ np.where(space, np.uint64(0x5851F42D4C957F2D), np.uint64(0)), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        runs = [raw[a:b] for a, b in zip((start[first] - space[first]).tolist(), end[first].tolist(), strict=True)]
-        ids = list(map(self.new.get, runs))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if len(self.new) + len(missing) > REMEMBERED:
-            # a new generation begins; what it needs of the last one is found there
-            self.old, self.new = self.new, {}
-        self._learn([runs[i] for i in missing])
-        for i in missing:
-            ids[i] = self.new[runs[i]]
-        flat = np.frombuffer(b"".join(ids), self.dtype)
-        count = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
-        begin = np.cumsum(count) - count
-        whole = dict(zip(np.flatnonzero(odd).tolist(), self._library([raw[off[d] : off[d + 1]].decode() for d in np.flatnonzero(odd).tolist()]), strict=True))
+        which, kinds = pd.factorize(h ^ np.where(space, np.uint64(0x5851F42D4C957F2D), np.uint64(0)))
+        order = np.argsort(kinds)
+        kinds, rank = kinds[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        which = rank[which]
+        if len(self.memory) > REMEMBERED:
+            self.memory = _Memory(self.dtype)
+        begin, count = self.memory.find(kinds)
+        new = np.flatnonzero(begin < 0)
+        if len(new):
+            first = np.empty(len(kinds), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            raw, at = buf.tobytes(), first[new]
+            ids, counts = self._encoded([raw[a:b] for a, b in zip((start[at] - space[at]).tolist(), end[at].tolist(), strict=True)])
+            begin[new], count[new] = self.memory.add(kinds[new], ids, counts), counts
+        flat = self.memory.ids
+        some = np.flatnonzero(odd).tolist()
+        raw = buf.tobytes() if some else b""
+        whole = dict(zip(some, self._library([raw[off[d] : off[d + 1]].decode() for d in some]), strict=True))
 
         mine = count[which] if len(which) else np.zeros(0, np.int64)
         sizes = np.bincount(doc, mine + line, n).astype(np.int64) + 1
@@ -157,16 +202,6 @@ class Encoder:
         return out, sizes
 
 
-#: A worker's tasks share what they have learnt.
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     number = task.partitionId()
@@ -178,7 +213,8 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, eos:
     out = None
     for batch in batches:
         if encode is None:
-            encode = encoder(tokenizer)
+            # the stage's tasks share what they learn
+            encode = K.kept_for_stage(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
             store.create_dir(root, recursive=True)
             out = store.open_output_stream(f"{root}/{name}.bin", compression=None)
         docs.append(batch.column(0).fill_null(NULL_ID).to_numpy())
