@@ -65,13 +65,19 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k: int | None = 10, k1: float =
     without a match fill up the ranking in order of their ids, with a score of 0.
     """
     terms = queries.select("qid", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
-    vocabulary = small(terms.select("term").distinct())
-    lengths, stats = index(docs)
-    # only terms that a query has are counted: a narrow, partial aggregation
-    tf = lengths.select("id", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # one pass over the texts: of each document its length and those of its terms that a query has; statistics, frequencies
+    # and postings all read this exchange
+    vocabulary = small(terms.select("term").distinct().withColumn("_asked", F.lit(True)))
+    tokens = docs.select("id", F.explode_outer(T.search_tokens(F.col("text"))).alias("term")).join(vocabulary, "term", "left")
+    held = tokens.groupBy("id").agg(F.count("term").cast("int").alias("dl"), F.collect_list(F.when(F.col("_asked"), F.col("term"))).alias("terms"))
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = held.select("id", "dl", F.explode("terms").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
+    # with the queries' terms broadcast, scores are summed where the documents lie: nothing more is shuffled but k rows a query
     wanted = terms.join(weights, "term")
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     postings = tf if allowed is None else tf.join(allowed.select("id"), "id", "left_semi")
     part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = postings.join(wanted, "term").groupBy("qid", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
