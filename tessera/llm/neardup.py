@@ -238,10 +238,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
         .select("token", "p", "q", "block", "v", "n_shingles", "prints")
         .mapInArrow(lambda it: _agreeing(it, MATCHES, percent), "a binary, b binary")
     )
-    clusters = components(agreeing)
+    clusters = materialize(components(agreeing), "clusters")
 
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    members = clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "v", "n")
+    sizes = materialize(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    members = clusters.join(sized(sizes), "root").select(F.col("root").alias("cluster"), "v", "n")
     # one row of a class brings its text: the first of its smallest id (ids may be null or repeat)
     wanted = materialize(members.join(classes.select("v", "first_id"), "v"), "members")
     texts = docs.join(sized(wanted), docs["doc_id"].eqNullSafe(wanted["first_id"]))
@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
 
     rooted = classes.select("v", "first_id").join(linked, "v", "left").select("v", "first_id", F.coalesce("root", "v").alias("root"))
     rooted = materialize(rooted, "rooted")
-    best = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    answer = materialize(rooted.join(best, "root").select("v", "component_id"), "answer")
+    best = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "best")
+    answer = materialize(rooted.join(sized(best), "root").select("v", "component_id"), "answer")
     named = signed.where("v IS NOT NULL").join(answer, "v").select("doc_id", "n_shingles", "component_id")
     out = named.unionByName(signed.where("v IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
