@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import materialize, shuffle_parts
+from .support import materialize, shuffle_parts, sized
 
 SEED = 1202
 #: Deviations on either side of an estimate.
 BOUNDS = 4.0
 #: Vectors of a block; queries of a block.
-VECTORS = 16_384
+VECTORS = 4_096
 QUERIES = 1_024
 
 
@@ -174,13 +174,15 @@ def nearest(vectors: DataFrame, *, k: int = 20, every: int = 20, bounds: float =
         means.setdefault(r["dim"], []).append(r["x"])
 
     schema = "dim int, ids binary, vectors binary, codes binary"
-    blocks = materialize(usable.mapInArrow(lambda it: _packed(it, means, VECTORS, True), schema), "blocks")
+    blocks = usable.mapInArrow(lambda it: _packed(it, means, VECTORS, True), schema)
     queries = usable.where(F.col("vec_id") % every == 0).coalesce(max(1, parts // 2)).mapInArrow(lambda it: _packed(it, means, QUERIES, False), schema)
     queries = queries.select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    # every block of queries against every block of vectors, dealt out by pairs
-    # a pair is a heavy row: one task should have few
-    numbered = materialize(queries.withColumn("q", F.monotonically_increasing_id()), "queries")
-    pairs = numbered.join(blocks.withColumn("b", F.monotonically_increasing_id()), "dim").repartition(parts, "q", "b")
+    # every block of queries against every block of vectors of its length: pairs of block numbers first, which are small
+    # rows; then the queries, then the vectors by their block's number, so that no vector is shuffled twice
+    queries = materialize(queries.withColumn("q", F.monotonically_increasing_id()), "queries")
+    blocks = materialize(blocks.withColumn("b", F.monotonically_increasing_id()), "numbered")
+    numbers = queries.select("dim", "q").join(sized(blocks.select("dim", "b")), "dim").repartition(parts, "q", "b")
+    pairs = numbers.select("q", "b").join(queries.drop("dim"), "q").repartition(parts, "b").join(blocks, "b")
     found = pairs.select("dim", "query_ids", "queries", "ids", "vectors", "codes").mapInArrow(lambda it: _searched(it, means, k, bounds), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
