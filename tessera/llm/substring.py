@@ -63,7 +63,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _resolve(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For edges of sorted hashes: places of the sources, of the repeated ones, and the latter's sources' places."""
+    """For edges of sorted hashes: places of those that no smaller document has, here; of the repeated ones; and of the
+    latter's sources.  The first are all occurrences in the smallest document: it may walk an edge twice."""
     n = len(h)
     first = np.ones(n, bool)
     first[1:] = h[1:] != h[:-1]
@@ -75,7 +76,7 @@ def _resolve(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray) -
     lead[1:] = h[order][1:] != h[order][:-1]
     source = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]] if len(order) else order
     again = ids[doc[order]] > ids[doc[source]]
-    keep = np.sort(np.concatenate([np.flatnonzero(alone), order[lead]]))
+    keep = np.sort(np.concatenate([np.flatnonzero(alone), order[~again]]))
     return keep, order[again], source[again]
 
 
@@ -109,7 +110,8 @@ def _edges(batches: Iterator[pa.RecordBatch], window: int, keys: list[int]) -> I
             h, doc, pos = h[keep], doc[keep], pos[keep]
             cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
             rows = [(k, _pack(h[a:b], doc[a:b], pos[a:b], ids, th)) for k, a, b in zip(keys, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
-            extra = [local] + [None] * (len(rows) - 1)
+            extra: list[bytes | None] = [None] * len(rows)
+            extra[int(th[0]) % len(rows)] = local
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary()), pa.array(extra, pa.binary())], schema=_DEALT)
 
 

@@ -20,7 +20,7 @@ def corpus():
     """Copies, near copies, shared passages, short, empty, null, blank and long texts; a repeated row; a null id."""
     rows = [(i, t) for i, t in enumerate(BASE)]
     rows += [(10 + i, t.replace("w7x1", "changed", 1)) for i, t in enumerate(BASE)]
-    rows += [(20, BASE[0]), (21, BASE[0].upper()), (22, "one two"), (23, "One  TWO"), (24, ""), (25, None), (26, " \t\n"), (27, "été " * 5000 + BASE[1]), (28, f"a b c {BASE[2]} d e f"), (22, "one two"), (None, BASE[3]), (None, "lone text of no name")]
+    rows += [(20, BASE[0]), (21, BASE[0].upper()), (22, "one two"), (23, "One  TWO"), (24, ""), (25, None), (26, " \t\n"), (27, "été " * 5000 + BASE[1]), (28, f"a b c {BASE[2]} d e f"), (22, "one two"), (None, BASE[3]), (None, "lone text of no name"), (30, "r s t " * 12), (31, "r s t " * 12 + BASE[1]), (29, "q r s t " * 9 + "r s t " * 9)]
     return rows
 
 
@@ -104,6 +104,12 @@ def test_remove_repeats(docs):
         kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
         expected.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
     same(substring.remove_repeats(docs), expected)
+    # and with the documents in many small batches of several tasks
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        same(substring.remove_repeats(docs.repartition(3, "text")), expected)
+    finally:
+        docs.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_failed_paths_are_tested_edge_by_edge(docs, monkeypatch):
