@@ -26,7 +26,7 @@ from .support import materialize, shuffle_parts
 
 WINDOW = 13
 #: Bytes of text whose edges are packed together.
-PACK = 1 << 21
+PACK = 1 << 22
 #: The place of a null doc_id in the order: after all others, so that it's no one's source.
 LAST = (1 << 63) - 1
 
