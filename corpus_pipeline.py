@@ -20,6 +20,10 @@ from tessera.llm.toxicity import score_toxicity
 from tessera.shipping import ship
 
 
+#: Word-shingle similarity of near copies in the near_dedup stage, in hundredths; the op5 query keeps its own 85.
+NEAR_PERCENT = 80
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,9 +40,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id."""
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8 or more), the one of the smallest doc_id."""
     ship(spark)
-    return _without(docs, near_duplicates(docs).where("NOT kept").select("doc_id"))
+    return _without(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

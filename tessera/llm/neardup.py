@@ -7,12 +7,14 @@ compared block by block, in memory, and hand on a spanning forest of the pairs t
 the pairs.  Inside each connected cluster the full shingle sets decide, again by blocks; what leaves is a
 spanning forest of the confirmed links, whose components are the groups.
 
-A pair at the threshold agrees in K * 0.85 = 54.4 of 64 places (deviation 2.9); with t = 40 it is missed
-with a probability below 1e-5, higher similarities far less.  All else is exact.
+A pair at a similarity of p agrees in K * p of 64 places in the mean, by a binomial law; t is the largest that
+misses a pair at the threshold with a probability below 5e-6 (40 at 0.85, 36 at 0.80), higher similarities far
+less.  All else is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,8 @@ from . import kernels as K
 from .support import components, materialize, shuffle_parts, sized
 
 COORDINATES = 64
-MATCHES = 40
+#: Probability that a pair at the threshold is missed, at most.
+MISS = 5e-6
 SHINGLE = 5
 PERCENT = 85
 #: Members of a list or cluster that one task compares with as many others.
@@ -35,6 +38,16 @@ _A = _RNG.integers(1, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 
 
+def matches_for(percent: int) -> int:
+    """Places in which the signatures of a pair at ``percent`` agree but for a probability below ``MISS``; 1 at least."""
+    p, below = percent / 100, 0.0
+    for t in range(COORDINATES):
+        below += math.comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)
+        if below >= MISS:
+            return max(1, t)
+    return COORDINATES
+
+
 def minhash(shingles: np.ndarray) -> np.ndarray:
     """K minima of multiply-add hashes over the shingles' upper halves."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -50,9 +63,9 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return (np.array([shingles.sum(dtype=np.uint64), other.sum(dtype=np.uint64)]) + np.uint64(len(shingles))).tobytes()
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, matches: int) -> Iterator[pa.RecordBatch]:
     """Of each document: set size, digest of the set, postings of the prefix, a byte of each coordinate."""
-    prefix = COORDINATES - MATCHES + 1
+    prefix = COORDINATES - matches + 1
     salt = K.mix(np.arange(1, prefix + 1, dtype=np.uint64))
     for batch in batches:
         ids = batch.column(0)
@@ -209,9 +222,10 @@ def _blocks(members: DataFrame, key: str, count: str) -> DataFrame:
     )
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, v, posts, prints) of every row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, n_shingles long, v binary, posts array<long>, prints binary")
+def signatures(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, v, posts, prints) of every row of ``docs`` (doc_id, text); posts are the prefix for ``percent``."""
+    matches = matches_for(percent)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _signatures(it, shingle, matches), "doc_id long, n_shingles long, v binary, posts array<long>, prints binary")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -223,9 +237,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     a group of null ids alone has a null component_id and is kept.  Rows that repeat a doc_id and its text
     are all answered alike.  No documents give no rows.
     """
-    parts = shuffle_parts(docs.sparkSession)
+    parts, matches = shuffle_parts(docs.sparkSession), matches_for(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(signatures(docs, shingle), "signatures")
+    signed = materialize(signatures(docs, shingle, percent), "signatures")
     full = signed.where("v IS NOT NULL")
     classes = materialize(full.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("prints").alias("prints"), F.min("posts").alias("posts")), "classes")
 
@@ -236,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     agreeing = (
         in_lists.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
         .select("token", "p", "q", "block", "v", "n_shingles", "prints")
-        .mapInArrow(lambda it: _agreeing(it, MATCHES, percent), "a binary, b binary")
+        .mapInArrow(lambda it: _agreeing(it, matches, percent), "a binary, b binary")
     )
     clusters = materialize(components(agreeing), "clusters")
 

@@ -1,6 +1,7 @@
 """Operators over texts against brute force, with nulls, empty, long and repeated texts, and extra columns."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -89,6 +90,27 @@ def test_near_duplicates(docs):
     same(neardup.near_duplicates(docs), expected)
 
 
+def test_pipeline_drops_near_copies_from_080(spark):
+    """The stage's threshold is 0.8: of two planted pairs, that at 51/61 = 0.836 loses a copy and that at 49/63 = 0.778 none."""
+    import corpus_pipeline as pipeline
+
+    def text(name, *changed):
+        return " ".join(f"{name}{i}" if i not in changed else f"new{i}" for i in range(60))
+
+    rows = [(1, text("a")), (2, text("a", 30)), (3, text("b")), (4, text("b", 1, 30))]
+    near = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for (_, a), (_, b) in (rows[:2], rows[2:])]
+    assert near == pytest.approx([51 / 61, 49 / 63])
+    left = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]
+
+
+def test_matches_follow_the_threshold():
+    for percent in (50, 80, 85, 95):
+        t, p = neardup.matches_for(percent), percent / 100
+        assert sum(math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(t)) < 1e-5
+    assert (neardup.matches_for(85), neardup.matches_for(80), neardup.matches_for(100)) == (40, 36, 64)
+
+
 def test_remove_repeats(docs):
     rows = corpus()
     first = {}
