@@ -158,6 +158,23 @@ def test_rates_meet_targets(spark):
     assert min(up) >= 1.0
 
 
+def test_rates_meet_the_targets_of_scarce_domains(spark):
+    """By default a domain with 1 % of the tokens gets its share."""
+    shares = [0.2, 0.4, 0.2, 0.2]
+    sizes = [300, 390, 300, 10]
+    clear = [(n, [float(n) if i == d else 0.0 for i in range(4)]) for d, n in enumerate(sizes)]
+    out = mixing.fit_rates(spark.createDataFrame(clear, "tokens long, mass array<double>"), shares, budget=None, floor=0.0)
+    assert out.columns == ["tokens", "mass", "rate"]
+    got = np.sum([r["rate"] * np.array(r["mass"]) for r in out.collect()], axis=0)
+    assert got / 1000 == pytest.approx(shares, rel=0.01)
+
+
+def test_rates_that_have_not_settled_are_reported(spark):
+    frame = spark.createDataFrame([(900, [800.0, 100.0]), (100, [30.0, 70.0])], "tokens long, mass array<double>")
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        mixing.fit_rates(frame, [0.5, 0.5], budget=None, floor=0.0, steps=1)
+
+
 def test_mixing(spark):
     rows = [(i, ("le la les et " if i % 4 == 0 else "the of and to ") * 20, "n", 2.0) for i in range(80)] + [(90, None, "n", 1.0), (91, " \n", "n", 1.0), (None, "the of", "n", 1.0), (3, "the of", "n", 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string, rate double")
