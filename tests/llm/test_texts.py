@@ -134,12 +134,21 @@ def test_remove_repeats(docs):
         docs.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_failed_paths_are_tested_edge_by_edge(docs, monkeypatch):
-    """With a hash that takes all windows for one another, verification still lets no false path through."""
-    monkeypatch.setattr(substring, "repeated_paths", lambda d, window: d.sparkSession.createDataFrame([(28, th(d, 28), 3, 48, 2, th(d, 2), 0), (22, th(d, 22), 0, 1, 2, th(d, 2), 0)], ", ".join(f"{c} long" for c in substring._PATH)))
-    row = substring.remove_repeats(docs).where("doc_id = 28").first()
-    assert row["n_removed"] == 60
-    assert substring.remove_repeats(docs).where("doc_id = 22").first()["n_removed"] == 0
+def test_failed_paths_are_looked_up_edge_by_edge(docs, monkeypatch):
+    """With paths to documents that don't have the words, verification lets no false path through and finds the true sources."""
+    wrong = [(28, th(docs, 28), 3, 48, 3, th(docs, 3), 0), (22, th(docs, 22), 0, 1, 2, th(docs, 2), 0)]
+    monkeypatch.setattr(substring, "glue", lambda partial: partial.sparkSession.createDataFrame(wrong, substring._PATHS))
+    for most in (substring.SUSPECTS, 0):
+        monkeypatch.setattr(substring, "SUSPECTS", most)
+        removed = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()}
+        assert removed[28] == 60 and not sum(v for d, v in removed.items() if d != 28)
+
+
+def test_partial_paths_are_glued(spark):
+    """Chains become one path; a change of source, a gap, a repeated row and an overlap are kept apart or merged."""
+    rows = [(9, 0, 0, 4, 1, 0, 10), (9, 0, 4, 3, 1, 0, 14), (9, 0, 7, 1, 1, 0, 17), (9, 0, 8, 2, 2, 0, 0), (9, 0, 20, 2, 1, 0, 30), (8, 0, 4, 3, 1, 0, 14), (8, 0, 4, 3, 1, 0, 14), (8, 0, 5, 6, 1, 0, 15), (7, 0, 0, 2, 1, 0, 5), (7, 0, 2, 2, 1, 0, 3)]
+    glued = substring.glue(spark.createDataFrame(rows, substring._PATHS))
+    same(glued, [(9, 0, 0, 8, 1, 0, 10), (9, 0, 8, 2, 2, 0, 0), (9, 0, 20, 2, 1, 0, 30), (8, 0, 4, 7, 1, 0, 14), (7, 0, 0, 2, 1, 0, 5), (7, 0, 2, 2, 1, 0, 3)])
 
 
 def th(docs, i):
