@@ -1,11 +1,16 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Documents with the same shingle set are one class.  A class is posted under the first K - t + 1 of its K
-signature coordinates: two signatures that agree in t places must meet in one of these lists (the prefix
-bound of a t-occurrence join); the other coordinates are probed only for those who met.  Lists are
-compared block by block, in memory, and hand on a spanning forest of the pairs that agree in t places, never
-the pairs.  Inside each connected cluster the full shingle sets decide, again by blocks; what leaves is a
-spanning forest of the confirmed links, whose components are the groups.
+Documents with the same shingle set are one class.  Each of a class' K signature coordinates with its value is a token.
+Tokens are counted, and a class is posted under its K - t + 1 rarest ones: two signatures that agree in t places must
+meet in one of these lists, whatever the order (the prefix bound of a t-occurrence join), and a class with that many
+coordinates of its own meets nobody.  In a list, collisions over all coordinates are counted, skipping whom links join
+already; what is handed on is a spanning forest of the pairs that agree in t places, never the pairs.  Inside each
+connected cluster the full shingle sets decide; what leaves is a spanning forest of the confirmed links, whose components
+are the groups.
+
+A list of more than a block is settled by stars first: its members are counted against a few pivots, and the best
+of them are confirmed on full sets.  Members that a star joins need no comparison with each other; the others are compared
+with all.  So the rows of a group of n near copies of which k miss the stars are n + k * n / BLOCK.
 
 A pair at a similarity of p agrees in K * p of 64 places in the mean, by a binomial law; t is the largest that
 misses a pair at the threshold with a probability below 5e-6 (40 at 0.85, 36 at 0.80), higher similarities far
@@ -15,11 +20,11 @@ less.  All else is exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -32,10 +37,15 @@ SHINGLE = 5
 PERCENT = 85
 #: Members of a list or cluster that one task compares with as many others.
 BLOCK = 512
+#: Frequent tokens whose counts order the others' postings: as many as every task can hold.
+FREQUENT = 200_000
+#: Members of a long list that all others are counted against, and confirmed stars that a member may join.
+PIVOTS, STARS = 16, 3
 
 _RNG = np.random.default_rng(8191)
 _A = _RNG.integers(1, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
+_SALT = K.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
 
 def matches_for(percent: int) -> int:
@@ -63,49 +73,82 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return (np.array([shingles.sum(dtype=np.uint64), other.sum(dtype=np.uint64)]) + np.uint64(len(shingles))).tobytes()
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], shingle: int, matches: int) -> Iterator[pa.RecordBatch]:
-    """Of each document: set size, digest of the set, postings of the prefix, a byte of each coordinate."""
-    prefix = COORDINATES - matches + 1
-    salt = K.mix(np.arange(1, prefix + 1, dtype=np.uint64))
+def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Of each document: set size, digest of the set, signature."""
     for batch in batches:
         ids = batch.column(0)
         buf, off = K.binary_column(batch, "text")
         for lo, hi in K.slices(off):
             words = K.Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], K.SPACES, lower=True)
-            n, digest, posts, prints = [], [], [], []
+            n, digest, signs = [], [], []
             for a, b in zip(words.doc[:-1].tolist(), words.doc[1:].tolist(), strict=True):
-                if a == b:
-                    n.append(0), digest.append(None), posts.append(None), prints.append(None)
-                    continue
                 s = K.shingle_set(words.hash[a:b], shingle)
-                h = minhash(s)
                 n.append(len(s))
-                digest.append(set_digest(s))
-                posts.append(K.mix(h[:prefix].astype(np.uint64) ^ salt).view(np.int64))
-                prints.append((K.mix(h.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(prints, pa.binary())],
-                names=["doc_id", "n_shingles", "v", "posts", "prints"],
-            )
+                digest.append(set_digest(s) if len(s) else None)
+                signs.append(minhash(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "v", "signature"])
 
 
-class _Forest:
-    """Union-find over 0..n-1 that keeps the edges that joined two trees."""
+def _tokens(signs: pa.Array) -> np.ndarray:
+    """Coordinate and value as one number, a row of K for each signature."""
+    h = np.frombuffer(b"".join(signs.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    return K.mix(h.astype(np.uint64) ^ _SALT)
 
-    def __init__(self, n: int) -> None:
-        self.up, self.edges = list(range(n)), []
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_tokens(batch.column(0)).view(np.int64).ravel())], names=["token"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch], prefix: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(token, v) of each class' rarest tokens; ``frequent`` are sorted, all others count as 0."""
+    for batch in batches:
+        tokens = _tokens(batch.column(1))
+        weight = np.zeros(tokens.shape, np.int64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+            weight = np.where(frequent[at] == tokens, counts[at], 0)
+        first = np.lexsort((tokens, weight), axis=1)[:, :prefix]
+        own = pa.array(np.repeat(np.arange(len(tokens)), prefix))
+        yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(tokens, first, 1).view(np.int64).ravel()), batch.column(0).take(own)], names=["token", "v"])
+
+
+def _agreements(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return (prints == one).sum(1)
 
-    def join(self, x: int, y: int) -> None:
-        a, b = self.find(x), self.find(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.edges.append((x, y))
+
+def _prints(signs: pa.ChunkedArray) -> np.ndarray:
+    """A byte of each coordinate."""
+    h = np.frombuffer(b"".join(signs.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    return (K.mix(h.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+
+
+def _joined(label: np.ndarray, left: np.ndarray, right: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that ``near`` (member, others -> which) holds for, beyond the ``label`` that members share.
+
+    Whom links join already is skipped, so that a dense group takes a few rounds over its members, not one for each of them.
+    """
+    label, edges = label.copy(), []
+    for i in left.tolist():
+        others = right[label[right] != label[i]]
+        if left is right:
+            others = others[others > i]
+        if not len(others):
+            continue
+        for j in others[near(i, others)].tolist():
+            if label[j] != label[i]:
+                edges.append((i, j))
+                label[label == label[j]] = label[i]
+    return edges
+
+
+def _edge_rows(v: list[bytes], edges: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if edges:
+        yield pa.RecordBatch.from_arrays([pa.array([v[i] for i, _ in edges], pa.binary()), pa.array([v[j] for _, j in edges], pa.binary())], names=["a", "b"])
+
+
+def _labels(run: pa.Table) -> np.ndarray:
+    return np.unique(np.array(run["label"].to_pylist(), object), return_inverse=True)[1]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -138,94 +181,153 @@ def _sides(block: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _agreeing(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the pairs of a list that agree in enough coordinates and may reach the similarity by size."""
-    out_a: list[bytes] = []
-    out_b: list[bytes] = []
     for run in _runs(batches, ["token", "p", "q"]):
-        m = run.num_rows
-        if m < 2:
+        if run.num_rows < 2:
             continue
-        v = run["v"].to_pylist()
-        prints = np.frombuffer(b"".join(run["prints"].to_pylist()), np.uint8).reshape(m, COORDINATES)
-        n = run["n_shingles"].to_numpy()
-        if m == 2:
-            if int((prints[0] == prints[1]).sum()) >= matches and 100 * n.min() >= percent * n.max():
-                out_a.append(v[0]), out_b.append(v[1])
-        else:
-            left, right = _sides(run["block"].to_numpy(), run["p"][0].as_py(), run["q"][0].as_py())
-            forest = _Forest(m)
-            for i in left.tolist():
-                others = right[right > i] if left is right else right
-                good = others[((prints[others] == prints[i]).sum(1) >= matches) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-                for j in good.tolist():
-                    forest.join(i, j)
-            for i, j in forest.edges:
-                out_a.append(v[i]), out_b.append(v[j])
-        if len(out_a) > 8192:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-            out_a, out_b = [], []
-    if out_a:
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+        prints, n = _prints(run["signature"]), run["n_shingles"].to_numpy()
+        near = lambda i, o: (_agreements(prints[o], prints[i]) >= matches) & (100 * np.minimum(n[o], n[i]) >= percent * np.maximum(n[o], n[i]))  # noqa: E731, B023
+        yield from _edge_rows(run["v"].to_pylist(), _joined(_labels(run), *_sides(run["block"].to_numpy(), run["p"][0].as_py(), run["q"][0].as_py()), near))
+
+
+def _best_pivots(batches: Iterator[pa.RecordBatch], matches: int) -> Iterator[pa.RecordBatch]:
+    """Of each member of a part of a long list the pivots with which it agrees most."""
+    for run in _runs(batches, ["token", "part"]):
+        v, prints, lead = run["v"].to_pylist(), _prints(run["signature"]), run["lead"].to_numpy(zero_copy_only=False).astype(bool)
+        out: list[tuple[bytes, bytes, int]] = []
+        pivots = np.flatnonzero(lead)
+        for i in np.flatnonzero(~lead).tolist():
+            agree = _agreements(prints[pivots], prints[i])
+            out += [(v[i], v[pivots[j]], int(agree[j])) for j in np.argsort(-agree, kind="stable")[:STARS].tolist() if agree[j] >= matches and v[i] != v[pivots[j]]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64())], names=["v", "pivot", "agree"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of members to their pivots, whose set leads the run."""
+    for run in _runs(batches, ["pivot", "part"]):
+        lead = run["lead"].to_numpy(zero_copy_only=False).astype(bool)
+        sets = [np.frombuffer(x, np.uint64) for x in run["shingles"].to_pylist()]
+        own = sets[int(np.flatnonzero(lead)[0])]
+        v, pivot, edges = run["v"].to_pylist(), int(np.flatnonzero(lead)[0]), []
+        for i in np.flatnonzero(~lead).tolist():
+            shared = len(np.intersect1d(own, sets[i], assume_unique=True))
+            if 100 * shared >= percent * (len(own) + len(sets[i]) - shared):
+                edges.append((pivot, i))
+        yield from _edge_rows(v, edges)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """The texts of cluster members as full shingle sets."""
+    """(v, shingles): the texts of classes as full shingle sets."""
     for batch in batches:
         buf, off = K.binary_column(batch, "text")
         for lo, hi in K.slices(off):
             words = K.Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], K.SPACES, lower=True)
             sets = [K.shingle_set(words.hash[a:b], shingle) for a, b in zip(words.doc[:-1].tolist(), words.doc[1:].tolist(), strict=True)]
-            part = batch.slice(lo, hi - lo)
+            v = batch.column(0).slice(lo, hi - lo)
             # a doc_id may repeat with another text: keep the text that the class is made of
-            own = [set_digest(x) == v for x, v in zip(sets, part.column(part.schema.get_field_index("v")).to_pylist(), strict=True)]
-            part, sets = part.filter(pa.array(own)), [x.tobytes() for x, mine in zip(sets, own, strict=True) if mine]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("cluster", "p", "q", "block", "v")] + [pa.array(sets, pa.binary())], names=["cluster", "p", "q", "block", "v", "shingles"])
+            own = [set_digest(x) == y for x, y in zip(sets, v.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([v.filter(pa.array(own)), pa.array([x.tobytes() for x, mine in zip(sets, own, strict=True) if mine], pa.binary())], names=["v", "shingles"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the pairs of a cluster whose full sets are similar enough."""
     for run in _runs(batches, ["cluster", "p", "q"]):
-        m = run.num_rows
-        if m < 2:
+        if run.num_rows < 2:
             continue
-        v = run["v"].to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in run["shingles"].to_pylist()]
-        left, right = _sides(run["block"].to_numpy(), run["p"][0].as_py(), run["q"][0].as_py())
         sizes = np.array([len(s) for s in sets])
         at = np.concatenate([[0], np.cumsum(sizes)])
         distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
         mark = np.zeros(len(distinct), np.int64)
-        near = place if left is right else np.concatenate([place[at[j] : at[j + 1]] for j in right.tolist()])
-        bounds = at[:-1] if left is right else np.concatenate([[0], np.cumsum(sizes[right])])[:-1]
-        forest = _Forest(m)
-        for i in left.tolist():
-            mark[place[at[i] : at[i + 1]]] = 1
-            shared = np.add.reduceat(mark[near], bounds)
-            mark[place[at[i] : at[i + 1]]] = 0
-            linked = 100 * shared >= percent * (sizes[i] + sizes[right] - shared)
-            for j in right[linked].tolist():
-                if j != i:
-                    forest.join(i, j)
-        if forest.edges:
-            yield pa.RecordBatch.from_arrays([pa.array([v[i] for i, _ in forest.edges], pa.binary()), pa.array([v[j] for _, j in forest.edges], pa.binary())], names=["a", "b"])
-
-
-def _blocks(members: DataFrame, key: str, count: str) -> DataFrame:
-    """A row for each pair of blocks (p <= q) of its group that a member takes part in."""
-    blocks = F.ceil(F.col(count) / BLOCK).cast("int")
-    return (
-        members.withColumn("_n", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("v"), F.col("_n")).cast("int"))
-        .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .withColumn("p", F.least("block", "_o"))
-        .withColumn("q", F.greatest("block", "_o"))
-        .drop("_n", "_o", count)
-    )
-
-
-def signatures(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, v, posts, prints) of every row of ``docs`` (doc_id, text); posts are the prefix for ``percent``."""
+
+        def near(i: int, others: np.ndarray, sizes: np.ndarray = sizes, at: np.ndarray = at, place: np.ndarray = place, mark: np.ndarray = mark) -> np.ndarray:
+            alike = 100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])
+            some = others[alike]
+            if len(some):
+                ends = np.cumsum(sizes[some])
+                flat = np.repeat(at[some] - (ends - sizes[some]), sizes[some]) + np.arange(ends[-1])
+                mark[place[at[i] : at[i + 1]]] = 1
+                shared = np.add.reduceat(mark[place[flat]], ends - sizes[some])
+                mark[place[at[i] : at[i + 1]]] = 0
+                alike[alike] = 100 * shared >= percent * (sizes[i] + sizes[some] - shared)
+            return alike
+
+        yield from _edge_rows(run["v"].to_pylist(), _joined(_labels(run), *_sides(run["block"].to_numpy(), run["p"][0].as_py(), run["q"][0].as_py()), near))
+
+
+def _blocks(members: DataFrame, key: str) -> DataFrame:
+    """``members`` (key, v, label, n: how many have the key) dealt to the pairs of blocks (p <= q) that they are compared in.
+
+    A group of up to a block is one pair, (0, 0).  In a larger one those of its most frequent label, whom links join
+    already, take part in as many pairs as the others fill blocks, the others in a pair with every block; a group of
+    one label in none.
+    """
+    zero = F.lit(0)
+    small = members.where(F.col("n") <= BLOCK).select("*", zero.alias("block"), zero.alias("p"), zero.alias("q"))
+    large = members.where(F.col("n") > BLOCK)
+    per = large.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"))
+    most = per.groupBy(key).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where("top.c < all")
+    most = most.select(key, F.col("top.label").alias("_top"), F.when(F.col("top.c") > 1, F.ceil(F.col("top.c") / BLOCK)).otherwise(0).cast("int").alias("_joined"), F.ceil((F.col("all") - F.when(F.col("top.c") > 1, F.col("top.c")).otherwise(0)) / BLOCK).cast("int").alias("_free"))
+    held = large.join(sized(materialize(most, "most")), key)
+    star = (F.col("label") == F.col("_top")) & (F.col("_joined") > 0)
+    spot = F.when(star, F.pmod(F.xxhash64("v"), F.col("_joined"))).otherwise(F.col("_joined") + F.pmod(F.xxhash64("v"), F.col("_free"))).cast("int")
+    met = F.sequence(F.when(star, F.col("_joined")).otherwise(0), F.col("_joined") + F.col("_free") - 1)
+    held = held.withColumn("block", spot).withColumn("_o", F.explode(met)).withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o"))
+    return small.unionByName(held.select(*small.columns))
+
+
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, v, signature) of every row of ``docs`` (doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, n_shingles long, v binary, signature binary")
+
+
+def _postings(classes: DataFrame, prefix: int) -> DataFrame:
+    """(token, v) of each class' rarest tokens.  The most frequent tokens, as many as fit into every task, are told apart by
+    their counts; any order that is the same for all keeps the prefix bound."""
+    counts = materialize(classes.select("signature").mapInArrow(_all_tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    sizes = {r["bits"]: r["c"] for r in counts.groupBy(F.floor(F.log2("n")).alias("bits")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    least, held = 64, 0
+    while least > 1 and held + sizes.get(least - 1, 0) <= FREQUENT:
+        least -= 1
+        held += sizes.get(least, 0)
+    rows = counts.where(F.col("n") >= 2.0**least).orderBy("token").collect()
+    frequent = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    frequent, weights = frequent[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return classes.select("v", "signature").mapInArrow(lambda it: _posted(it, prefix, frequent, weights), "token long, v binary")
+
+
+def _full_sets(docs: DataFrame, members: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(v, shingles) of the classes ``members`` (v): one row brings a class' text, the first of its smallest id (ids may be
+    null or repeat)."""
+    wanted = materialize(members.select("v").distinct().join(classes.select("v", "first_id"), "v"), "wanted")
+    texts = docs.join(sized(wanted), docs["doc_id"].eqNullSafe(wanted["first_id"])).select("v", "text")
+    return materialize(texts.mapInArrow(lambda it: _sets(it, shingle), "v binary, shingles binary").dropDuplicates(["v"]), "sets")
+
+
+def _star_links(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle: int, percent: int, parts: int) -> DataFrame:
+    """Confirmed links (a, b) of the members of long lists to pivots."""
     matches = matches_for(percent)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _signatures(it, shingle, matches), "doc_id long, n_shingles long, v binary, posts array<long>, prints binary")
+    long = materialize(met.where(F.col("n") > BLOCK), "long")
+    empty = long.select(F.col("v").alias("a"), F.col("v").alias("b")).limit(0)
+    if long.isEmpty():
+        return empty
+    first = F.row_number().over(Window.partitionBy("token").orderBy("v"))
+    leads = long.select("token", "v", "n", first.alias("r")).where(F.col("r") <= PIVOTS)
+    dealt = F.ceil(F.col("n") / BLOCK).cast("int")
+    others = long.select("token", "v", F.pmod(F.xxhash64("v"), dealt).cast("int").alias("part"), F.lit(False).alias("lead"))
+    leads = leads.select("token", "v", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("part"), F.lit(True).alias("lead"))
+    rows = others.unionByName(leads).join(classes.select("v", "signature"), "v").select("token", "part", "lead", "v", "signature")
+    best = rows.repartition(parts, "token", "part").sortWithinPartitions("token", "part").mapInArrow(lambda it: _best_pivots(it, matches), "v binary, pivot binary, agree long")
+    best = best.groupBy("v", "pivot").agg(F.max("agree").alias("agree"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.col("agree").desc(), "pivot"))
+    pairs = materialize(best.withColumn("r", rank).where(F.col("r") <= STARS).select("v", "pivot"), "pairs")
+    sets = _full_sets(docs, pairs.select("v").unionByName(pairs.select(F.col("pivot").alias("v"))), classes, shingle)
+    deals = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "deals")
+    stars = pairs.join(sized(deals), "pivot").select("pivot", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("lead"), "v")
+    own = deals.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"), F.col("pivot").alias("v"))
+    rows = stars.unionByName(own).join(sets, "v").select("pivot", "part", "lead", "v", "shingles")
+    return materialize(rows.repartition(parts, "pivot", "part").sortWithinPartitions("pivot", "part").mapInArrow(lambda it: _stars(it, percent), "a binary, b binary"), "stars")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -239,34 +341,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     """
     parts, matches = shuffle_parts(docs.sparkSession), matches_for(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(signatures(docs, shingle, percent), "signatures")
+    signed = materialize(signatures(docs, shingle), "signatures")
     full = signed.where("v IS NOT NULL")
-    classes = materialize(full.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("prints").alias("prints"), F.min("posts").alias("posts")), "classes")
+    classes = materialize(full.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
 
-    posted = classes.select("v", F.explode("posts").alias("token"))
+    posted = materialize(_postings(classes, COORDINATES - matches + 1), "posted")
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(posted.join(materialize(lists, "lists"), "token"), "met")
-    in_lists = _blocks(met.join(classes.select("v", "n_shingles", "prints"), "v"), "token", "n")
+    stars = _star_links(docs, met, classes, shingle, percent, parts)
+    labels = materialize(components(stars).select("v", F.col("root").alias("label")), "labels")
+    labelled = lambda rows: rows.join(sized(labels), "v", "left").withColumn("label", F.coalesce("label", "v"))
+    in_lists = _blocks(labelled(met), "token").join(classes.select("v", "n_shingles", "signature"), "v")
     agreeing = (
-        in_lists.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
-        .select("token", "p", "q", "block", "v", "n_shingles", "prints")
+        in_lists.select("token", "p", "q", "block", "v", "label", "n_shingles", "signature")
+        .repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
         .mapInArrow(lambda it: _agreeing(it, matches, percent), "a binary, b binary")
     )
-    clusters = materialize(components(agreeing), "clusters")
+    clusters = materialize(components(agreeing.unionByName(stars)), "clusters")
 
     sizes = materialize(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    members = clusters.join(sized(sizes), "root").select(F.col("root").alias("cluster"), "v", "n")
-    # one row of a class brings its text: the first of its smallest id (ids may be null or repeat)
-    wanted = materialize(members.join(classes.select("v", "first_id"), "v"), "members")
-    texts = docs.join(sized(wanted), docs["doc_id"].eqNullSafe(wanted["first_id"]))
-    blocks = _blocks(texts.select("v", "text", "cluster", "n"), "cluster", "n")
+    members = labelled(clusters.join(sized(sizes), "root").select(F.col("root").alias("cluster"), "v", "n"))
+    blocks = materialize(_blocks(members, "cluster"), "blocks")
+    sets = _full_sets(docs, blocks, classes, shingle)
     confirmed = (
-        blocks.select("cluster", "p", "q", "block", "v", "text")
-        .mapInArrow(lambda it: _sets(it, shingle), "cluster binary, p int, q int, block int, v binary, shingles binary")
+        blocks.join(sets, "v").select("cluster", "p", "q", "block", "v", "label", "shingles")
         .repartition(parts, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
         .mapInArrow(lambda it: _confirmed(it, percent), "a binary, b binary")
     )
-    linked = components(confirmed)
+    linked = components(confirmed.unionByName(stars))
 
     rooted = classes.select("v", "first_id").join(linked, "v", "left").select("v", "first_id", F.coalesce("root", "v").alias("root"))
     rooted = materialize(rooted, "rooted")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,6 +105,57 @@ def test_pipeline_drops_near_copies_from_080(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]
 
 
+def linked_components(sets, percent=85):
+    """Smallest id of each one's group, by comparing all pairs."""
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("block", [8])
+def test_large_groups_of_different_near_copies(spark, monkeypatch, block):
+    """Dense groups, members at their border, chains, and documents that share half of their words with a group."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for p in rng.choice(140, rng.integers(0, 6 if i % 3 else 40), replace=False):
+            words[p] = f"x{rng.integers(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+    chain = [f"c{i}" for i in range(160)]
+    for i in range(60):
+        rows.append((1000 + i, " ".join(chain[i // 2 : 100 + i // 2 + i % 2])))
+    expected = linked_components({d: shingles(t) for d, t in rows})
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    sizes = sorted(Counter(expected.values()).values())
+    assert sizes[-1] > 10 * block and sizes[0] == 1
+
+
+def test_rows_of_a_group_are_linear(spark, monkeypatch):
+    """Blocks of n members of one label and k others: n + k * n / BLOCK rows; none for one label alone."""
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    group = lambda n, k: spark.createDataFrame([("g", f"v{i}".encode(), b"star" if i >= k else f"v{i}".encode(), n) for i in range(n)], "token string, v binary, label binary, n long")
+    for n in (100, 200, 400):
+        assert neardup._blocks(group(n, 0), "token").count() == 0
+        rows = neardup._blocks(group(n, 5), "token")
+        assert rows.count() <= n + 5 * (n // 10 + 2)
+        met = rows.alias("x").join(rows.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "p", "q")]).where("x.v < y.v").select("x.v", "y.v").distinct()
+        assert met.where("x.label <> y.label").count() == 5 * (n - 5) + 10
+
+
 def test_matches_follow_the_threshold():
     for percent in (50, 80, 85, 95):
         t, p = neardup.matches_for(percent), percent / 100
