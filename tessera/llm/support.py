@@ -14,9 +14,21 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that every executor sees, below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    """A fresh folder that every executor sees, below spark.checkpoint.dir; it goes when the application ends.
+
+    A cluster must name that folder: a machine's own would hold each executor's part on its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = OWN_FOLDER
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(held)
+    files.deleteOnExit(held)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
