@@ -74,19 +74,21 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Of each document: set size, digest of the set, signature."""
+    """Of each document: set size, digest of the set, signature, a byte of each coordinate."""
     for batch in batches:
         ids = batch.column(0)
         buf, off = K.binary_column(batch, "text")
         for lo, hi in K.slices(off):
             words = K.Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], K.SPACES, lower=True)
-            n, digest, signs = [], [], []
+            n, digest, signs, prints = [], [], [], []
             for a, b in zip(words.doc[:-1].tolist(), words.doc[1:].tolist(), strict=True):
                 s = K.shingle_set(words.hash[a:b], shingle)
                 n.append(len(s))
                 digest.append(set_digest(s) if len(s) else None)
-                signs.append(minhash(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "v", "signature"])
+                h = minhash(s)
+                signs.append(h.tobytes() if len(s) else None)
+                prints.append((K.mix(h.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signs, pa.binary()), pa.array(prints, pa.binary())], names=["doc_id", "n_shingles", "v", "signature", "prints"])
 
 
 def _tokens(signs: pa.Array) -> np.ndarray:
@@ -117,10 +119,8 @@ def _agreements(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (prints == one).sum(1)
 
 
-def _prints(signs: pa.ChunkedArray) -> np.ndarray:
-    """A byte of each coordinate."""
-    h = np.frombuffer(b"".join(signs.to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    return (K.mix(h.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+def _matrix(prints: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
 def _joined(label: np.ndarray, left: np.ndarray, right: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -151,8 +151,9 @@ def _labels(run: pa.Table) -> np.ndarray:
     return np.unique(np.array(run["label"].to_pylist(), object), return_inverse=True)[1]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows of equal keys, over the borders of batches."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], pairs: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]] | None = None) -> Iterator[pa.Table | pa.RecordBatch]:
+    """Consecutive rows of equal keys, over the borders of batches.  With ``pairs``, runs of two inside a batch are not yielded:
+    what ``pairs`` makes of the batch and their first places is."""
     held: list[pa.RecordBatch] = []
     held_key = None
     for batch in batches:
@@ -162,8 +163,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         change = np.zeros(batch.num_rows, bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        cuts = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]])
+        whole = np.ones(len(cuts) - 1, bool)
+        if pairs:  # the first run may go on from the last batch, the last one into the next
+            two = (np.diff(cuts) == 2) & (np.arange(len(cuts) - 1) > 0) & (np.arange(len(cuts) - 1) < len(cuts) - 2)
+            whole &= ~two & ((np.diff(cuts) > 1) | (np.arange(len(cuts) - 1) == 0) | (np.arange(len(cuts) - 1) == len(cuts) - 2))
+            if two.any():
+                yield from pairs(batch, cuts[:-1][two])
+        for lo, hi in zip(cuts[:-1][whole].tolist(), cuts[1:][whole].tolist(), strict=True):
             key = tuple(c[lo] for c in columns)
             if held and key != held_key:
                 yield pa.Table.from_batches(held)
@@ -181,18 +188,30 @@ def _sides(block: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _agreeing(batches: Iterator[pa.RecordBatch], matches: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the pairs of a list that agree in enough coordinates and may reach the similarity by size."""
-    for run in _runs(batches, ["token", "p", "q"]):
-        if run.num_rows < 2:
-            continue
-        prints, n = _prints(run["signature"]), run["n_shingles"].to_numpy()
-        near = lambda i, o: (_agreements(prints[o], prints[i]) >= matches) & (100 * np.minimum(n[o], n[i]) >= percent * np.maximum(n[o], n[i]))  # noqa: E731, B023
-        yield from _edge_rows(run["v"].to_pylist(), _joined(_labels(run), *_sides(run["block"].to_numpy(), run["p"][0].as_py(), run["q"][0].as_py()), near))
+
+    def alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+    def pairs(batch: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        prints, n = _matrix(column("prints")), column("n_shingles").to_numpy(zero_copy_only=False)
+        good = first[((prints[first] == prints[first + 1]).sum(1) >= matches) & alike(n[first], n[first + 1])]
+        if len(good):
+            yield pa.RecordBatch.from_arrays([column("v").take(pa.array(good)), column("v").take(pa.array(good + 1))], names=["a", "b"])
+
+    for run in _runs(batches, ["token", "p", "q"], pairs):
+        if isinstance(run, pa.RecordBatch):
+            yield run
+        elif run.num_rows > 1:
+            prints, n = _matrix(run["prints"]), run["n_shingles"].to_numpy()
+            near = lambda i, o: (_agreements(prints[o], prints[i]) >= matches) & alike(n[o], n[i])  # noqa: E731, B023
+            yield from _edge_rows(run["v"].to_pylist(), _joined(_labels(run), *_sides(run["block"].to_numpy(), run["p"][0].as_py(), run["q"][0].as_py()), near))
 
 
 def _best_pivots(batches: Iterator[pa.RecordBatch], matches: int) -> Iterator[pa.RecordBatch]:
     """Of each member of a part of a long list the pivots with which it agrees most."""
     for run in _runs(batches, ["token", "part"]):
-        v, prints, lead = run["v"].to_pylist(), _prints(run["signature"]), run["lead"].to_numpy(zero_copy_only=False).astype(bool)
+        v, prints, lead = run["v"].to_pylist(), _matrix(run["prints"]), run["lead"].to_numpy(zero_copy_only=False).astype(bool)
         out: list[tuple[bytes, bytes, int]] = []
         pivots = np.flatnonzero(lead)
         for i in np.flatnonzero(~lead).tolist():
@@ -277,8 +296,8 @@ def _blocks(members: DataFrame, key: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, v, signature) of every row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, n_shingles long, v binary, signature binary")
+    """(doc_id, n_shingles, v, signature, prints) of every row of ``docs`` (doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, n_shingles long, v binary, signature binary, prints binary")
 
 
 def _postings(classes: DataFrame, prefix: int) -> DataFrame:
@@ -317,7 +336,7 @@ def _star_links(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle: in
     dealt = F.ceil(F.col("n") / BLOCK).cast("int")
     others = long.select("token", "v", F.pmod(F.xxhash64("v"), dealt).cast("int").alias("part"), F.lit(False).alias("lead"))
     leads = leads.select("token", "v", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("part"), F.lit(True).alias("lead"))
-    rows = others.unionByName(leads).join(classes.select("v", "signature"), "v").select("token", "part", "lead", "v", "signature")
+    rows = others.unionByName(leads).join(classes.select("v", "prints"), "v").select("token", "part", "lead", "v", "prints")
     best = rows.repartition(parts, "token", "part").sortWithinPartitions("token", "part").mapInArrow(lambda it: _best_pivots(it, matches), "v binary, pivot binary, agree long")
     best = best.groupBy("v", "pivot").agg(F.max("agree").alias("agree"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy(F.col("agree").desc(), "pivot"))
@@ -343,7 +362,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signatures(docs, shingle), "signatures")
     full = signed.where("v IS NOT NULL")
-    classes = materialize(full.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "classes")
+    classes = materialize(full.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("prints").alias("prints")), "classes")
 
     posted = materialize(_postings(classes, COORDINATES - matches + 1), "posted")
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -351,9 +370,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     stars = _star_links(docs, met, classes, shingle, percent, parts)
     labels = materialize(components(stars).select("v", F.col("root").alias("label")), "labels")
     labelled = lambda rows: rows.join(sized(labels), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    in_lists = _blocks(labelled(met), "token").join(classes.select("v", "n_shingles", "signature"), "v")
+    in_lists = _blocks(labelled(met), "token").join(classes.select("v", "n_shingles", "prints"), "v")
     agreeing = (
-        in_lists.select("token", "p", "q", "block", "v", "label", "n_shingles", "signature")
+        in_lists.select("token", "p", "q", "block", "v", "label", "n_shingles", "prints")
         .repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
         .mapInArrow(lambda it: _agreeing(it, matches, percent), "a binary, b binary")
     )
