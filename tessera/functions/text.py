@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ PRICE_IN_PER_MILLION = 0.20
 PRICE_OUT_PER_MILLION = 1.20
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
+# The titles of the items that are parsed.
+ITEM_TITLES = {
+    "1A": "Risk Factors",
+    "7": "Management's Discussion and Analysis of Financial Condition and Results of Operations",
+    "7A": "Quantitative and Qualitative Disclosures About Market Risk",
+}
+
+#: The stages whose times add up to a search's; an answer's is served after its generation too.
+STAGES_MS = ("encode_ms", "dense_ms", "sparse_ms", "fuse_ms", "rerank_ms")
+
 #: ASCII punctuation, as Python's string.punctuation.
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -49,9 +61,13 @@ def leading_space(text: Column) -> Column:
     return F.length(F.regexp_extract(text, r"(?U)^\s*", 0))
 
 
-def joined_length(parts: Column, first: Column, count: Column) -> Column:
-    """Characters of ``count`` array elements from the ``first``."""
-    return F.length(F.array_join(F.slice(parts, first, count), ""))
+def clip(text: Column, start: Column, end: Column, most: int, *, offset: Column | int = 0) -> Column:
+    """The stretch from ``start`` to ``end``, cut to ``most`` tokens: a struct of text, char_start, char_end and token_count, whose
+    offsets count from ``offset``."""
+    piece = F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+    held = F.when(token_count(piece) > most, truncate_tokens(piece, most)).otherwise(piece)
+    at = F.lit(offset) if isinstance(offset, int) else offset
+    return F.struct(held.alias("text"), (at + start).cast("int").alias("char_start"), (at + start + F.length(held)).cast("int").alias("char_end"), token_count(held).alias("token_count"))
 
 
 def truncate_tokens(text: Column, most: int) -> Column:
@@ -130,24 +146,43 @@ def drop_after_exhibit(html: Column) -> Column:
 
 
 def flatten_tables(html: Column) -> Column:
-    """Cells joined by " | " and rows by newlines."""
-    cells = F.regexp_replace(html, r"(?is)</t[dh]>\s*(?:<[^t/][^>]*>\s*)*<t[dh][^>]*>", " | ")
-    return F.regexp_replace(cells, r"(?is)</tr>", "\n")
+    """Each table as its rows on lines, a row's cells joined by " | ".  Blank cells, rows and tables go."""
+    bare = lambda cell: collapse_space(F.regexp_replace(F.regexp_replace(F.regexp_replace(cell, r"(?s)<[^>]*>", " "), "&nbsp;|&#160;", " "), "\x02", " "))
+    cells = lambda row: F.filter(F.transform(F.slice(F.split(row, r"(?i)<t[dh]\b[^>]*>"), 2, 1 << 30), bare), lambda c: c != "")
+    rows = lambda body: F.filter(F.transform(F.split(body, r"(?i)<tr\b[^>]*>"), lambda r: F.array_join(cells(r), " | ")), lambda r: r != "")
+
+    def part(piece: Column) -> Column:
+        ends = F.regexp_instr(piece, F.lit(r"(?i)</table\s*>"))
+        inside = F.when(ends > 0, F.substring(piece, F.lit(1), ends - 1)).otherwise(piece)
+        after = F.when(ends > 0, F.regexp_replace(F.substring(piece, ends, F.length(piece)), r"(?i)^</table\s*>", "")).otherwise(F.lit(""))
+        lines = F.array_join(rows(inside), "\n")
+        return F.concat(F.when(lines == "", F.lit("")).otherwise(F.concat(F.lit("<p>"), lines, F.lit("</p>"))), after)
+
+    cut = F.split(F.regexp_replace(html, r"(?i)<table\b", "\x02<table"), "\x02")
+    return F.concat(F.get(cut, F.lit(0)), F.array_join(F.transform(F.slice(cut, 2, 1 << 30), part), ""))
+
+
+# Entities that pages use; the ampersand comes last, so that nothing is decoded twice.
+ENTITIES = {
+    "&nbsp;": "\u00a0", "&#160;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'",
+    "&lsquo;": "\u2018", "&#8216;": "\u2018", "&rsquo;": "\u2019", "&#8217;": "\u2019", "&ldquo;": "\u201c", "&#8220;": "\u201c", "&rdquo;": "\u201d", "&#8221;": "\u201d",
+    "&ndash;": "\u2013", "&#8211;": "\u2013", "&mdash;": "\u2014", "&#8212;": "\u2014", "&bull;": "\u2022", "&#8226;": "\u2022", "&sect;": "\u00a7", "&#167;": "\u00a7", "&amp;": "&", "&#38;": "&",
+}
 
 
 def clean_html(html: Column) -> Column:
-    """Text of a page: hidden blocks, inline tags, scripts, styles, comments and exhibits gone, tables flattened, tags to
-    newlines, common entities decoded, blanks collapsed."""
+    """Text of a page: hidden blocks, inline tags, scripts, styles, comments and exhibits gone, tables flattened, entities
+    decoded.  Texts between tags are trimmed, blank ones go, the others stand on lines of their own; blanks are collapsed."""
     text = unwrap_inline(strip_hidden(html))
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "\x03")
+    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "\x03")
     text = flatten_tables(drop_after_exhibit(text))
-    text = F.regexp_replace(text, r"(?s)<[^>]+>", "\n")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    text = F.regexp_replace(text, r"(?s)<[^>]+>", "\x03")
+    for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
+    text = F.regexp_replace(text, "[\\s\u00a0]*\x03[\\s\u00a0\x03]*", "\n")
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r" ?\n ?", "\n")
-    return F.btrim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \n"))
+    return F.btrim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \t\n\r\f\u00a0"))
 
 
 def accession_key(accession: Column) -> Column:
@@ -191,3 +226,63 @@ def format_bytes(size: Column) -> Column:
         .when(size < 1024 * 1024, F.format_string("%.1f KiB", F.bround(size / 1024.0, 1)))
         .otherwise(F.format_string("%.1f MiB", F.bround(size / (1024.0 * 1024.0), 1)))
     )
+
+
+def query_text(query: Column, prefix: str = QUERY_PREFIX) -> Column:
+    """What of a query is embedded: the prefix and the query.  Passages and rerankers see no prefix."""
+    return F.concat(F.lit(prefix), strip(query))
+
+
+def total_ms(*stages: Column) -> Column:
+    """The sum of a search's stages; one that wasn't measured took no time."""
+    parts = stages or tuple(F.col(c) for c in STAGES_MS)
+    return sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
+
+
+def serving_ms(total: Column, generate: Column) -> Column:
+    return F.coalesce(total, F.lit(0.0)) + F.coalesce(generate, F.lit(0.0))
+
+
+SECTION = "array<struct<accession: string, item_code: string>>"
+
+
+def encode_sections(sections: Column) -> Column:
+    return F.to_json(sections)
+
+
+def decode_sections(text: Column) -> Column:
+    """A JSON list of sections; entries that lack either name, and what is no list, are dropped."""
+    found = F.coalesce(F.from_json(text, SECTION), F.array().cast(SECTION))
+    return F.filter(found, lambda s: s.isNotNull() & s["accession"].isNotNull() & s["item_code"].isNotNull())
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements whose sum is made in advance, and how many times over.
+FAN, DEPTH = 64, 4
+_add = lambda a, x: a + x
+
+
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("long"), _add)
+
+
+def running(lengths: Column) -> Column:
+    """What ``sum_upto`` needs of an array of lengths: itself, sums over blocks of 64, of 64 * 64 and of 64 ** 3."""
+    blocks = lambda level: F.transform(F.sequence(F.lit(0), F.floor(F.size(level) / FAN).cast("int")), lambda b: _total(F.slice(level, b * FAN + 1, F.lit(FAN))))
+    first = F.transform(lengths, lambda x: x.cast("long"))
+    return let(first, lambda l0: let(blocks(l0), lambda l1: let(blocks(l1), lambda l2: F.array(l0, l1, l2, blocks(l2)))))
+
+
+def sum_upto(run: Column, i: Column) -> Column:
+    """The sum of the first i lengths: some of each level are added up, so that spans of a long text take time in
+    proportion to its length, within a row."""
+    out = F.lit(0).cast("long")
+    for depth in range(DEPTH):
+        here = F.floor(i / FAN**depth).cast("int")
+        first = (F.floor(here / FAN) * FAN).cast("int") if depth < DEPTH - 1 else F.lit(0)
+        out = out + _total(F.slice(F.get(run, F.lit(depth)), first + 1, here - first))
+    return out

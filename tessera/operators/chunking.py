@@ -28,21 +28,26 @@ def _spans(docs: DataFrame, text: str, *, cap: int | None, size: int, overlap: i
         raise ValueError("window size must not exceed the cap")
     step, body = size - overlap, F.coalesce(F.col(text), F.lit(""))
     base = F.lit(0) if offset is None else offset
-    held = docs.withColumn("_pieces", T.pieces(body)).withColumn("_lead", T.leading_space(body)).withColumn("_base", base)
-    parts, n, lead, base = F.col("_pieces"), F.size("_pieces"), F.col("_lead"), F.col("_base")
-    whole = n <= (size if cap is None else cap)
-    numbers = F.sequence(F.lit(0), F.when(whole, 0).otherwise(F.ceil((n - size) / step)).cast("int"))
+    held = docs.withColumn("_pieces", T.pieces(body)).withColumn("_lead", F.regexp_extract(body, r"(?U)^\s*", 0)).withColumn("_base", base).withColumn("_end", F.length(body))
+    base = F.col("_base")
 
-    def one(i: Column) -> Column:
-        first = i * step
-        last = F.when(whole, n).otherwise(F.least(first + size, n))
-        start = F.when(i == 0, 0).otherwise(lead + T.joined_length(parts, F.lit(1), first))
-        upto = F.array_join(F.slice(parts, F.lit(1), last), "")
-        end = F.when(last == n, F.length(text)).otherwise(lead + F.length(F.regexp_replace(upto, r"(?U)\s+$", "")))
-        return F.struct((base + start).cast("int").alias("char_start"), (base + end).cast("int").alias("char_end"), (last - first).cast("int").alias("token_count"), F.substring(F.col(text), start + 1, end - start).alias("chunk"))
+    def spans(parts: Column, n: Column, run: Column) -> Column:
+        whole = n <= (size if cap is None else cap)
 
-    spans = held.where(n > 0).select("*", F.posexplode(F.transform(numbers, one)).alias("local_index", "_s"))
-    return spans.select(*docs.columns, "local_index", "_s.char_start", "_s.char_end", "_s.token_count", "_s.chunk")
+        def one(i: Column) -> Column:
+            first = i * step
+            last = F.when(whole, n).otherwise(F.least(first + size, n))
+            chunk = F.concat(F.when(i == 0, F.col("_lead")).otherwise(F.lit("")), F.array_join(F.slice(parts, first + 1, last - first), ""))
+            chunk = F.when(last == n, chunk).otherwise(F.regexp_replace(chunk, r"(?U)\s+$", ""))
+            start = F.when(i == 0, F.lit(0)).otherwise(F.length("_lead") + T.sum_upto(run, first))
+            return T.let(chunk, lambda c: F.struct((base + start).cast("int").alias("char_start"), (base + F.when(last == n, F.col("_end")).otherwise(start + F.length(c))).cast("int").alias("char_end"), (last - first).cast("int").alias("token_count"), c.alias("chunk")))
+
+        return F.transform(F.sequence(F.lit(0), F.when(whole, 0).otherwise(F.ceil((n - size) / step)).cast("int")), one)
+
+    # the pieces' lengths are added up once; a window looks its offset up
+    found = T.let(F.col("_pieces"), lambda parts: T.let(T.running(F.transform(parts, F.length)), lambda run: spans(parts, F.size(parts), run)))
+    out = held.where(F.size("_pieces") > 0).select("*", F.posexplode(found).alias("local_index", "_s"))
+    return out.select(*docs.columns, "local_index", "_s.char_start", "_s.char_end", "_s.token_count", "_s.chunk")
 
 
 def windows(docs: DataFrame, text: str = "text", *, size: int = SIZE, overlap: int = OVERLAP, offset: Column | None = None) -> DataFrame:
@@ -63,15 +68,29 @@ def header_marks(docs: DataFrame, text: str = "text", *, most: int = T.MAX_HEADE
     """``docs`` with _heads: for each line its offset, whether it looks like a header, and whether it is kept as one:
     longer prose follows it before any other prose."""
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.struct(F.length(line).alias("n"), F.length(T.strip(line)).alias("bare"), T.looks_like_header(line, most).alias("head")))
-    marked = docs.withColumn("_lines", lines)
-
-    def mark(i: Column) -> Column:
-        here = F.get("_lines", i)
-        prose = F.filter(F.slice("_lines", i + 2, F.size("_lines")), lambda x: (x["bare"] > 0) & ~x["head"])
-        longer = here["head"] & F.coalesce(F.get(prose, F.lit(0))["bare"] > here["bare"], F.lit(False))
-        return F.struct(F.aggregate(F.slice("_lines", F.lit(1), i), F.lit(0), lambda a, x: a + x["n"] + 1).alias("offset"), here["head"].alias("head"), longer.alias("kept"))
-
-    return marked.withColumn("_heads", F.transform(F.sequence(F.lit(0), F.size("_lines") - 1), mark)).drop("_lines")
+    prose = lambda x: (x["bare"] > 0) & ~x["head"]
+
+    def marks(found: Column, bodies: Column, offsets: Column, seen: Column) -> Column:
+        def mark(i: Column) -> Column:
+            here = F.get(found, i)
+            # a header's prose is the one whose number is the count of those before it
+            after = lambda: F.get(bodies, T.sum_upto(seen, i).cast("int"))
+            longer = F.when(here["head"], F.coalesce(after() > here["bare"], F.lit(False))).otherwise(F.lit(False))
+            return F.struct(T.sum_upto(offsets, i).cast("int").alias("offset"), here["head"].alias("head"), longer.alias("kept"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(found) - 1), mark)
+
+    heads = T.let(
+        lines,
+        lambda found: T.let(
+            F.transform(F.filter(found, prose), lambda x: x["bare"]),
+            lambda bodies: T.let(
+                T.running(F.transform(found, lambda x: x["n"] + 1)),
+                lambda offsets: T.let(T.running(F.transform(found, lambda x: prose(x).cast("int"))), lambda seen: marks(found, bodies, offsets, seen)),
+            ),
+        ),
+    )
+    return docs.withColumn("_heads", heads)
 
 
 def structural_spans(docs: DataFrame, text: str = "text", *, most: int = T.MAX_HEADER_CHARS) -> DataFrame:
@@ -94,8 +113,14 @@ def number(chunks: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def fixed(docs: DataFrame, text: str = "text", *, cap: int = CAP, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` with a row for each token window, none above the cap."""
-    return windows(docs, text, size=size, overlap=overlap).where(F.col("token_count") <= cap)
+    """``docs`` with a row for each token window.  One of more than ``cap`` tokens (if the size is above the cap) keeps its first
+    ``cap``, and ends where they do."""
+    spans = windows(docs, text, size=size, overlap=overlap)
+    if size <= cap:
+        return spans
+    kept = F.when(F.col("token_count") > cap, T.truncate_tokens(F.col("chunk"), cap)).otherwise(F.col("chunk"))
+    spans = spans.withColumn("chunk", kept).withColumn("char_end", F.col("char_start") + F.length("chunk"))
+    return spans.withColumn("token_count", F.least("token_count", F.lit(cap)))
 
 
 def structural(docs: DataFrame, text: str = "text", *, cap: int = CAP, size: int = SIZE, overlap: int = OVERLAP, most: int = T.MAX_HEADER_CHARS) -> DataFrame:
@@ -116,11 +141,9 @@ def sentence_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     # a piece is its sentence, a mark and the space after it
     cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), boundary, "\x01$1\x02"), "\x02")
     piece = lambda p: F.struct(F.length(F.substring_index(p, "\x01", 1)).alias("n"), F.length(F.replace(p, F.lit("\x01"), F.lit(""))).alias("all"), (T.strip(p) != "").alias("some"))
-    held = docs.withColumn("_cut", F.transform(cut, piece))
-    none = F.array().cast("array<struct<at:int,n:int,some:boolean>>")
-    step = lambda a, p: F.struct((a["at"] + p["all"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), p["n"].alias("n"), p["some"].alias("some")))).alias("out"))
-    walked = F.aggregate("_cut", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    held = held.withColumn("_places", F.filter(walked, lambda p: p["some"])).drop("_cut")
+    placed = lambda found, run: F.filter(F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(T.sum_upto(run, i).cast("int").alias("at"), F.get(found, i)["n"].alias("n"), F.get(found, i)["some"].alias("some"))), lambda p: p["some"])
+    places = T.let(F.transform(cut, piece), lambda found: T.let(T.running(F.transform(found, lambda p: p["all"])), lambda run: placed(found, run)))
+    held = docs.withColumn("_places", places)
     out = held.select("*", F.posexplode("_places").alias("sentence_index", "_s"))
     return out.select(*docs.columns, "sentence_index", F.col("_s.at").alias("char_start"), (F.col("_s.at") + F.col("_s.n")).alias("char_end"))
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .retrieval import small
+
 CUTS = (1, 5, 10)
+JUDGED = ("faithfulness", "context_precision", "context_recall", "relevancy")
 NDCG_K = 10
 
 
@@ -54,19 +58,64 @@ def rag_report(rows: DataFrame) -> DataFrame:
     """A generation report by cell: a missing judge's metric of an answerable row counts as 0; refusals of the others."""
     judged = [F.round(F.avg(F.when(F.col("answerable"), F.coalesce(F.col(c), F.lit(0.0)))), 6).alias(c) for c in ("faithfulness", "context_precision", "context_recall", "relevancy")]
     refused = F.round(F.avg(F.when(~F.col("answerable"), F.col("refused").cast("int"))), 6)
-    return rows.groupBy(*CELL).agg(*judged, refused.alias("refusal_rate"), F.round(F.avg("usd"), 9).alias("usd"), F.round(percentile(F.col("serving_ms"), 0.5), 6).alias("p50_ms"), F.round(percentile(F.col("serving_ms"), 0.95), 6).alias("p95_ms"))
+    unanswerable = F.count_distinct(F.when(~F.col("answerable"), F.col("qid"))).alias("n_unanswerable") if "qid" in rows.columns else F.sum((~F.col("answerable")).cast("long")).alias("n_unanswerable")
+    return rows.groupBy(*CELL).agg(*judged, unanswerable, refused.alias("refusal_rate"), F.round(F.avg("usd"), 9).alias("usd"), F.round(percentile(F.col("serving_ms"), 0.5), 6).alias("p50_ms"), F.round(percentile(F.col("serving_ms"), 0.95), 6).alias("p95_ms"))
+
+
+def mean_judged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Means of the judged metrics over the rows that have them; a group without any has nulls."""
+    return rows.groupBy(*by).agg(*[F.round(F.avg(c), 6).alias(c) for c in (*JUDGED, "judge_ms")], F.count("faithfulness").alias("n_scored"))
+
+
+def _strategy_means(rows: DataFrame) -> DataFrame:
+    """A row for each strategy, three at most: unrounded means over the scored rows."""
+    scored = rows.where("answerable AND recall_at_5 IS NOT NULL AND ndcg_at_10 IS NOT NULL AND mrr IS NOT NULL")
+    return scored.groupBy("strategy").agg(*[F.round(F.avg(c), 9).alias(c) for c in ("recall_at_5", "ndcg_at_10", "mrr")], F.min("position").alias("position"))
 
 
 def winner(rows: DataFrame) -> DataFrame:
     """The strategy with the best mean recall at 5, then ndcg, then mrr, then the first seen; its lead over the next."""
-    scored = rows.where("answerable AND recall_at_5 IS NOT NULL AND ndcg_at_10 IS NOT NULL AND mrr IS NOT NULL")
-    means = scored.groupBy("strategy").agg(F.round(F.avg("recall_at_5"), 9).alias("recall_at_5"), F.round(F.avg("ndcg_at_10"), 9).alias("ndcg_at_10"), F.round(F.avg("mrr"), 9).alias("mrr"), F.min("position").alias("position"))
-    # a row for each strategy: three at most
     order = Window.orderBy(F.desc("recall_at_5"), F.desc("ndcg_at_10"), F.desc("mrr"), "position")
-    placed = means.withColumn("place", F.row_number().over(order)).withColumn("lead", F.round(F.col("recall_at_5") - F.lead("recall_at_5").over(order), 6))
+    placed = _strategy_means(rows).withColumn("place", F.row_number().over(order)).withColumn("lead", F.round(F.col("recall_at_5") - F.lead("recall_at_5").over(order), 6))
     return placed.where("place = 1").select("strategy", F.round("recall_at_5", 6).alias("recall_at_5"), F.round("ndcg_at_10", 6).alias("ndcg_at_10"), F.round("mrr", 6).alias("mrr"), "lead")
 
 
+def leads(rows: DataFrame) -> DataFrame:
+    """How far the winner's mean recall is above each other strategy's, from unrounded means: (strategy, other, lead)."""
+    means = _strategy_means(rows).select("strategy", "recall_at_5", "position")
+    best = F.broadcast(winner(rows).select(F.col("strategy").alias("best")))
+    top = means.join(best, F.col("strategy") == F.col("best")).select(F.col("strategy").alias("winner"), F.col("recall_at_5").alias("r"))
+    return means.crossJoin(F.broadcast(top)).where("strategy <> winner").select(F.col("winner").alias("strategy"), F.col("strategy").alias("other"), F.round(F.col("r") - F.col("recall_at_5"), 6).alias("lead"))
+
+
+def best_retrieval(reports: DataFrame) -> DataFrame:
+    """The cell with the best recall at 5, then ndcg, then mrr; of equal ones the first."""
+    return reports.where("recall_at_5 IS NOT NULL").orderBy(F.desc("recall_at_5"), F.desc("ndcg_at_10"), F.desc("mrr"), *CELL).limit(1)
+
+
+def best_generation(reports: DataFrame) -> DataFrame:
+    """The cell with the best faithfulness; of equal ones the first."""
+    return reports.where("faithfulness IS NOT NULL").orderBy(F.desc("faithfulness"), *CELL).limit(1)
+
+
+def fusion_steps(reports: DataFrame) -> DataFrame:
+    """Of each strategy what reranking dense, fusing, and reranking the fusion add to recall at 5, of figures of three digits."""
+    at = lambda mode, rerank: F.round(F.max(F.when((F.col("mode") == mode) & (F.col("rerank") == rerank), F.col("recall_at_5"))), 3)
+    four = reports.groupBy("strategy").agg(at("dense", False).alias("a"), at("dense", True).alias("b"), at("hybrid", False).alias("c"), at("hybrid", True).alias("d"))
+    gain = lambda x, y, name: F.round(F.col(x) - F.col(y), 3).alias(name)
+    return four.select("strategy", gain("b", "a", "rerank_dense"), gain("c", "a", "fuse"), gain("d", "c", "rerank_hybrid"))
+
+
+def log_counts(log: DataFrame) -> DataFrame:
+    """Questions of a log, and how many of them have no answer."""
+    return log.agg(F.count_distinct("question_id").alias("questions"), F.count_distinct(F.when(~F.col("answerable"), F.col("question_id"))).alias("unanswerable"))
+
+
+def retrieved_gold(retrieved: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct sections that are both retrieved and gold."""
+    return retrieved.select(*keys).intersect(gold.select(*keys))
+
+
 def rerank_pivot(reports: DataFrame, metric: str = "recall_at_5") -> DataFrame:
     """``metric`` of each strategy and mode with and without reranking, and the difference of the rounded figures."""
     wide = reports.groupBy("strategy", "mode").pivot("rerank", [False, True]).agg(F.round(F.first(metric), 3))
@@ -91,3 +140,39 @@ def grid(spark: SparkSession, strategies: list[str], modes: list[str], rerank: l
     cells = axis("strategy", strategies, "string").crossJoin(axis("mode", modes, "string")).crossJoin(axis("rerank", rerank, "boolean"))
     at = (F.col("_strategy") * len(modes) + F.col("_mode")) * len(rerank) + F.col("_rerank")
     return cells.select(at.cast("int").alias("position"), "strategy", "mode", "rerank")
+
+
+#: Words of a quote that are looked up; a shorter quote is compared with every text.
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    words = F.split(text, r"(?U)\s+")
+    return T.let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - GRAM, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+
+
+def holding(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(qid, and the columns of ``docs`` but text) of the documents (text) that hold a quote (qid, quote).
+
+    Three whole words of a quote are its key, the longest ones: documents are joined on the keys that they hold, and only
+    those pairs are compared.  Quotes without three words inside are compared with every document.
+    """
+    inner = F.expr("slice(_w, 2, greatest(size(_w) - 2, 0))")
+    keyed = quotes.select("qid", "quote", F.split("quote", r"(?U)\s+").alias("_w")).withColumn("_i", inner)
+    grams = F.transform(F.sequence(F.lit(0), F.size("_i") - GRAM), lambda i: F.concat_ws(" ", F.get("_i", i), F.get("_i", i + 1), F.get("_i", i + 2)))
+    longest = F.array_max(F.transform(grams, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
+    keyed = keyed.select("qid", "quote", F.when(F.size("_i") >= GRAM, longest).alias("_key"))
+    rest = [c for c in docs.columns if c != "text"]
+    words = [r["_key"] for r in keyed.where("_key IS NOT NULL").select("_key").distinct().limit(KEYS + 1).collect()]
+    held = F.filter(F.array_distinct(_grams(F.col("text"))), lambda g: g.isin(words)) if len(words) <= KEYS else F.array_distinct(_grams(F.col("text")))
+    candidates = docs.select(*docs.columns, F.explode(held).alias("_key"))
+    asked = keyed.where("_key IS NOT NULL")
+    found = candidates.join(F.broadcast(asked) if len(words) <= KEYS else asked, "_key").where(F.col("text").contains(F.col("quote"))).select("qid", *rest)
+    short = keyed.where("_key IS NULL").drop("_key")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(small(short), F.col("text").contains(F.col("quote"))).select("qid", *rest))
+
+
+#: Keys of quotes that are looked up while a text is read; more are joined.
+KEYS = 100_000

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import evaluation as E
+from ..operators import generation as G
 from ..operators import retrieval as R
 from ..operators import store as S
+from ..shipping import scratch
+from ..sources import tables as logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,7 +194,7 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DENSE = f"""
-WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 50),
+WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT q.qid, e.vec_id AS id, e.label, round({_COS.format(a="q.q", b="e.embedding")} / (sqrt({_COS.format(a="q.q", b="q.q")}) * sqrt({_COS.format(a="e.embedding", b="e.embedding")})), 6) AS score FROM q CROSS JOIN embeddings e)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS rank FROM s """
 
@@ -199,14 +202,14 @@ SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score D
 @query(_DENSE + "QUALIFY rank <= 10")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    queries = v.where("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     return R.dense(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, k=10).select("qid", "id", "score", "rank")
 
 
 @query(_DENSE + "WHERE label IN (1, 3) QUALIFY rank <= 10")
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    queries = v.where("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     scope = v.where(R.Filters({"label": [1, 3]}).predicate())
     return R.dense(scope.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, k=10).select("qid", "id", "score", "rank")
 
@@ -272,13 +275,12 @@ m AS (SELECT {by}, gs.g IS NOT NULL AS answerable, CASE WHEN gs.g IS NOT NULL TH
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    """Sections that hold a passage: the documents are read once, the passages travel."""
-    q = R.small(passages(spark, d).withColumnRenamed("text", "quote"))
-    return docs(spark, d, "source", "lang").join(q, F.col("text").contains(F.col("quote"))).select("qid", "source", "lang").distinct()
+    """Sections that hold a passage."""
+    return E.holding(docs(spark, d, "source", "lang"), passages(spark, d).withColumnRenamed("text", "quote")).select("qid", "source", "lang").distinct()
 
 
-def _sections(spark: SparkSession, d: str, ranking: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return E.collapse(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang").join(R.small(ranking), "id"), ["source", "lang"], by)
+def _sections(spark: SparkSession, d: str, ranking: DataFrame, by: list[str] | None = None, most: int = 10) -> DataFrame:
+    return E.collapse(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang").join(R.small_ranking(ranking, passages(spark, d), most), "id"), ["source", "lang"], by)
 
 
 @query(f"WITH {_BM25}, {_padded(10, 'r')}, {_SECTIONS.format(by='qid', r='r')} SELECT qid, source, lang, rank FROM sec")
@@ -387,7 +389,7 @@ def all_rerank_hurt(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_RAG} SELECT strategy, mode, rerank, faithfulness FROM rep ORDER BY faithfulness DESC, strategy, mode, rerank LIMIT 1")
 def best_generation(spark: SparkSession, d: str) -> DataFrame:
-    return E.rag_report(_cell_rows(spark, d)).select("strategy", "mode", "rerank", "faithfulness").orderBy(F.desc("faithfulness"), "strategy", "mode", "rerank").limit(1)
+    return E.best_generation(E.rag_report(_cell_rows(spark, d))).select("strategy", "mode", "rerank", "faithfulness")
 
 
 @query("""SELECT CAST((s * 3 + m) * 2 + r AS INT) AS position, sn AS strategy, mn AS mode, rn AS rerank
@@ -398,8 +400,8 @@ def eval_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_check(spark: SparkSession, d: str) -> DataFrame:
-    q = R.small(table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")))
-    return table(spark, d, "documents").select("doc_id", "text").join(q, F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    found = E.holding(docs(spark, d), passages(spark, d).withColumnRenamed("text", "quote"))
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type")
@@ -416,10 +418,11 @@ def latest_per_year(spark: SparkSession, d: str) -> DataFrame:
     return S.latest_per_year(rows, ["o_custkey", "fiscal_year"], date="o_orderdate", order="o_orderkey").select("o_custkey", "fiscal_year", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT o.o_orderkey, c.c_name, n.n_name, o.o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_orderstatus = 'F'")
+@query("SELECT o.o_orderkey, c.c_name, c.c_mktsegment, o.o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'F'")
 def filings_join(spark: SparkSession, d: str) -> DataFrame:
-    companies = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").join(companies, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "n_name", "o_totalprice")
+    """Orders stand in for chunks, customers for filings."""
+    chunks = table(spark, d, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey")
+    return S.with_filings(chunks, table(spark, d, "customer"), key="c_custkey", columns=("c_name", "c_mktsegment")).select("o_orderkey", "c_name", "c_mktsegment", "o_totalprice")
 
 
 _HALVES = "o AS (SELECT doc_id, text, n_chars FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END AS text, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 <> 1)"
@@ -458,17 +461,20 @@ def coverage_gap(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, turn, role, length(text) AS chars, NULL::VARCHAR AS note FROM conversations WHERE turn < 2 UNION ALL SELECT conv_id, turn, role, length(text), 'late' FROM conversations WHERE turn >= 2")
 def page_union(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
-    return t.where("turn < 2").unionByName(t.where("turn >= 2").withColumn("note", F.lit("late")), allowMissingColumns=True)
+    return S.union_pages([t.where("turn < 2"), t.where("turn >= 2").withColumn("note", F.lit("late"))])
 
 
-_CLEAN = r"""
-regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(
-regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+def _decoded(text: str) -> str:
+    for entity, char in T.ENTITIES.items():
+        text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+#: No page has a table or an exhibit: those steps have queries of their own.
+_NODES = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
 '(?is)<ix:hidden\b[^>]*>.*?</ix:hidden>', '', 'g'), '(?i)</?ix:[a-z0-9_.-]+\b[^>]*>', '', 'g'),
-'(?is)<(script|style)\b[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
-'(?is)</t[dh]>\s*(?:<[^t/][^>]*>\s*)*<t[dh][^>]*>', ' | ', 'g'), '(?is)</tr>', chr(10), 'g'), '(?s)<[^>]+>', chr(10), 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
-'[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)), 'x{0}', '')"""
+'(?is)<(script|style)\b[^>]*>.*?</(script|style)>', chr(3), 'g'), '(?s)<!--.*?-->', chr(3), 'g'), '(?s)<[^>]+>', chr(3), 'g')"""
+_CLEAN = rf"""trim(regexp_replace(regexp_replace(regexp_replace({_decoded(_NODES)}, '[\s\x{{A0}}]*\x03[\s\x{{A0}}\x03]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(160))"""
 
 
 @query(f"SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, {_CLEAN} AS t FROM pages)")
@@ -496,15 +502,13 @@ def citation_header(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_BM25}, {_padded(3, 'r')}
-SELECT b.item_id AS qid, 'Question:' || chr(10) || b.text || chr(10) || chr(10) || 'Contexts:' || chr(10) || string_agg('[' || r.rank || '] ' || d.source || chr(10) || substr(d.text, 1, 200), chr(10) || chr(10) ORDER BY r.rank) AS prompt
+SELECT b.item_id AS qid, md5('Question:' || chr(10) || regexp_replace(b.text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || 'Contexts:' || chr(10) || string_agg('[' || r.rank || '] ' || d.source || ' FY' || 2024 || ' Item ' || d.lang || ' accession=' || d.doc_id || ' url=u' || chr(10) || d.text, chr(10) || chr(10) ORDER BY r.rank)) AS digest
 FROM r JOIN benchmark b ON b.item_id = r.qid JOIN documents d ON d.doc_id = r.id GROUP BY b.item_id, b.text""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     q = passages(spark, d)
-    hits = R.bm25(docs(spark, d), q, k=3)
-    blocks = docs(spark, d, "source").join(R.small(hits), "id").select("qid", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source"), F.lit("\n"), F.substring("text", 1, 200)).alias("block"))
-    # a query has k blocks at most
-    context = blocks.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b")).select("qid", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("c"))
-    return q.join(context, "qid").select("qid", F.concat(F.lit("Question:\n"), F.col("text"), F.lit("\n\nContexts:\n"), F.col("c")).alias("prompt"))
+    hits = docs(spark, d, "source", "lang").join(R.small_ranking(R.bm25(docs(spark, d), q, k=3), q, 3), "id")
+    hits = hits.select("qid", "rank", F.col("source").alias("ticker"), F.lit(2024).alias("fiscal_year"), F.col("lang").alias("item_code"), F.col("id").cast("string").alias("accession"), F.lit("u").alias("edgar_url"), "text")
+    return G.prompts(q, hits).select("qid", F.md5("user").alias("digest"))
 
 
 @query(r"""SELECT role, round(avg(CASE WHEN contains(trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')), 'of the') THEN 1 ELSE 0 END), 6) AS refusal_rate, count(*) AS n FROM conversations GROUP BY role""")
@@ -523,17 +527,14 @@ def token_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, arg_min(CASE WHEN role = 'system' THEN text END, CASE WHEN role = 'system' THEN turn END) AS instructions, sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END)::BIGINT AS turns FROM conversations GROUP BY conv_id HAVING sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) > 0")
 def instructions_split(spark: SparkSession, d: str) -> DataFrame:
-    system = F.col("role") == "system"
-    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by(F.when(system, F.col("text")), F.when(system, F.col("turn"))).alias("instructions"), F.sum((~system).cast("long")).alias("turns"))
-    return t.where("turns > 0")
+    return G.split_instructions(table(spark, d, "conversations"), "conv_id")
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer, arg_max(turn, turn) AS last_turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def stream_join(spark: SparkSession, d: str) -> DataFrame:
     """Deltas of an answer in order, and the last usage: a conversation's turns are its deltas."""
-    t = table(spark, d, "conversations").where("role = 'assistant'")
-    parts = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"), F.max_by("turn", "turn").alias("last_turn"))
-    return parts.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("answer"), "last_turn")
+    rows = table(spark, d, "conversations").where("role = 'assistant'").withColumn("last_turn", F.col("turn"))
+    return G.join_stream(rows, "conv_id", order="turn", text="text", usage="last_turn")
 
 
 @query("SELECT conv_id, turn, greatest(coalesce(TRY_CAST(text AS BIGINT), length(text) - 50, 0), 0) AS tokens FROM conversations")
@@ -562,7 +563,9 @@ def chunk_numbering(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    rows = table(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    return S.duplicates(rows, ["digest"]).join(first, "digest")
 
 
 @query("SELECT conv_id, role, min(turn) AS first_turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS INT) AS position FROM conversations GROUP BY conv_id, role")
@@ -574,24 +577,26 @@ def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, count(*) AS chunks, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS pending FROM lineitem GROUP BY l_orderkey")
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("chunks"), F.sum((F.col("l_returnflag") == "N").cast("long")).alias("pending"))
+    return S.counts(table(spark, d, "lineitem"), ["l_orderkey"], pending=F.col("l_returnflag") == "N").withColumnRenamed("n", "chunks")
 
 
 @query("SELECT l.l_orderkey, CAST(l.l_linenumber AS INT) AS l_linenumber, o.o_custkey, l.l_extendedprice FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderpriority = '1-URGENT'")
 def chunk_scan(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
-    return table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "l_extendedprice")
+    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_orderkey", "l_orderkey")
+    return S.chunk_scan(table(spark, d, "lineitem"), orders, key="l_orderkey", order="l_linenumber", columns=("o_custkey",)).select("l_orderkey", "l_linenumber", "o_custkey", "l_extendedprice")
 
 
 @query("""SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INT) AS fiscal_year, count(*) AS n, count(DISTINCT o_custkey) AS companies FROM orders GROUP BY 1, 2""")
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("fiscal_year")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("companies"))
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("fiscal_year"), "o_custkey")
+    return S.run_counters(rows, ["status", "fiscal_year"], "o_custkey").withColumnRenamed("distinct", "companies")
 
 
-@query("SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 1")
+@query("SELECT DISTINCT source, lang FROM documents JOIN labels USING (doc_id) INTERSECT SELECT DISTINCT source, lang FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def retrieved_and_gold(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("source", "lang", "doc_id")
-    return t.where("doc_id % 3 = 0").select("source", "lang").intersect(t.where("doc_id % 3 = 1").select("source", "lang"))
+    """Sections with a labelled document, and those that hold a passage."""
+    labelled = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return E.retrieved_gold(labelled, _gold(spark, d), ["source", "lang"])
 
 
 @query("SELECT strategy || '/' || mode || '/' || CASE WHEN rerank THEN 'on' ELSE 'off' END AS label FROM (VALUES ('fixed'), ('structural'), ('semantic')) a(strategy) CROSS JOIN (VALUES ('dense'), ('sparse'), ('hybrid')) b(mode) CROSS JOIN (VALUES (false), (true)) c(rerank)")
@@ -600,13 +605,215 @@ def config_labels(spark: SparkSession, d: str) -> DataFrame:
     return g.select(T.config_label(F.col("strategy"), F.col("mode"), F.col("rerank")).alias("label"))
 
 
-@query()
-def stream_events(spark: SparkSession, d: str) -> DataFrame:
-    """The events of one streamed answer: citations of a passage's hits, two tokens, done."""
-    from ..operators.generation import answer_events
 
-    q = passages(spark, d).where("qid = 0")
-    hits = docs(spark, d, "source", "lang").join(R.small(R.bm25(docs(spark, d), q, k=3)), "id")
+@query(rf"""WITH {_BM25}, {_padded(3, 'r')}, f AS (SELECT min(item_id) AS qid FROM benchmark),
+h AS (SELECT r.rank, d.source, d.lang, d.doc_id, CASE WHEN length(c) <= 96 THEN c ELSE substr(c, 1, 93) || '...' END AS snippet FROM r JOIN f USING (qid) JOIN (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents) d ON d.doc_id = r.id)
+SELECT CAST(rank - 1 AS INT) AS position, 'citations' AS kind, rank || ' ' || source || ' ' || lang || ' ' || doc_id || ' ' || snippet AS body FROM h
+UNION ALL SELECT * FROM (VALUES (3, 'token', 'An'), (4, 'token', ' answer'), (5, 'done', '12 2'))""")
+def stream_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events of one streamed answer: citations of the first passage's hits, two tokens, done."""
+    q = passages(spark, d).orderBy("qid").limit(1)
+    hits = docs(spark, d, "source", "lang").join(R.small_ranking(R.bm25(docs(spark, d), q, k=3), q, 3), "id")
     hits = hits.select("rank", "score", F.col("source").alias("ticker"), F.lit(2024).alias("fiscal_year"), F.col("lang").alias("item_code"), F.col("id").cast("string").alias("accession"), F.lit("").alias("edgar_url"), "text")
-    events = answer_events(hits, [{"delta": "An"}, {"delta": ""}, {"delta": " answer"}, {"type": "completed", "input_tokens": 12, "output_tokens": 2}])
-    return spark.createDataFrame([(i, e.kind, e.sse()) for i, e in enumerate(events)], "position int, kind string, frame string")
+    rows: list[tuple[str, str]] = []
+    for e in G.answer_events(hits, [{"delta": "An"}, {"delta": ""}, {"delta": " answer"}, {"type": "completed", "input_tokens": 12, "output_tokens": 2}]):
+        if e.kind == "citations":
+            rows += [(e.kind, f"{c['rank']} {c['ticker']} {c['item_code']} {c['accession']} {c['snippet']}") for c in e.data["citations"]]
+        else:
+            rows.append((e.kind, e.data["delta"] if e.kind == "token" else f"{e.data['prompt_tokens']} {e.data['completion_tokens']}"))
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "position int, kind string, body string")
+
+
+# ---------------------------------------------------------------- stored index, lookups, pages, reports
+
+
+@query(f"WITH {_BM25}, {_padded(10, 'r')} SELECT qid, id, score, rank FROM r")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking from an index that is built, stored and read again."""
+    return R.load_or_build(docs(spark, d), scratch(spark, "index")).search(passages(spark, d), k=10).select("qid", "id", "score", "rank")
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, o_orderpriority, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with its order's columns; a line without an order would fail the job."""
+    known = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_custkey")
+    return S.require_known(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), known, ["l_orderkey"], "order")
+
+
+_OLD_NEW = "o AS (SELECT doc_id, text, n_chars, lang FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END AS text, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 <> 1)"
+
+
+@query(f"WITH {_OLD_NEW} SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, md5(CASE WHEN n.doc_id IS NULL THEN o.text ELSE n.text END) AS digest, CASE WHEN n.doc_id IS NULL THEN o.n_chars ELSE n.n_chars END AS n_chars, o.lang, CASE WHEN n.doc_id IS NULL OR o.text IS NOT DISTINCT FROM n.text THEN o.doc_id * 2 END AS embedding FROM o FULL JOIN n ON o.doc_id = n.doc_id")
+def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of a chunk survive an upsert: the new row's, and the old row's where the new has none."""
+    old, new = _halves(spark, d)
+    old = old.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("embedding", F.col("doc_id") * 2)
+    return S.upsert_chunks(old, new, ["doc_id"]).select("doc_id", F.md5("text").alias("digest"), "n_chars", "lang", "embedding")
+
+
+@query("SELECT vec_id, CASE WHEN label <> 3 THEN embedding[1] END AS first FROM embeddings")
+def clear_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return S.clear_embeddings(table(spark, d, "embeddings"), F.col("label") == 3).select("vec_id", F.get("embedding", F.lit(0)).alias("first"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[2] ELSE embedding[1] END AS first FROM embeddings")
+def write_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    turned = v.where("vec_id % 2 = 0").select("vec_id", F.reverse(F.slice("embedding", 1, 2)).alias("embedding"))
+    two = v.select("vec_id", F.slice("embedding", 1, 2).alias("embedding"))
+    return S.write_embeddings(two, turned, "vec_id", dim=2).select("vec_id", F.get("embedding", F.lit(0)).alias("first"))
+
+
+@query("""WITH c AS (SELECT item_id, item_id % 50 AS doc_id, text FROM benchmark) SELECT c.item_id, CASE WHEN d.text IS NULL THEN 'section missing' ELSE 'quote not in section' END AS problem
+FROM c LEFT JOIN documents d USING (doc_id) WHERE d.text IS NULL OR NOT contains(d.text, c.text)""")
+def quote_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage is cited from one document."""
+    cited = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 50).alias("doc_id"), F.col("text").alias("quote"))
+    return S.quote_misses(cited, table(spark, d, "documents").select("doc_id", "text"), ["doc_id"]).select("item_id", "problem")
+
+
+@query("""WITH f AS (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS fiscal_year, o_orderkey, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) AS r FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1996, 1998))
+SELECT CAST(w.k AS VARCHAR) AS cik, w.y AS fiscal_year, CAST(f.o_orderkey AS VARCHAR) AS accession FROM (SELECT k, y FROM (SELECT DISTINCT o_custkey AS k FROM orders) CROSS JOIN (VALUES (1998), (1996)) v(y)) w LEFT JOIN f ON f.o_custkey = w.k AND f.fiscal_year = w.y AND f.r = 1""")
+def select_filings(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as the parallel arrays of a company's submissions."""
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("cik")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", date.alias("day"), "o_orderpriority"))).alias("o"))
+    array = lambda f: F.transform("o", f)
+    recent = F.struct(array(lambda x: x["o_orderkey"].cast("string")).alias("accessionNumber"), array(lambda x: x["day"]).alias("filingDate"), array(lambda x: x["day"]).alias("reportDate"), array(lambda x: x["o_orderpriority"]).alias("form"), array(lambda x: F.lit("p")).alias("primaryDocument"))
+    submissions = rows.select("cik", F.lit("n").alias("name"), F.struct(recent.alias("recent")).alias("filings"))
+    return S.select_filings(submissions, [1998, 1996], ["1-URGENT"]).select("cik", "fiscal_year", "accession")
+
+
+@query("SELECT page_id, 'Before ' || url || chr(10) || 'Risk | ' || url || chr(10) || 'Cyber | High' || chr(10) || 'After' AS body FROM pages")
+def flatten_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a table of blank cells and rows, an empty table, and one with two rows."""
+    html = F.concat(F.lit("<p>Before "), F.col("url"), F.lit("</p><table><tr><td> </td></tr></table><TABLE class='x'><tr><th>Risk</th><th>&nbsp;</th><th> "), F.col("url"), F.lit("</th></tr><tr><td></td></tr><tr><td><b>Cyber</b></td>\n<td>High</td></tr></TABLE><p>After</p>"))
+    return table(spark, d, "pages").select("page_id", T.clean_html(html).alias("body"))
+
+
+@query("SELECT page_id, 'Kept ' || url || CASE WHEN page_id % 2 = 0 THEN '' ELSE chr(10) || 'also' END AS body FROM pages")
+def drop_after_exhibit(spark: SparkSession, d: str) -> DataFrame:
+    anchor = F.when(F.col("page_id") % 2 == 0, F.lit('<a name="EX-10.1">x</a>')).otherwise(F.lit('<a name="EXTRA">also</a>'))
+    html = F.concat(F.lit("<p>Kept "), F.col("url"), F.lit("</p>"), anchor, F.when(F.col("page_id") % 2 == 0, F.lit("<p>gone</p>")).otherwise(F.lit("")))
+    return table(spark, d, "pages").select("page_id", T.clean_html(html).alias("body"))
+
+
+@query("""WITH p AS (SELECT page_id, length(url) AS u, url FROM pages),
+r AS (SELECT page_id, 0 AS section_pos, '7' AS item_code, 'ok' AS status, 'Item 7. Analysis ' || url || url AS text FROM p UNION ALL SELECT page_id, 1, '1A', 'ok', 'Item 1A. Risk Factors of ' || url || ' that are long enough, so it is' FROM p UNION ALL SELECT page_id, 2, '9', 'missing', NULL FROM p)
+SELECT page_id, CAST(section_pos AS INT) AS section_pos, item_code, CASE item_code WHEN '1A' THEN 'Risk Factors' WHEN '9' THEN 'Item 9' ELSE 'Management''s Discussion and Analysis of Financial Condition and Results of Operations' END AS item_title, text, status FROM r""")
+def parse_filings(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted items in the order wanted, trimmed; one that the page lacks."""
+    html = F.concat(F.lit("<p>Item 1A. x</p><p>Item 7. y</p><p>Contents"), F.col("url"), F.lit("</p><p>Item 1A. Risk Factors of "), F.col("url"), F.lit(" that are long enough, so it is</p><p>Item 7. Analysis "), F.col("url"), F.col("url"), F.lit("</p>"))
+    rows = S.parse_filings(table(spark, d, "pages").select("page_id", html.alias("html")), ["7", " 1a", "9"])
+    return rows.select("page_id", "section_pos", "item_code", "item_title", "text", "status")
+
+
+@query(r"""WITH t AS (SELECT doc_id, substr(text, 11, 300) AS p FROM documents), w AS (SELECT *, regexp_extract_all(p, '\S+\s*') AS w, regexp_extract(p, '^\s*') AS lead FROM t),
+c AS (SELECT doc_id, CASE WHEN len(w) > 20 THEN lead || regexp_replace(array_to_string(w[1:20], ''), '\s+$', '') ELSE p END AS text FROM w)
+SELECT doc_id, text, CAST(110 AS INT) AS char_start, CAST(110 + length(text) AS INT) AS char_end, CAST(len(regexp_extract_all(text, '\S+')) AS INT) AS token_count FROM c""")
+def clip(spark: SparkSession, d: str) -> DataFrame:
+    """Characters 10 to 310 of a text, 20 tokens at most, with offsets from 100."""
+    rows = table(spark, d, "documents").select("doc_id", T.clip(F.col("text"), F.lit(10), F.lit(310), 20, offset=100).alias("c"))
+    return rows.select("doc_id", "c.text", "c.char_start", "c.char_end", "c.token_count")
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS pieces, regexp_extract(text, '^\s*') AS lead, text FROM documents),
+n AS (SELECT *, len(pieces) AS n FROM p WHERE len(pieces) > 0),
+w AS (SELECT *, unnest(range(0, CASE WHEN n <= 40 THEN 1 ELSE CAST(ceil((n - 40) / 30.0) AS BIGINT) + 1 END)) AS i FROM n),
+e AS (SELECT *, i * 30 AS s, least(i * 30 + 40, n) AS e FROM w),
+k AS (SELECT *, CASE WHEN e - s > 32 THEN s + 32 ELSE e END AS ke FROM e)
+SELECT doc_id, CAST(i AS INT) AS local_index, CAST(ke - s AS INT) AS token_count,
+  md5(CASE WHEN ke = n THEN CASE WHEN s = 0 THEN lead ELSE '' END || array_to_string(pieces[s + 1:ke], '') ELSE regexp_replace(CASE WHEN s = 0 THEN lead ELSE '' END || array_to_string(pieces[s + 1:ke], ''), '\s+$', '') END) AS digest FROM k""")
+def fixed_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 40 tokens under a cap of 32: each keeps its first 32."""
+    chunks = C.fixed(table(spark, d, "documents").select("doc_id", "text"), cap=32, size=40, overlap=10)
+    return chunks.select("doc_id", "local_index", "token_count", F.md5("chunk").alias("digest"))
+
+
+@query(_HEADERS + r"""
+kept AS (SELECT doc_id, text, ofs AS s FROM prose WHERE h AND next > length(b)),
+starts AS (SELECT doc_id, text, s FROM kept UNION
+  SELECT d.doc_id, d.text, 0 FROM documents d LEFT JOIN (SELECT doc_id, min(s) AS f FROM kept GROUP BY doc_id) k USING (doc_id)
+  WHERE k.f IS NULL OR (k.f > 0 AND regexp_matches(substr(d.text, 1, CAST(k.f AS BIGINT)), '\S'))),
+spans AS (SELECT doc_id, s AS base, substr(text, CAST(s AS BIGINT) + 1, CAST(coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), length(text)) - s AS BIGINT)) AS t FROM starts WHERE regexp_matches(text, '\S')),
+p AS (SELECT doc_id, base, t, regexp_extract_all(t, '\S+\s*') AS pieces, length(regexp_extract(t, '^\s*')) AS lead FROM spans WHERE regexp_matches(t, '\S')),
+n AS (SELECT *, len(pieces) AS n FROM p),
+w AS (SELECT *, unnest(range(0, CASE WHEN n <= 48 THEN 1 ELSE CAST(ceil((n - 40) / 32.0) AS BIGINT) + 1 END)) AS k FROM n),
+e AS (SELECT *, CASE WHEN n <= 48 THEN 0 ELSE k * 32 END AS s, CASE WHEN n <= 48 THEN n ELSE least(k * 32 + 40, n) END AS e FROM w)
+SELECT doc_id, CAST(base + CASE WHEN s = 0 THEN 0 ELSE lead + length(array_to_string(pieces[1:s], '')) END AS INT) AS char_start,
+  CAST(base + CASE WHEN e = n THEN length(t) ELSE lead + length(regexp_replace(array_to_string(pieces[1:e], ''), '\s+$', '')) END AS INT) AS char_end, CAST(e - s AS INT) AS token_count FROM e""")
+def structural(spark: SparkSession, d: str) -> DataFrame:
+    """Header spans, those above a cap of 48 tokens cut into windows."""
+    chunks = C.structural(table(spark, d, "documents").select("doc_id", "text"), cap=48, size=40, overlap=8)
+    return chunks.select("doc_id", "char_start", "char_end", "token_count")
+
+
+@query(f"""WITH {_CELL_SQL}, m AS (SELECT strategy, round(avg(recall_at_5), 9) AS r, round(avg(ndcg_at_10), 9) AS n, round(avg(mrr), 9) AS m, min(position) AS p FROM rows WHERE answerable GROUP BY strategy),
+w AS (SELECT * FROM m ORDER BY r DESC, n DESC, m DESC, p LIMIT 1)
+SELECT w.strategy, m.strategy AS other, round(w.r - m.r, 6) AS lead FROM m CROSS JOIN w WHERE m.strategy <> w.strategy""")
+def strategy_leads(spark: SparkSession, d: str) -> DataFrame:
+    return E.leads(_cell_rows(spark, d))
+
+
+_CELL_REPORT = "rep AS (SELECT strategy, mode, rerank, round(avg(CASE WHEN answerable THEN recall_at_5 END), 6) AS recall_at_5, round(avg(CASE WHEN answerable THEN ndcg_at_10 END), 6) AS ndcg_at_10, round(avg(CASE WHEN answerable THEN mrr END), 6) AS mrr FROM rows GROUP BY ALL)"
+
+
+def _cell_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cell_rows(spark, d).withColumn("recall_at_1", F.col("mrr")).withColumn("recall_at_10", F.col("mrr")).withColumn("total_ms", F.col("serving_ms"))
+    return E.report(rows)
+
+
+@query(f"""WITH {_CELL_SQL}, {_CELL_REPORT}, f AS (SELECT strategy, {", ".join(f"round(max(CASE WHEN mode = '{m}' AND rerank = {r} THEN recall_at_5 END), 3) AS {n}" for m, r, n in (("dense", "false", "a"), ("dense", "true", "b"), ("hybrid", "false", "c"), ("hybrid", "true", "e")))} FROM rep GROUP BY strategy)
+SELECT strategy, round(b - a, 3) AS rerank_dense, round(c - a, 3) AS fuse, round(e - c, 3) AS rerank_hybrid FROM f""")
+def fusion_steps(spark: SparkSession, d: str) -> DataFrame:
+    return E.fusion_steps(_cell_report(spark, d))
+
+
+@query(f"WITH {_CELL_SQL}, {_CELL_REPORT} SELECT strategy, mode, rerank, recall_at_5 FROM rep ORDER BY recall_at_5 DESC, ndcg_at_10 DESC, mrr DESC, strategy, mode, rerank LIMIT 1")
+def best_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    return E.best_retrieval(_cell_report(spark, d)).select("strategy", "mode", "rerank", "recall_at_5")
+
+
+@query(f"WITH {_CELL_SQL} SELECT strategy, round(avg(faithfulness), 6) AS faithfulness, round(avg(context_precision), 6) AS context_precision, round(avg(context_recall), 6) AS context_recall, round(avg(relevancy), 6) AS relevancy, round(avg(serving_ms), 6) AS judge_ms, count(faithfulness) AS n_scored FROM rows GROUP BY strategy")
+def mean_judged(spark: SparkSession, d: str) -> DataFrame:
+    return E.mean_judged(_cell_rows(spark, d).withColumn("judge_ms", F.col("serving_ms")), ["strategy"])
+
+
+@query(f"""WITH {_CELL_SQL}, g AS (SELECT strategy, mode, rerank FROM (VALUES ('fixed'), ('structural'), ('semantic')) a(strategy) CROSS JOIN (VALUES ('dense'), ('sparse'), ('hybrid')) b(mode) CROSS JOIN (VALUES (false), (true)) c(rerank))
+SELECT g.strategy, g.mode, g.rerank FROM g WHERE EXISTS (SELECT 1 FROM rows r WHERE r.strategy = g.strategy AND r.mode = g.mode AND r.rerank = g.rerank AND r.recall_at_5 > 0.3)""")
+def present_cells(spark: SparkSession, d: str) -> DataFrame:
+    grid = E.grid(spark, ["fixed", "structural", "semantic"], ["dense", "sparse", "hybrid"], [False, True])
+    return logs.present_cells(grid, _cell_rows(spark, d).where("recall_at_5 > 0.3")).select("strategy", "mode", "rerank")
+
+
+@query("SELECT count(DISTINCT conv_id) AS questions, count(DISTINCT CASE WHEN conv_id % 5 = 0 THEN conv_id END) AS unanswerable FROM conversations")
+def log_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), (F.col("conv_id") % 5 != 0).alias("answerable"))
+    return E.log_counts(rows)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS query, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE round(value, 3) END AS encode_ms, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 3) END AS mrr,
+round(CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE round(value, 3) END + 2.5, 6) AS total, round(CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE round(value, 3) END + 2.5 + round(value, 3), 6) AS serving FROM events""")
+def log_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a log that lack texts, timings and metrics: defaults, and sums of the stages."""
+    e = table(spark, d, "events").withColumn("v", F.round("value", 3))
+    i = F.col("event_id")
+    line = F.to_json(F.struct(i.cast("string").alias("question_id"), F.when(i % 3 != 0, F.col("event_type")).alias("query"), F.when(i % 4 != 0, F.col("v")).alias("encode_ms"), F.when(i % 5 == 0, F.lit("bad")).alias("strategy"), F.when(i % 5 != 0, F.col("v")).alias("mrr"), F.lit(2.5).alias("dense_ms")))
+    rows = logs.lenient(e.select("v", F.from_json(line, logs.RETRIEVAL_LOG).alias("r")).select("v", "r.*"))
+    total = T.total_ms()
+    return rows.select(F.col("question_id").cast("long").alias("event_id"), "query", "encode_ms", "mrr", F.round(total, 6).alias("total"), F.round(T.serving_ms(total, F.col("v")), 6).alias("serving"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n, source AS first FROM documents")
+def section_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Sections written as JSON and read; an entry without an item is dropped."""
+    t = table(spark, d, "documents")
+    entry = F.struct(F.col("source").alias("accession"), F.lit("1A").alias("item_code"))
+    other = F.struct(F.lit("x").alias("accession"), F.when(F.col("doc_id") % 3 != 0, F.lit("7")).alias("item_code"))
+    held = T.decode_sections(T.encode_sections(F.array(entry, other)))
+    return t.select("doc_id", F.size(held).alias("n"), F.get(held, F.lit(0))["accession"].alias("first"))
+
+
+@query("SELECT item_id, 'Represent this sentence for searching relevant passages: ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS asked FROM benchmark")
+def query_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", T.query_text(F.col("text")).alias("asked"))

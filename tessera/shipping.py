@@ -1,9 +1,10 @@
-"""Let the executors' Python import this package."""
+"""Let the executors' Python import this package, and folders that they share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +12,9 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Where shared folders go if a local session names none.
+OWN_FOLDER = "file:///tmp/checkpoints"
+
 #: Rows that go to Python at once, unless the session says otherwise: texts are long, and a worker holds some batches.
 BATCH_ROWS = "2000"
 
@@ -29,3 +33,20 @@ def ship(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that every executor sees, below spark.checkpoint.dir; it goes when the application ends.
+
+    A cluster must name that folder: a machine's own would hold each executor's part on its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = OWN_FOLDER
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}")
+    files = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(held)
+    files.deleteOnExit(held)
+    return f"{held.toString()}/{name}"

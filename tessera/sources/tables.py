@@ -11,6 +11,8 @@ fiscal_year int, primary_doc string, edgar_url string, sections array<struct<ite
 CHUNK = """ticker string, cik string, accession string, fiscal_year int, edgar_url string, item_code string, item_title string,
 strategy string, chunk_index int, char_start int, char_end int, token_count int, text string"""
 
+SECTION = "accession string, item_code string, item_title string, text string, char_start int, char_end int"
+
 CHUNK_COLUMNS = [c.split()[0] for c in CHUNK.split(",")]
 
 #: A retrieval log: names as in its JSON lines.
@@ -25,10 +27,23 @@ context_recall double, relevancy double, judge_ms double, judge_usd double, enco
 fuse_ms double, rerank_ms double, total_ms double, generate_ms double, serving_ms double, prompt_tokens long, completion_tokens long, usd double"""
 
 
-def read_parsed(spark: SparkSession, folder: str, accession: str | None = None) -> DataFrame:
-    """Parsed filings, one JSON file each; one filing by accession, read by its partition-like key."""
-    rows = spark.read.schema(PARSED).option("multiLine", True).json(folder)
-    return rows if accession is None else rows.where(F.col("accession") == accession)
+def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed filings, in order of their accession.  A folder that isn't there is an error that names it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(f"no parsed filings at {folder}")
+    return spark.read.schema(PARSED).option("multiLine", True).option("recursiveFileLookup", True).json(folder).orderBy("accession")
+
+
+def load_parsed(spark: SparkSession, folder: str, accession: str) -> DataFrame:
+    """One filing; an accession that isn't there is an error.  Only its own folder is read if filings were written by accession."""
+    own = f"{folder}/accession_key={accession.strip().replace('-', '')}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    rows = read_parsed(spark, own if there else folder).where(F.col("accession") == accession)
+    if rows.isEmpty():
+        raise KeyError(f"no parsed filing {accession}")
+    return rows
 
 
 def sections(parsed: DataFrame) -> DataFrame:
@@ -38,7 +53,9 @@ def sections(parsed: DataFrame) -> DataFrame:
 
 
 def write_parsed(parsed: DataFrame, folder: str) -> None:
-    parsed.write.mode("overwrite").json(folder, ignoreNullFields=False)
+    """Replace the filings that ``parsed`` holds, each in a folder of its accession, and no other."""
+    rows = parsed.withColumn("accession_key", F.replace(F.trim("accession"), F.lit("-"), F.lit("")))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("accession_key").json(folder)
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:
@@ -46,6 +63,16 @@ def write_chunks(chunks: DataFrame, folder: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "accession").parquet(folder)
 
 
+def ensure_schema(spark: SparkSession, database: str) -> list[str]:
+    """Create the tables that aren't there yet, chunks by strategy and accession; their names.  What is there stays."""
+    kinds = {"filings": PARSED.split(", sections")[0], "sections": SECTION, "chunks": CHUNK + ", embedding array<float>"}
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, schema in kinds.items():
+        layout = " PARTITIONED BY (strategy)" if name == "chunks" else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema}) USING parquet{layout}")
+    return [f"{database}.{name}" for name in kinds]
+
+
 def read_chunks(spark: SparkSession, folder: str, strategy: str | None = None, accession: str | None = None) -> DataFrame:
     """Chunks, pruned to the partitions asked for; strategy and accession stay strings."""
     rows = spark.read.schema(CHUNK).parquet(folder)
@@ -62,7 +89,11 @@ def pending(expected: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
 def read_log(spark: SparkSession, path: str, schema: str = RETRIEVAL_LOG) -> DataFrame:
     """A result log: missing texts are empty, missing timings and counts 0, metrics of another type null; blank lines are
     passed over."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    return lenient(spark.read.schema(schema).option("mode", "PERMISSIVE").json(path))
+
+
+def lenient(rows: DataFrame) -> DataFrame:
+    """A log's rows with defaults: see ``read_log``."""
     out = {}
     for name, kind in rows.dtypes:
         if kind == "string":
@@ -74,19 +105,17 @@ def read_log(spark: SparkSession, path: str, schema: str = RETRIEVAL_LOG) -> Dat
     return rows.withColumns(out)
 
 
-def write_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path, ignoreNullFields=False)
+def present_cells(grid: DataFrame, log: DataFrame) -> DataFrame:
+    """The cells of a grid that a log has rows of."""
+    return grid.join(log.select("strategy", "mode", "rerank").distinct(), ["strategy", "mode", "rerank"], "left_semi")
 
 
-def write_index(tokens: DataFrame, folder: str, *, k1: float, b: float) -> None:
-    """A sparse index: tokens by document, and the parameters it was built with, which stand when it is read."""
-    tokens.write.mode("overwrite").parquet(f"{folder}/tokens")
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("k1", F.lit(k1)).withColumn("b", F.lit(b))
-    stats.write.mode("overwrite").parquet(f"{folder}/stats")
+def append_log(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").json(path, ignoreNullFields=False)
 
 
-def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
-    return spark.read.parquet(f"{folder}/tokens"), spark.read.parquet(f"{folder}/stats").first().asDict()
+def write_log(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
 def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
