@@ -5,8 +5,9 @@ length of its necessary prefix under any order is one: its rarest shingle by cor
 windows on this shingle; its place in the window fixes where the window would begin, which must lie
 inside the document (position and length bounds), and there the words themselves are compared.
 
-The windows of one block of items travel with the tasks, so a document is read once for each block and is
-never shuffled; a block holds at most BLOCK_BYTES of item text, whatever the benchmark's size.
+The windows of one block of items travel with the tasks, so a document is read twice for each block (its shingles are
+counted first) and is never shuffled; a block holds at most BLOCK_BYTES of item text, whatever the benchmark's size,
+and the driver holds the first block and one more.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .support import materialize, sized
 
 WINDOW = 10
 SHINGLE = 3
@@ -184,13 +186,13 @@ _SUM = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string
 
 
 def window_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, th, n_words, spans of hit words, items) for each row of ``docs`` and block of items; ``th`` is xxhash64 of the
-    text.  Without items there is one row for each document, without spans."""
+    """(doc_id, th, n_words, spans of hit words, items) for each row of ``docs``, and again for each further block of items that
+    hits it; ``th`` is xxhash64 of the text."""
     docs = _keyed(docs)
-    out = None
-    for search in _searches(docs, items, window, shingle):
-        hits = docs.mapInArrow(search, _HIT)
-        out = hits if out is None else out.unionByName(hits)
+    searches = _searches(docs, items, window, shingle)
+    out = docs.mapInArrow(next(searches), _HIT)
+    for search in searches:
+        out = out.unionByName(_written_hits(docs, search))
     return out
 
 
@@ -210,11 +212,49 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sh
     answered alike.
     """
     docs = _keyed(docs)
-    searches = list(_searches(docs, items, window, shingle))
-    if len(searches) == 1:
-        return docs.mapInArrow(lambda it: _summed(searches[0](it)), _SUM)
-    hits = reduce(DataFrame.unionByName, [docs.mapInArrow(search, _HIT) for search in searches])
-    alike = hits.groupBy("doc_id", "th").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
-    rows = docs.select("doc_id", "th")
-    joined = rows.join(alike, rows["doc_id"].eqNullSafe(alike["doc_id"]) & (rows["th"] == alike["th"])).select(rows["doc_id"], rows["th"], "n_words", "spans", "items")
-    return joined.mapInArrow(_summed, _SUM)
+    searches = _searches(docs, items, window, shingle)
+    first = next(searches)
+    found = [_written_hits(docs, search) for search in searches]
+    if not found:
+        return docs.mapInArrow(lambda it: _summed(first(it)), _SUM)
+    # a row for each document from the first block; of the others only documents with hits are left
+    more = reduce(DataFrame.unionByName, found).groupBy("doc_id", "th").agg(F.flatten(F.collect_set("spans")).alias("m_spans"), F.flatten(F.collect_set("items")).alias("m_items"))
+    more = sized(materialize(more.withColumnsRenamed({"doc_id": "m_id", "th": "m_th"}), "more"))
+    base = docs.mapInArrow(first, _HIT)
+    joined = base.join(more, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
+    both = lambda own, other: F.concat(own, F.coalesce(other, F.array().cast(_TYPES[own])))
+    return joined.select("doc_id", "th", "n_words", both("spans", "m_spans").alias("spans"), both("items", "m_items").alias("items")).mapInArrow(_summed, _SUM)
+
+
+_TYPES = {"spans": "array<struct<start:long,words:long>>", "items": "array<string>"}
+
+
+def _written_hits(docs: DataFrame, search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """A block's hits as a table: its windows need not be held beyond it."""
+    return materialize(docs.mapInArrow(search, _HIT).where(F.size("spans") > 0), "hits")
+
+
+def _clean(batches: Iterator[pa.RecordBatch], search: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """The rows whose texts have no window."""
+    for batch in batches:
+        at = 0
+        asked = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), K.texts_of(batch).column(0)], names=["doc_id", "th", "text"])
+        for hits in search(iter([asked])):
+            clean = [not spans for spans in hits.column(3).to_pylist()]
+            yield batch.slice(at, len(clean)).filter(pa.array(clean, pa.bool_()))
+            at += len(clean)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns) that hold no window of an item, with all their columns.
+
+    Each row is judged by its own text, whatever its id.  A null or wordless text stays.  Between blocks of items what is
+    left is written, so that the driver holds one block's windows at a time.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema, last = rows.schema, None
+    for search in _searches(docs.select("text"), items, window, shingle):
+        if last is not None:
+            rows = materialize(last, "left")
+        last = rows.mapInArrow(lambda it, s=search: _clean(it, s), schema)
+    return last.select("row.*")

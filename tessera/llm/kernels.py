@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 
 # A worker outlives its tasks, and executors are sized by their largest hour: what is freed goes back to the system,
@@ -61,6 +62,10 @@ class _Powers:
 _IN_WORD, _IN_WINDOW = _Powers(_BASE), _Powers(0xD1342543DE82EF95)
 
 
+#: Values and powers of a second hash.
+OTHER_BYTE, OTHER_POWERS = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1), _Powers(0xA0761D6478BD642B)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(30))
@@ -122,6 +127,11 @@ def binary_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def texts_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The texts of whole rows, a struct column ``row``."""
+    return pa.RecordBatch.from_arrays([pc.struct_field(batch.column(0), "text")], names=["text"])
+
+
 def slices(off: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``size`` bytes, or of one row."""
     at, n = 0, len(off) - 1
@@ -152,17 +162,18 @@ class Words:
         self.doc = np.searchsorted(self.start, off)
         self.hash = self.hashes(buf, inside) if hashed else None
 
-    def hashes(self, buf: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Hashes of the words as they stand.  Piece by piece, so that what is held beside the text stays small."""
+    def hashes(self, buf: np.ndarray, inside: np.ndarray, values: np.ndarray = _BYTE, powers: _Powers = _IN_WORD) -> np.ndarray:
+        """Hashes of the words as they stand.  Piece by piece, so that what is held beside the text stays small.  Other
+        ``values`` of the bytes and ``powers`` give hashes that collide elsewhere."""
         raw = np.empty(len(self.start), np.uint64)
         at = 0
         while at < len(raw):
             base = self.start[at]
             to = max(at + 1, int(np.searchsorted(self.end, base + PIECE, "right")))
             size = int(self.end[to - 1] - base)
-            up, down = _IN_WORD.upto(size + 1)
+            up, down = powers.upto(size + 1)
             total = np.zeros(size + 1, np.uint64)
-            np.cumsum(_BYTE[buf[base : base + size]] * up[:size] * inside[base : base + size], out=total[1:])
+            np.cumsum(values[buf[base : base + size]] * up[:size] * inside[base : base + size], out=total[1:])
             first = self.start[at:to] - base
             raw[at:to] = (total[self.end[at:to] - base] - total[first]) * down[first]
             at = to

@@ -24,5 +24,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, *, each: int
     known = known.where(~held_out(F.col("doc_id"))).withColumn("_order", F.xxhash64("doc_id"))
     some = [known.where(F.col("label") == y).orderBy("_order", "doc_id").limit(each) for y in (0, 1)]
     picked = some[0].unionByName(some[1]).select("doc_id", "label")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(columns or [])).where("text IS NOT NULL")
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text", *(columns or []))

@@ -160,7 +160,18 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, keep
     return rows.join(sized(rates), "_mix_cell").select(*keep, mixed.alias("_mix"))
 
 
-def copies(rate: Column, doc_id: Column) -> Column:
-    """A rate as a whole number of copies: its fraction is decided by a hash of the id."""
-    chance = F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def copies(rate: Column, *row: Column) -> Column:
+    """A rate as a whole number of copies, 0 included: its fraction is decided by a hash of what tells a row apart."""
+    chance = F.pmod(F.xxhash64(*row, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+
+def taken(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, floor: float = 0.0, budget: float | None = None, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any other columns), each as often as its rate says, with the columns they had.
+
+    Rows are drawn by their id and text, so that null ids are drawn apart; rows that repeat both are drawn alike.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    mixed = mix(rows, labelled, targets, keep=["row"], floor=floor, budget=budget, sample=sample)
+    times = copies(F.col("_mix.rate"), F.col("row.doc_id"), F.xxhash64("row.text"))
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

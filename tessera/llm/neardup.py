@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +75,9 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Of each document: set size, digest of the set, signature, a byte of each coordinate."""
+    """Of each document: its columns but text, set size, digest of the set, signature, a byte of each coordinate."""
     for batch in batches:
-        ids = batch.column(0)
+        own = batch.select([n for n in batch.schema.names if n != "text"])
         buf, off = K.binary_column(batch, "text")
         for lo, hi in K.slices(off):
             words = K.Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], K.SPACES, lower=True)
@@ -88,7 +89,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
                 h = minhash(s)
                 signs.append(h.tobytes() if len(s) else None)
                 prints.append((K.mix(h.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signs, pa.binary()), pa.array(prints, pa.binary())], names=["doc_id", "n_shingles", "v", "signature", "prints"])
+            yield pa.RecordBatch.from_arrays([*own.slice(lo, hi - lo).columns, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signs, pa.binary()), pa.array(prints, pa.binary())], names=[*own.schema.names, "n_shingles", "v", "signature", "prints"])
 
 
 def _tokens(signs: pa.Array) -> np.ndarray:
@@ -296,8 +297,9 @@ def _blocks(members: DataFrame, key: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, v, signature, prints) of every row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, n_shingles long, v binary, signature binary, prints binary")
+    """The columns of ``docs`` but text, with n_shingles, v, signature and prints, for each of its rows."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(lambda it: _signatures(it, shingle), f"{kept}, n_shingles long, v binary, signature binary, prints binary")
 
 
 def _postings(classes: DataFrame, prefix: int) -> DataFrame:
@@ -358,8 +360,39 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     a group of null ids alone has a null component_id and is kept.  Rows that repeat a doc_id and its text
     are all answered alike.  No documents give no rows.
     """
-    parts, matches = shuffle_parts(docs.sparkSession), matches_for(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed, answer = _grouped(docs, [], shingle, percent)
+    named = signed.where("v IS NOT NULL").join(answer, "v").select("doc_id", "n_shingles", "component_id")
+    out = named.unionByName(signed.where("v IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def without_near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` (doc_id, text, any other columns) with one row of each group: the one of the smallest doc_id, nulls last, of
+    equal ids any one.  Rows that repeat an id, and rows without one, are rows of their own; texts without words all stay.
+
+    Rows are told apart by their place in their file; what isn't read from Parquet is written first.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    columns = docs.columns
+    try:
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *place)
+    except AnalysisException:
+        docs = materialize(docs, "rows")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *place)
+    keyed = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), "_file", "_row")
+    signed, answer = _grouped(keyed, ["_file", "_row"], shingle, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_file", "_row")
+    member = signed.where("v IS NOT NULL").join(answer.select("v", "root"), "v").select("root", order.alias("o"))
+    # most groups are one row: only those of several are compared
+    best = member.groupBy("root").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "first")
+    gone = member.join(sized(materialize(best, "first")), "root").where("o <> first").select("o._file", "o._row")
+    return rows.join(sized(materialize(gone, "gone")), ["_file", "_row"], "left_anti").select("row.*")
+
+
+def _grouped(docs: DataFrame, keep: list[str], shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``docs`` (doc_id, text and ``keep``), and of each class (v) its group: root and component_id."""
+    parts, matches = shuffle_parts(docs.sparkSession), matches_for(percent)
     signed = materialize(signatures(docs, shingle), "signatures")
     full = signed.where("v IS NOT NULL")
     classes = materialize(full.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("prints").alias("prints")), "classes")
@@ -392,7 +425,4 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     rooted = classes.select("v", "first_id").join(linked, "v", "left").select("v", "first_id", F.coalesce("root", "v").alias("root"))
     rooted = materialize(rooted, "rooted")
     best = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "best")
-    answer = materialize(rooted.join(sized(best), "root").select("v", "component_id"), "answer")
-    named = signed.where("v IS NOT NULL").join(answer, "v").select("doc_id", "n_shingles", "component_id")
-    out = named.unionByName(signed.where("v IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return signed, materialize(rooted.join(sized(best), "root").select("v", "root", "component_id"), "answer")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -84,11 +84,12 @@ class Machine:
         n = len(statistics)
         z = np.clip((statistics - self.mean) / self.deviation, -4, 4) / 4
         bins = sum((statistics > e).astype(np.int64) for e in self.edges)
-        who = np.repeat(np.arange(n), STATISTICS)
-        which = np.tile(np.arange(STATISTICS), n)
-        scale = 1 / np.sqrt(STATISTICS)
+        wide = statistics.shape[1]
+        who = np.repeat(np.arange(n), wide)
+        which = np.tile(np.arange(wide), n)
+        scale = 1 / np.sqrt(wide)
         doc = np.concatenate([at, who, who])
-        feature = np.concatenate([bucket, BUCKETS + which * BINS + bins.ravel(), BUCKETS + STATISTICS * BINS + which])
+        feature = np.concatenate([bucket, BUCKETS + which * BINS + bins.ravel(), BUCKETS + wide * BINS + which])
         x = np.concatenate([value, np.full(len(who), scale), z.ravel() * scale * 2])
         order = np.argsort(doc, kind="stable")
         return doc[order], feature[order], x[order]
@@ -105,11 +106,12 @@ class Machine:
 
 def fit(statistics: np.ndarray, at: np.ndarray, bucket: np.ndarray, value: np.ndarray, y: np.ndarray, *, steps: int = STEPS, rate: float = 0.1, shrink: float = 1e-5, batch: int = 128, seed: int = 11) -> Machine:
     """Train on documents 0..n-1.  Without either label every score is the smoothed share of label 1."""
-    n, size = len(y), BUCKETS + STATISTICS * (BINS + 1)
+    n, wide = len(y), statistics.shape[1]
+    size = BUCKETS + wide * (BINS + 1)
     rng = np.random.default_rng(seed)
     share = (y.sum() + 1) / (n + 2)
-    edges = np.quantile(statistics, np.arange(1, BINS) / BINS, axis=0) if n else np.zeros((BINS - 1, STATISTICS))
-    mean, deviation = (statistics.mean(0), np.maximum(statistics.std(0), 1e-9)) if n else (np.zeros(STATISTICS), np.ones(STATISTICS))
+    edges = np.quantile(statistics, np.arange(1, BINS) / BINS, axis=0) if n else np.zeros((BINS - 1, wide))
+    mean, deviation = (statistics.mean(0), np.maximum(statistics.std(0), 1e-9)) if n else (np.zeros(wide), np.ones(wide))
     m = Machine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, FACTORS)), edges, mean, deviation)
     if not n or y.min() == y.max():
         return m
@@ -142,45 +144,65 @@ def fit(statistics: np.ndarray, at: np.ndarray, bucket: np.ndarray, value: np.nd
     return m
 
 
-def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _known(batch: pa.RecordBatch, metadata: int) -> np.ndarray:
+    """The batch's last columns as two statistics each: the logarithm of its size with the sign, and whether it's missing."""
+    columns = [np.asarray(batch.column(batch.num_columns - metadata + i).to_numpy(zero_copy_only=False), float) for i in range(metadata)]
+    gone = [~np.isfinite(c) for c in columns]
+    return np.column_stack([f(c, g) for c, g in zip(columns, gone, strict=True) for f in (lambda c, g: np.sign(np.where(g, 0, c)) * np.log1p(np.abs(np.where(g, 0, c))), lambda c, g: g.astype(float))]) if metadata else np.zeros((batch.num_rows, 0))
+
+
+def _features_of(batches: Iterator[pa.RecordBatch], metadata: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = K.binary_column(batch, "text")
+        known = _known(batch, metadata)
         for lo, hi in K.slices(off):
             statistics, at, bucket, value = features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            statistics = np.hstack([statistics, known[lo:hi]])
             cuts = np.searchsorted(at, np.arange(hi - lo + 1)).tolist()
             cells = [(bucket[a:b].astype(np.int32).tobytes(), value[a:b].astype(np.float32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in statistics]), pa.array([b for b, _ in cells]), pa.array([v for _, v in cells])], names=["doc_id", "label", "statistics", "buckets", "vals"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> Machine:
+def _metadata(docs: DataFrame, metadata: list[str]) -> list[Column]:
+    """Numeric columns under names of their own, so that none clashes."""
+    return [F.col(f"`{c}`").cast("double").alias(f"_meta{i}") for i, c in enumerate(metadata)]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE, metadata: list[str] | None = None) -> Machine:
     """Fit on at most ``sample`` labelled documents of either label that are not held out."""
-    rows = training_sample(docs, labels, label, each=sample).select("doc_id", "label", "text").mapInArrow(_features_of, "doc_id long, label int, statistics binary, buckets binary, vals binary").toArrow()
+    metadata = metadata or []
+    wide, more = STATISTICS + 2 * len(metadata), [f"_meta{i}" for i in range(len(metadata))]
+    rows = training_sample(docs.select("doc_id", "text", *_metadata(docs, metadata)), labels, label, each=sample, columns=more).select("doc_id", "label", "text", *more).mapInArrow(lambda it: _features_of(it, len(metadata)), "doc_id long, label int, statistics binary, buckets binary, vals binary").toArrow()
     order = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["statistics"].to_pylist(), rows["buckets"].to_pylist(), rows["vals"].to_pylist(), strict=True))
-    statistics = np.frombuffer(b"".join(r[2] for r in order)).reshape(-1, STATISTICS)
+    statistics = np.frombuffer(b"".join(r[2] for r in order)).reshape(-1, wide)
     bucket = np.frombuffer(b"".join(r[3] for r in order), np.int32).astype(np.int64)
     value = np.frombuffer(b"".join(r[4] for r in order), np.float32).astype(np.float64)
     at = np.repeat(np.arange(len(order)), [len(r[3]) // 4 for r in order]) if order else np.zeros(0, np.int64)
     return fit(statistics, at, bucket, value, np.array([r[1] for r in order], float))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], machine: Machine, threshold: float) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], machine: Machine, threshold: float, metadata: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = K.binary_column(batch, "text")
+        known = _known(batch, metadata)
         for lo, hi in K.slices(off):
-            decision, _ = machine.decide(*machine.entries(*features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])))
+            statistics, at, bucket, value = features(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            decision, _ = machine.decide(*machine.entries(np.hstack([statistics, known[lo:hi]]), at, bucket, value))
             score = 1 / (1 + np.exp(-np.clip(decision.astype(np.float64), -40, 40)))
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", threshold: float = 0.3, sample: int = SAMPLE, metadata: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= ``threshold``), a row for each row of ``docs`` (doc_id, text).
 
     ``labels`` has doc_id and ``label`` (0 or 1); only rows that are not held out are learnt from.  Of a document nothing but
-    its text is looked at; a null text is an empty one, which has a score by its statistics.  Equal texts have equal
-    scores.  Without labels of both kinds the score is the smoothed share of label 1 for all.
+    its text and the numeric columns ``metadata`` is looked at; a null text is an empty one, which has a score by its
+    statistics, and a null or non-finite number is a feature of its own.  Equal rows have equal scores.  Without labels of
+    both kinds the score is the smoothed share of label 1 for all.
     """
-    machine = train(docs, labels, label=label, sample=sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(lambda it: _scored(it, machine, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    metadata = metadata or []
+    machine = train(docs, labels, label=label, sample=sample, metadata=metadata)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", *_metadata(docs, metadata))
+    return rows.mapInArrow(lambda it: _scored(it, machine, threshold, len(metadata)), "doc_id long, held_out boolean, score double, predicted int")

@@ -83,8 +83,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quality score of every text, learnt from the labels that are not held out."""
-    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    """A quality score of every text and its n_chars, learnt from the labels that are not held out."""
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), metadata=["n_chars"])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,11 @@ prefix sum over these rows and stands in manifest.json.  A task that runs again
 only reported files are in the manifest.
 
 The tokenizers library encodes; what it has made of a run of non-space characters is remembered under the run's 64-bit
-hash (two of two million runs share one with a probability of 1e-7), as most runs come again.  Its byte-level
-pre-tokenizer cuts before each single space or newline, and between a letter or digit and punctuation, so that such
-runs are encoded as they would be in their text; a text in which white space touches white space goes to the library
-whole.
+hash, as most runs come again.  A second hash stands beside it: runs that share the first and not the second send their
+documents to the library whole.  The byte-level pre-tokenizer cuts before each single space or newline, and between a
+letter or digit and punctuation, so that such runs are encoded as they would be in their text; a text in which white
+space touches white space, or that spells an added token, goes to the library whole, and so does every text if the
+file's pre-tokenizer or normalizer is another.
 """
 
 from __future__ import annotations
@@ -52,8 +53,13 @@ _OTHER = K.byte_table([0, 9, 11, 12, 13, 28, 29, 30, 31])
 _LONG_SPACES = [c.encode() for c in "\x85\xa0\u1680\u202f\u205f\u3000"] + [b"\xe2\x80"]
 
 
-def _odd(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Documents in which white space touches white space or an end of the text, or is other than space and newline."""
+#: What tells a run after a space from the same run without one.
+_SPACED = np.uint64(0x5851F42D4C957F2D)
+
+
+def _odd(buf: np.ndarray, off: np.ndarray, added: list[bytes] | None = None) -> np.ndarray:
+    """Documents in which white space touches white space or an end of the text, or is other than space and newline, or that
+    spell one of the ``added`` tokens."""
     odd = np.zeros(len(off) - 1, bool)
     if not len(buf):
         return odd
@@ -64,7 +70,7 @@ def _odd(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     beside[ends] = True
     at = [np.flatnonzero(breaks & beside), starts[breaks[starts]], np.flatnonzero(_OTHER[buf])]
     raw = buf.tobytes()
-    for space in _LONG_SPACES:
+    for space in [*_LONG_SPACES, *(added or [])]:
         found = raw.find(space)
         while found >= 0:
             at.append(np.array([found]))
@@ -73,8 +79,8 @@ def _odd(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return odd
 
 
-def _runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run: document, start, end and hash.  A run has no space or newline; punctuation at its end, after a letter or
+def _runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run: document, start, end, hash and second hash.  A run has no space or newline; punctuation at its end, after a letter or
     digit, is a run of its own."""
     words = K.Words(buf, off, _BREAKS, lower=False, hashed=False)
     start, end = words.start, words.end
@@ -84,7 +90,8 @@ def _runs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         cut = cut[_ALNUM[buf[solid[cut]]]]
         start, end = np.insert(start, cut + 1, solid[cut] + 1), np.insert(end, cut, solid[cut] + 1)
     words.start, words.end = start, end
-    return np.searchsorted(off, start, "right") - 1, start, end, words.hashes(buf, ~_BREAKS[buf])
+    inside = ~_BREAKS[buf]
+    return np.searchsorted(off, start, "right") - 1, start, end, words.hashes(buf, inside), words.hashes(buf, inside, K.OTHER_BYTE, K.OTHER_POWERS)
 
 
 class _Memory:
@@ -92,39 +99,50 @@ class _Memory:
 
     def __init__(self, dtype: np.dtype) -> None:
         none = np.zeros(0, np.int64)
-        self.levels = [(np.zeros(0, np.uint64), none, none)] * 2
+        self.levels = [(np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64))] * 2
         self.ids, self.used = np.zeros(1 << 16, dtype), 0
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin (-1 if unknown) and count of the ids of sorted hashes."""
         begin, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for known, at, n in self.levels:
+        for known, at, n, _ in self.levels:
             if len(known):
                 place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 hit = known[place] == hashes
                 begin[hit], count[hit] = at[place[hit]], n[place[hit]]
         return begin, count
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def differs(self, hashes: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Whether a run of the same hash, with or without a space before it, is remembered with another second hash."""
+        out = np.zeros(len(hashes), bool)
+        for asked in (hashes, hashes ^ _SPACED):
+            order = np.argsort(asked)
+            for known, _, _, second in self.levels:
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, asked[order]), len(known) - 1)
+                    out[order] |= (known[place] == asked[order]) & (second[place] != check[order])
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Remember the ids of sorted new hashes; where they begin."""
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, len(ids)), self.ids.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
         begin = self.used + np.cumsum(count) - count
         self.used += len(ids)
-        self.levels[1] = self._merged(self.levels[1], (hashes, begin, count))
+        self.levels[1] = self._merged(self.levels[1], (hashes, begin, count, check))
         if len(self.levels[1][0]) > RECENT:
-            self.levels = [self._merged(*self.levels), (hashes[:0], begin[:0], count[:0])]
+            self.levels = [self._merged(*self.levels), (hashes[:0], begin[:0], count[:0], check[:0])]
         return begin
 
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple:
         hashes = np.concatenate([a[0], b[0]])
         order = np.argsort(hashes, kind="stable")  # two sorted runs: a merge
-        return hashes[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+        return hashes[order], *(np.concatenate([a[i], b[i]])[order] for i in (1, 2, 3))
 
     def __len__(self) -> int:
-        return sum(len(known) for known, _, _ in self.levels)
+        return sum(len(level[0]) for level in self.levels)
 
 
 class Encoder:
@@ -135,11 +153,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self._library(["\n"])[0]
+        rules = json.loads(self.tokenizer.to_str())
+        cuts = rules.get("pre_tokenizer") or {}
+        plain = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space") and not rules.get("normalizer")
         #: Only with a byte-level vocabulary whose newline is one id can runs be told apart in one call.
-        self.joined = len(self.newline) == 1
+        self.joined = bool(plain) and len(self.newline) == 1
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.memory = _Memory(self.dtype)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -158,14 +179,22 @@ class Encoder:
     def __call__(self, buf: np.ndarray, off: np.ndarray, eos: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with ``eos`` at its end, and how many each has."""
         n = len(off) - 1
-        odd = _odd(buf, off) if self.joined else np.ones(n, bool)
-        doc, start, end, h = _runs(buf, off)
+        odd = _odd(buf, off, self.added) if self.joined else np.ones(n, bool)
+        doc, start, end, h, check = _runs(buf, off)
         plain = ~odd[doc]
-        doc, start, end, h = doc[plain], start[plain], end[plain], h[plain]
+        if plain.any():
+            # a hash that two runs share, here or with what is remembered: their documents are odd
+            kind, kinds = pd.factorize(h)
+            first = np.empty(len(kinds), np.uint64)
+            first[kind[::-1]] = check[::-1]
+            doubtful = (first[kind] != check) | self.memory.differs(kinds, first)[kind]
+            odd[doc[doubtful]] = True
+            plain = ~odd[doc]
+        doc, start, end, h, check = doc[plain], start[plain], end[plain], h[plain], check[plain]
         # a run's leading space is part of it; a newline before it is an id of its own
         before = np.where(start > off[doc], buf[np.maximum(start - 1, 0)], 0)
         space, line = before == 32, (before == 10).astype(np.int64)
-        which, kinds = pd.factorize(h ^ np.where(space, np.uint64(0x5851F42D4C957F2D), np.uint64(0)))
+        which, kinds = pd.factorize(h ^ np.where(space, _SPACED, np.uint64(0)))
         order = np.argsort(kinds)
         kinds, rank = kinds[order], np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -179,7 +208,7 @@ class Encoder:
             first[which[::-1]] = np.arange(len(which))[::-1]
             raw, at = buf.tobytes(), first[new]
             ids, counts = self._encoded([raw[a:b] for a, b in zip((start[at] - space[at]).tolist(), end[at].tolist(), strict=True)])
-            begin[new], count[new] = self.memory.add(kinds[new], ids, counts), counts
+            begin[new], count[new] = self.memory.add(kinds[new], ids, counts, check[at]), counts
         flat = self.memory.ids
         some = np.flatnonzero(odd).tolist()
         raw = buf.tobytes() if some else b""

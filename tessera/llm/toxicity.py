@@ -284,6 +284,25 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: i
     return fit((y, w.split(b"\xff") if w else []) for y, w in pairs)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any other columns) whose score is below ``threshold``, with all their columns.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids included.  A null text is an empty one.
+    """
+    model = train(docs, labels, label=label, sample=sample)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(lambda it: _below(it, model, threshold), rows.schema).select("row.*")
+
+
+def _below(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buf, off = K.binary_column(K.texts_of(batch), "text")
+        for lo, hi in K.slices(off):
+            stream = Stream(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            clean = model.probability(model.documents(stream, hi - lo)) < threshold
+            yield batch.slice(lo, hi - lo).filter(pa.array(clean))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= ``threshold``), a row for each row of ``docs`` (doc_id, text).
 

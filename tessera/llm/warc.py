@@ -98,9 +98,12 @@ def plan_records(pages: DataFrame, *, least: int = LEAST) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("length", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html"), 256))
     same = pages.where(F.col("length") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
-    classes = materialize(same.select("digest", "first"), "payloads")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    return pages.join(sized(classes, BROADCAST_ROWS // 2), "digest", "left").select("page_id", "url", "html", "length", "digest", refers.alias("refers_to"))
+    classes = sized(materialize(same.select("digest", "first"), "payloads"), BROADCAST_ROWS // 2)
+    # only ids meet on a digest, which one payload may share with a third of all pages; payloads are joined by page, if at all
+    revisits = pages.select("page_id", "digest").join(classes, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = sized(materialize(revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first").distinct(), "revisits"), BROADCAST_ROWS // 2)
+    joined = pages.join(revisits, pages["page_id"].eqNullSafe(revisits["_page"]) & (pages["digest"] == revisits["_digest"]), "left")
+    return joined.select("page_id", "url", "html", "length", "digest", F.col("first").alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, *, least: int = LEAST, date: str = DATE) -> list[str]:

@@ -130,6 +130,16 @@ def test_scores_without_labels(spark, score):
     assert score(docs.where("false"), labels).count() == 0
 
 
+def test_quality_looks_at_metadata(spark):
+    """A number beside the text tells the labels apart; null is a feature of its own."""
+    rows = [(i, "same words here", float(i % 3 == 0) * 100 if i % 2 else (None if i % 3 else 100.0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int")
+    out = quality.score_quality(docs, labels, metadata=["size"]).collect()
+    assert all((r["score"] > 0.5) == (r["doc_id"] % 3 == 0) for r in out)
+    assert len({r["score"] for r in quality.score_quality(docs, labels).collect()}) == 1
+
+
 def test_factorisation_identity():
     """The linear-time form equals the sum over pairs."""
     rng = np.random.default_rng(2)

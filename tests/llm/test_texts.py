@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -14,6 +15,8 @@ from tessera.llm import decontam, kernels, neardup, secretscan, substring, token
 from tessera.llm.queries import tokenizer_file
 from tessera.llm.support import components, shared_folder
 
+from ..conftest import DATA
+
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 BASE = [" ".join(f"w{i * 7 % 31}x{i % 5}" for i in range(n, n + 60)) for n in range(6)]
 
@@ -275,7 +278,6 @@ def test_tokens(spark, docs):
     manifest = tokens.write_shards(frame, folder, tokenizer_file())
     assert [m["base"] for m in manifest] == [sum(x["ids"] for x in manifest[:i]) for i in range(len(manifest))]
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     got = sorted(tokens.read_shards(spark, folder).collect(), key=lambda r: r["start"])
     at, want = 0, {}
     for d, text in rows:
@@ -287,6 +289,157 @@ def test_tokens(spark, docs):
     assert len(got) == len(rows) and [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
 
 
+def test_runs_that_share_a_hash(monkeypatch):
+    """With a hash that takes many runs for one another, the second hash sends their documents to the library."""
+    from tokenizers import Tokenizer
+
+    texts = ["some words come again", "words again and some", "quite other runs here", "some words come again here"] * 3
+    raw = "".join(texts).encode()
+    off = np.cumsum([0, *map(len, texts)])
+    real = kernels.Words.hashes
+
+    def weak(self, buf, inside, *more):
+        return real(self, buf, inside, *more) if more else real(self, buf, inside) & np.uint64(3)
+
+    monkeypatch.setattr(kernels.Words, "hashes", weak)
+    ids, counts = tokens.Encoder(tokenizer_file())(np.frombuffer(raw, np.uint8), off, 0)
+    want = [[*e.ids, 0] for e in Tokenizer.from_file(tokenizer_file()).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_secrets_of_whole_documents(spark):
+    """Every base match of plain regexes over all documents."""
+    rows = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r for r in secretscan.scan_secrets(rows).collect()}
+    plain = [(re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), (re.compile("AKIA[A-Z0-9]+"), 0, 20), (re.compile("[0-9a-f]+"), 0, 24)]
+    for d, text in rows.collect():
+        spans = sorted((m.start(), k, m.end()) for k, (rx, group, least) in enumerate(plain) for m in rx.finditer(text or "") if len(m.group(group)) >= least)
+        assert [found[d][n] for n in ("n_assign", "n_access", "n_hex")] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+        assert found[d]["base_sha256"] == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    assert sum(r["n_assign"] for r in found.values()) > 0
+
+
+STAGE_ROWS = [(1, "A"), (2, "A"), (2, "B"), (None, "A"), (None, "C"), (3, "B"), (3, "B"), (4, None), (None, None), (5, ""), (4, None)]
+
+
+def stage_rows(spark, texts):
+    rows = [(i, texts.get(t, t), f"k{n}", n, 0.5) for n, (i, t) in enumerate(STAGE_ROWS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, row string, _time int, score double")
+
+
+def test_pipeline_stages_judge_rows(spark, tmp_path):
+    """Null and repeated ids, identical rows, null and empty texts and clashing names, against what each row must be."""
+    import corpus_pipeline as pipeline
+
+    texts = {k: " ".join(f"{k}{i}" for i in range(50)) for k in "ABC"}
+    docs = stage_rows(spark, texts)
+    for name, rows, schema in (("benchmark", [(7, texts["B"])], "item_id long, text string"), ("labels", [(1, 1, 0)], "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    left = pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    kept = [r["row"] for r in left.collect()]
+    # of A the row of id 1, of B that of id 2, of C the only one; texts without words all stay
+    assert sorted(kept) == ["k0", "k10", "k2", "k4", "k7", "k8", "k9"]
+    clean = pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r["row"] for r in clean.collect()) == ["k0", "k1", "k10", "k3", "k4", "k7", "k8", "k9"] and clean.columns == docs.columns
+    empty = docs.where("false")
+    for stage in (pipeline.near_dedup, pipeline.decontamination):
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_drops_toxic_rows_whatever_their_id(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as pipeline
+
+    words = ["river", "stone", "meadow", "cloud", "lantern", "harbour"]
+    rng = np.random.default_rng(3)
+    lines = [" ".join(rng.choice(words, 8)) + (" vile idiots" if i % 2 else "") for i in range(300)]
+    rows = [(i, t, "r") for i, t in enumerate(lines)] + [(None, lines[1], "null"), (0, lines[3], "again"), (None, lines[0], "good"), (None, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    spark.createDataFrame([(i, 0, i % 2) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = pipeline.toxicity(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert sorted(r["row"] for r in got if r["row"] != "r") == ["good", "none"] and sorted(r["doc_id"] for r in got if r["row"] == "r") == list(range(0, 300, 2))
+    assert pipeline.toxicity(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_mixing_stage(spark):
+    """Rows come as often as their rates say: 0 copies are none; null ids are drawn apart; names may clash."""
+    from tessera.llm import mixing
+
+    rows = [(i if i % 7 else None, ("le la les et " if i % 4 == 0 else "the of and to ") * 20 + str(i), i, "x") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _time int, row string")
+    known = spark.createDataFrame([(i, "fr" if i % 4 == 0 else "en") for i in range(400)], "doc_id long, domain string")
+    out = mixing.taken(docs, known, {"en": 0.5, "fr": 0.5})
+    assert out.columns == docs.columns
+    n = Counter(r["_time"] for r in out.collect())
+    french, english = [n[i] for i in range(400) if i % 4 == 0], [n[i] for i in range(400) if i % 4]
+    assert 180 < sum(french) < 220 and 180 < sum(english) < 220 and min(english) == 0 and set(french) == {2}
+    nulls = [n[i] for i in range(0, 400, 7) if i % 4]
+    assert len(set(nulls)) > 1
+    assert mixing.taken(docs.where("false"), known, {"en": 0.5, "fr": 0.5}).count() == 0
+
+
+def test_posteriors_are_the_plain_classifier(spark):
+    """Counts, smoothing and tempering of naive Bayes, by hand."""
+    import xxhash
+
+    from tessera.llm import mixing
+
+    def bucket(w):
+        h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+        return (h - (1 << 64) if h >> 63 else h) % mixing.BUCKETS
+
+    rows = [(0, "a b c a"), (1, "x y z"), (2, "a x q q q"), (3, None), (4, "c  c\tx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(0, "p"), (1, "q"), (2, "q")], "doc_id long, domain string")
+    counts, docs_of = {"p": Counter(), "q": Counter()}, Counter()
+    for (_, t), d in zip(rows[:3], "pqq"):
+        counts[d].update(bucket(w) for w in t.split())
+        docs_of[d] += 1
+    out = {r["doc_id"]: r["_mix_posterior"] for r in mixing.scored(docs, *mixing.classifier(docs, known, ["p", "q"])).collect()}
+    for i, t in rows:
+        words = (t or "").split()
+        logs = [math.log((docs_of[d] + 1) / 5) + sum(math.log((counts[d][bucket(w)] + 1) / (sum(counts[d].values()) + mixing.BUCKETS)) for w in words) / math.sqrt(max(1, len(words))) for d in "pq"]
+        weights = [math.exp(x - max(logs)) for x in logs]
+        assert out[i] == pytest.approx([w / sum(weights) for w in weights])
+
+
+def test_rates_are_the_least_squares_fit(spark):
+    """At the production step count, against a dense projected gradient run to the end."""
+    from tessera.llm import mixing
+
+    rng = np.random.default_rng(8)
+    share = rng.dirichlet([0.3] * 3, 60)
+    size = rng.integers(10, 1000, 60).astype(float)
+    mass, goal = share * size[:, None], np.array([0.5, 0.3, 0.2]) * size.sum()
+    hessian_step = 1 / (((mass / goal) ** 2).sum() + mixing.PULL)
+    rate, part = np.ones(60), size / size.sum()
+    for _ in range(200_000):
+        slope = (mass / goal) @ (rate @ mass / goal - 1) + mixing.PULL * part * (rate - 1)
+        rate = np.maximum(0, rate - hessian_step * slope)
+    cost = lambda r: 0.5 * ((r @ mass / goal - 1) ** 2).sum() + 0.5 * mixing.PULL * (part * (r - 1) ** 2).sum()
+    frame = spark.createDataFrame([(int(s), m.tolist()) for s, m in zip(size, mass)], "tokens long, mass array<double>")
+    fitted = mixing.fit_rates(frame, [0.5, 0.3, 0.2], budget=None, floor=0.0).collect()
+    order = {tuple(m.tolist()): i for i, m in enumerate(mass)}
+    got = np.array([r["rate"] for r in sorted(fitted, key=lambda r: order[tuple(r["mass"])])])
+    # steps end when none moves a domain by 1e-4 of its target: all but a thousandth of what can be gained is gained
+    assert got.min() >= 0 and cost(got) - cost(rate) <= 1e-3 * (cost(np.ones(60)) - cost(rate))
+    assert got @ mass == pytest.approx(goal, rel=0.01)
+
+
+def test_long_text(spark):
+    """One text of 400,000 words goes through every text operator whole."""
+    words = " ".join(f"w{i % 5000}" for i in range(400_000)) + " Password: hunter2secret " + BASE[2]
+    docs = spark.createDataFrame([(1, BASE[2]), (2, words)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()} == {1: 0, 2: 60}
+    items = spark.createDataFrame([(1, BASE[2])], "item_id long, text string")
+    assert {r["n_hit"] for r in decontam.decontaminate(docs, items).collect()} == {60}
+    assert {r["doc_id"]: r["n_assign"] for r in secretscan.scan_secrets(docs).collect()} == {1: 0, 2: 1}
+    assert neardup.near_duplicates(docs).where("doc_id = 2").first()["n_shingles"] > 5000
+
+
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     for frame in (neardup.near_duplicates(none), substring.remove_repeats(none), decontam.decontaminate(none, items), secretscan.scan_secrets(none)):
