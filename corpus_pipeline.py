@@ -8,15 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm.decontam import decontaminate
-from tessera.llm.mixing import copies, mix
-from tessera.llm.neardup import near_duplicates
+from tessera.llm.decontam import without_contaminated
+from tessera.llm.mixing import taken
+from tessera.llm.neardup import without_near_duplicates
 from tessera.llm.queries import LANGUAGES, labelled_languages, tokenizer_file
-from tessera.llm.support import materialize, shared_folder, sized
+from tessera.llm.support import materialize, shared_folder
 from tessera.llm.tokens import read_shards, write_shards
-from tessera.llm.toxicity import score_toxicity
+from tessera.llm.toxicity import without_toxic
 from tessera.shipping import ship
 
 
@@ -28,42 +27,49 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` whose ids are not in ``rejected`` (doc_id); documents without an id stay."""
-    return docs.join(sized(materialize(rejected.distinct(), "rejected")), "doc_id", "left_anti")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
-    scores = score_toxicity(docs, _read(spark, sf_dir, "labels"))
-    return _without(docs, scores.where("predicted = 1").select("doc_id"))
+    """Documents that the toxicity operator does not reject.
+
+    Each row is judged by its own text: null and repeated ids too.  Null and empty texts have the score of no words.  Columns of
+    any names stay; no rows give no rows.
+    """
+    return without_toxic(docs, _read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, similarity 0.8 or more), the one of the smallest doc_id."""
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8 or more), the one of the smallest doc_id.
+
+    Rows with null or repeated ids are members like others, nulls last; one row of identical ones stays.  Texts without
+    words are linked with nothing and all stay.  Columns of any names stay; no rows give no rows.
+    """
     ship(spark)
-    return _without(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept").select("doc_id"))
+    return without_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    hits = decontaminate(docs, _read(spark, sf_dir, "benchmark"))
-    return _without(docs, hits.where("contaminated").select("doc_id"))
+    """Documents without a window of a benchmark item.
+
+    Each row is judged by its own text: null and repeated ids too.  Null and empty texts stay, as do all rows of an empty
+    benchmark.  Columns of any names stay; no rows give no rows.
+    """
+    return without_contaminated(docs, _read(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as brings the languages' tokens to their target shares.
 
-    Rates are fitted with a floor of 1: no document is lost, and those of scarce languages come more than once.
+    Rates are fitted with a floor of 1: no document is lost, and those of scarce languages come more than once.  Texts without
+    words have the rate of their cell; rows are drawn by id and text.  Columns of any names stay; no rows give no rows.
     """
     labels = _read(spark, sf_dir, "labels")
-    mixed = mix(docs, labelled_languages(docs, labels), LANGUAGES, floor=1.0)
-    times = F.explode(F.sequence(F.lit(1), copies(F.col("_mix.rate"), F.col("doc_id")))).alias("_time")
-    return mixed.select(*docs.columns, times).drop("_time")
+    return taken(docs, labelled_languages(docs, labels), LANGUAGES, floor=1.0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, read back: where each document's ids begin, how many there are, and their crc32."""
+    """Token shards, read back: where each document's ids begin, how many there are, and their crc32.
+
+    A row for each row, in ascending order of doc_id, nulls first; null and empty texts are their end id alone.
+    """
     folder = f"{shared_folder(ship(spark))}/tokens"
     write_shards(docs, folder, tokenizer_file())
     return read_shards(spark, folder)
