@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .support import components, materialize, shuffle_parts, sized
+from .support import Tables, components, materialize, shuffle_parts, sized
 
 COORDINATES = 64
 #: Probability that a pair at the threshold is missed, at most.
@@ -394,35 +394,38 @@ def _grouped(docs: DataFrame, keep: list[str], shingle: int, percent: int) -> tu
     """The signatures of ``docs`` (doc_id, text and ``keep``), and of each class (v) its group: root and component_id."""
     parts, matches = shuffle_parts(docs.sparkSession), matches_for(percent)
     signed = materialize(signatures(docs, shingle), "signatures")
-    full = signed.where("v IS NOT NULL")
-    classes = materialize(full.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("prints").alias("prints")), "classes")
-
-    posted = materialize(_postings(classes, COORDINATES - matches + 1), "posted")
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialize(posted.join(materialize(lists, "lists"), "token"), "met")
-    stars = _star_links(docs, met, classes, shingle, percent, parts)
-    labels = materialize(components(stars).select("v", F.col("root").alias("label")), "labels")
-    labelled = lambda rows: rows.join(sized(labels), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    in_lists = _blocks(labelled(met), "token").join(classes.select("v", "n_shingles", "prints"), "v")
-    agreeing = (
-        in_lists.select("token", "p", "q", "block", "v", "label", "n_shingles", "prints")
-        .repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
-        .mapInArrow(lambda it: _agreeing(it, matches, percent), "a binary, b binary")
-    )
-    clusters = materialize(components(agreeing.unionByName(stars)), "clusters")
-
-    sizes = materialize(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    members = labelled(clusters.join(sized(sizes), "root").select(F.col("root").alias("cluster"), "v", "n"))
-    blocks = materialize(_blocks(members, "cluster"), "blocks")
-    sets = _full_sets(docs, blocks, classes, shingle)
-    confirmed = (
-        blocks.join(sets, "v").select("cluster", "p", "q", "block", "v", "label", "shingles")
-        .repartition(parts, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
-        .mapInArrow(lambda it: _confirmed(it, percent), "a binary, b binary")
-    )
-    linked = components(confirmed.unionByName(stars))
-
-    rooted = classes.select("v", "first_id").join(linked, "v", "left").select("v", "first_id", F.coalesce("root", "v").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    best = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "best")
-    return signed, materialize(rooted.join(sized(best), "root").select("v", "root", "component_id"), "answer")
+    with Tables() as tables:
+        full = signed.where("v IS NOT NULL")
+        classes = materialize(full.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), F.min("prints").alias("prints")), "classes")
+
+        posted = materialize(_postings(classes, COORDINATES - matches + 1), "posted")
+        lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = materialize(posted.join(materialize(lists, "lists"), "token"), "met")
+        stars = _star_links(docs, met, classes, shingle, percent, parts)
+        labels = materialize(components(stars).select("v", F.col("root").alias("label")), "labels")
+        labelled = lambda rows: rows.join(sized(labels), "v", "left").withColumn("label", F.coalesce("label", "v"))
+        in_lists = _blocks(labelled(met), "token").join(classes.select("v", "n_shingles", "prints"), "v")
+        agreeing = (
+            in_lists.select("token", "p", "q", "block", "v", "label", "n_shingles", "prints")
+            .repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
+            .mapInArrow(lambda it: _agreeing(it, matches, percent), "a binary, b binary")
+        )
+        clusters = materialize(components(agreeing.unionByName(stars)), "clusters")
+
+        sizes = materialize(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        members = labelled(clusters.join(sized(sizes), "root").select(F.col("root").alias("cluster"), "v", "n"))
+        blocks = materialize(_blocks(members, "cluster"), "blocks")
+        sets = _full_sets(docs, blocks, classes, shingle)
+        confirmed = (
+            blocks.join(sets, "v").select("cluster", "p", "q", "block", "v", "label", "shingles")
+            .repartition(parts, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+            .mapInArrow(lambda it: _confirmed(it, percent), "a binary, b binary")
+        )
+        linked = components(confirmed.unionByName(stars))
+
+        rooted = classes.select("v", "first_id").join(linked, "v", "left").select("v", "first_id", F.coalesce("root", "v").alias("root"))
+        rooted = materialize(rooted, "rooted")
+        best = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "best")
+        answer = materialize(rooted.join(sized(best), "root").select("v", "root", "component_id"), "answer")
+        tables.keep(answer)
+    return signed, answer

@@ -31,14 +31,50 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+class Tables:
+    """The tables that are materialized inside a ``with``: at its end all but the kept ones are deleted."""
+
+    open: list[Tables] = []
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> Tables:
+        Tables.open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Tables.open.remove(self)
+        for spark, path in self.paths:
+            if path not in self.kept:
+                delete(spark, path)
+        # those that stay are the next outer one's
+        if Tables.open:
+            Tables.open[-1].paths += [p for p in self.paths if p[1] in self.kept]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Tables as ``materialize`` returned them."""
+        self.kept |= {t.tessera_path for t in tables}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again.
 
     Unlike a cache, the table outlives the executors, and its size is known when joins are planned.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(f"{folder}/{name}")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.tessera_path = folder
+    if Tables.open:
+        Tables.open[-1].paths.append((df.sparkSession, folder))
+    return out
 
 
 def sized(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
