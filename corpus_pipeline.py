@@ -6,6 +6,7 @@ Each stage takes the documents that its predecessor kept; ``run`` writes them be
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,7 @@ from tessera.llm.decontam import without_contaminated
 from tessera.llm.mixing import taken
 from tessera.llm.neardup import without_near_duplicates
 from tessera.llm.queries import LANGUAGES, labelled_languages, tokenizer_file
-from tessera.llm.support import materialize, shared_folder
+from tessera.llm.support import Tables, delete, materialize, shared_folder
 from tessera.llm.tokens import read_shards, write_shards
 from tessera.llm.toxicity import without_toxic
 from tessera.shipping import ship
@@ -27,6 +28,30 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The tables that the last stage worked on.
+_LAST = Tables()
+
+
+def stage(work: Stage) -> Stage:
+    """A stage that first deletes the tables that the one before it worked on: its result was written since, as ``docs`` shows."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _LAST.paths else []
+        for session, path in [p for p in _LAST.paths if not any(p[1].split("://")[-1].lstrip("/") in f for f in read)]:
+            delete(session, path)
+            _LAST.paths.remove((session, path))
+        Tables.open.append(_LAST)
+        try:
+            return work(spark, docs, sf_dir)
+        finally:
+            Tables.open.remove(_LAST)
+
+    return run_stage
+
+
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject.
 
@@ -36,6 +61,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, _read(spark, sf_dir, "labels"))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles, similarity 0.8 or more), the one of the smallest doc_id.
 
@@ -46,6 +72,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item.
 
@@ -55,6 +82,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without_contaminated(docs, _read(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as brings the languages' tokens to their target shares.
 
@@ -65,6 +93,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken(docs, labelled_languages(docs, labels), LANGUAGES, floor=1.0)
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards, read back: where each document's ids begin, how many there are, and their crc32.
 
@@ -75,7 +104,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return read_shards(spark, folder)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
@@ -89,7 +118,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; every stage's result is written to the shared folder and read again."""
-    docs = _read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, held = _read(spark, sf_dir, "documents"), None
+    for name, work in STAGES:
+        last = name == STAGES[-1][0]
+        docs = work(spark, docs, sf_dir) if last else materialize(work(spark, docs, sf_dir), name)
+        if held:  # its rows are in the table that was just written, or in the shards
+            delete(spark, held)
+        held = None if last else docs.tessera_path
+    return docs
