@@ -1,14 +1,15 @@
 """Toxicity: a support vector machine over a gapped subsequence kernel, with Nystroem landmarks.
 
-The kernel of two words counts the three-letter subsequences they share, a gap costing a factor for each letter
-it spans, over their norms; a word begins with a mark of its own, so that a stem at its start counts for more.
+The kernel of two words counts the subsequences they share, over their norms: of three letters, a gap costing a factor for
+each letter it spans, and of five letters, one of which may follow a gap.  A word begins with a mark of its own, so that
+a stem at its start counts for more.
 Characters that are no letters are dropped from a word, and single letters in a row are read as one word: dots,
 digits and spaces inside an insult change nothing, inserted letters little.
 
-A sentence is as toxic as its worst word, and a document as its worst sentence.  Training sees labelled texts
+A text is judged by the decisions of its three worst words, through a logistic curve.  Training sees labelled texts
 only: a word is an example of either side, by the shares of toxic and clean texts that have it, and in turn the
 worst words of clean texts are added, for a linear machine in the landmarks' space (K_nm K_mm^-1/2).  As the kernel is a sum over
-subsequences, the machine folds into one weight for each subsequence: scoring takes six look-ups a letter.
+subsequences, the machine folds into one weight for each subsequence (hashed for five letters): scoring takes eleven look-ups a letter.
 """
 
 from __future__ import annotations
@@ -29,10 +30,15 @@ SAMPLE = 3_000
 LANDMARKS = 320
 #: How much more a clean text's word counts than a toxic one's.
 CAUTION = 2.0
+#: Words whose decisions a text is judged by.
+WORST = 3
 DECAY = 0.7
-#: Letters that a subsequence may span beyond its first.
-SPAN = 4
-_GAPS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
+#: Places of a subsequence's letters and its weight: three letters over a span of five, where each letter that the span is
+#: longer costs DECAY; and five letters, one of which may follow a gap.  The latter tell stems apart, the former short words.
+SPAN = 5
+_THREE = [((0, a, b), DECAY**b) for b in range(2, 5) for a in range(1, b)]
+_FIVE = [((0, 1, 2, 3, 4), 1.0), *((tuple(p for p in range(6) if p != gap), DECAY) for gap in (1, 2, 3, 4))]
+PATTERNS = [*_THREE, *_FIVE]
 
 #: Symbols: 0 begins a word, 1-26 letters of either case, 27-58 bytes beyond ASCII; 255 is dropped.
 SYMBOLS = 59
@@ -41,6 +47,9 @@ _SYMBOL[[*range(65, 91)]] = np.arange(1, 27)
 _SYMBOL[[*range(97, 123)]] = np.arange(1, 27)
 _SYMBOL[128:] = 27 + (np.arange(128, 256) & 31)
 _SYMBOL[K.SPACES] = 0
+#: Weights that a machine holds: one for each three symbols, and hashed ones for five.
+HASHED = 1 << 21
+WEIGHTS = SYMBOLS**3 + HASHED
 
 
 class Stream:
@@ -85,21 +94,27 @@ class Stream:
 
 def _norms(length: np.ndarray) -> np.ndarray:
     """Of a word by its length: the root of its subsequences' squared weights."""
-    total = sum((DECAY ** (2 * b)) * np.maximum(length - b, 0) for _, b in _GAPS)
+    total = sum(weight**2 * np.maximum(length - places[-1], 0) for places, weight in PATTERNS)
     return np.sqrt(np.maximum(total, 1e-12))
 
 
-def subsequences(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each pair of gaps: the span, and code and validity of the subsequence that begins at each symbol."""
-    s = symbols.astype(np.int32)
+def subsequences(symbols: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """For each pattern: its weight, and code and validity of the subsequence that begins at each symbol."""
+    s = symbols.astype(np.int64)
     inner = np.ones(len(s), bool)
     inside: dict[int, np.ndarray] = {}
     for d in range(1, SPAN + 1):
         inner = inner[: len(s) - d] & (s[d:] != 0) if len(s) > d else np.zeros(0, bool)
         inside[d] = inner
-    for a, b in _GAPS:
-        n = max(0, len(s) - b)
-        yield b, s[:n] * (SYMBOLS * SYMBOLS) + s[a : a + n] * SYMBOLS + s[b : b + n], inside[b]
+    for places, weight in PATTERNS:
+        n = max(0, len(s) - places[-1])
+        code = s[:n]
+        for p in places[1:]:
+            code = code * SYMBOLS + s[p : p + n]
+        if len(places) > 3:
+            # the top bits of a multiplication spread the codes evenly
+            code = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 21)).astype(np.int64) + SYMBOLS**3
+        yield weight, code, inside[places[-1]]
 
 
 @dataclass
@@ -113,23 +128,29 @@ class Model:
     def words(self, stream: Stream) -> np.ndarray:
         """The machine's decision for each word."""
         total = np.zeros(len(stream.symbols), np.float32)
-        for b, code, inside in subsequences(stream.symbols):
-            total[: len(code)] += self.weights[code] * inside * np.float32(DECAY**b)
+        for weight, code, inside in subsequences(stream.symbols):
+            total[: len(code)] += self.weights[code] * inside * np.float32(weight)
         if not len(stream.start):
             return np.zeros(0)
         return np.add.reduceat(total, stream.start) / _norms(stream.length) + self.bias
 
     def documents(self, stream: Stream, n: int) -> np.ndarray:
-        """The worst word's decision of each document; the bias of one without words."""
-        worst = np.full(n, self.bias)
+        """The decisions of the worst words of each document, the worst first: a row of WORST; the bias where words are missing."""
+        worst = np.full((n, WORST), self.bias)
         decision = self.words(stream)
         if len(decision):
             first = np.flatnonzero(np.diff(stream.doc, prepend=-1))
-            worst[stream.doc[first]] = np.maximum.reduceat(decision, first)
+            doc, size = stream.doc[first], np.diff(first, append=len(decision))
+            for turn in range(WORST):
+                best = np.maximum.reduceat(decision, first)
+                some = np.isfinite(best)
+                worst[doc[some], turn] = best[some]
+                # every occurrence of each document's worst word goes: words count once
+                decision[decision == np.repeat(best, size)] = -np.inf
         return worst
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(decision * self.curve[0] + self.curve[1], -40, 40)))
+    def probability(self, decisions: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(decisions @ self.curve[:-1] + self.curve[-1], -40, 40)))
 
 
 def _stream_of(words: list[bytes]) -> Stream:
@@ -147,9 +168,9 @@ def _features(words: list[bytes], codes: np.ndarray | None) -> tuple[np.ndarray,
     stream = _stream_of(words)
     owner = np.repeat(np.arange(len(words)), stream.length)
     rows, cols, vals = [], [], []
-    for b, code, inside in subsequences(stream.symbols):
+    for weight, code, inside in subsequences(stream.symbols):
         at = np.flatnonzero(inside)
-        rows.append(owner[at]), cols.append(code[at]), vals.append(np.full(len(at), DECAY**b))
+        rows.append(owner[at]), cols.append(code[at]), vals.append(np.full(len(at), weight))
     row, col, val = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
     if codes is None:
         codes = np.unique(col)
@@ -193,7 +214,7 @@ def fit(texts: Iterable[tuple[int, list[bytes]]], *, landmarks: int = LANDMARKS,
     docs = [(y, d) for y, d in every if len(d)]
     toxic, clean = [d for y, d in docs if y], [d for y, d in docs if not y]
     share = sum(y for y, _ in every) / max(1, len(every))
-    blank = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, np.array([0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
+    blank = Model(np.zeros(WEIGHTS, np.float32), 0.0, np.append(np.zeros(WORST), np.log((share + 1e-3) / (1 - share + 1e-3))))
     if not toxic or not clean:
         return blank
     words, n = list(number), len(number)
@@ -231,11 +252,12 @@ def fit(texts: Iterable[tuple[int, list[bytes]]], *, landmarks: int = LANDMARKS,
         y = np.repeat([1.0, -1.0], len(rows))
         some = both > 0
         w, bias = _machine(np.vstack([z, z])[some], y[some], both[some])
-        table = np.zeros(SYMBOLS**3, np.float32)
+        table = np.zeros(WEIGHTS, np.float32)
         table[codes] = phi.T @ (root @ w)
         model = Model(table, bias, blank.curve)
         decision = model.words(whole)
-    model.curve = _logistic(np.array([[decision[d].max()] for _, d in docs]), np.array([y for y, _ in docs], float))
+    top = [np.sort(decision[d])[::-1][:WORST] for _, d in docs]
+    model.curve = _logistic(np.array([np.append(t, np.full(WORST - len(t), model.bias)) for t in top]), np.array([y for y, _ in docs], float))
     return model
 
 

@@ -111,10 +111,51 @@ def test_inserted_letters(spark):
     model = toxicity.train(docs, labels)
     texts = [b"a quiet river", b"you idxiot there", b"i.d.i.o.t", b"plain i d i o t walk"]
     off = np.cumsum([0, *map(len, texts)])
-    shown = model.documents(toxicity.Stream(np.frombuffer(b"".join(texts), np.uint8), off), 4)
+    shown = model.documents(toxicity.Stream(np.frombuffer(b"".join(texts), np.uint8), off), 4)[:, 0]
     assert shown[0] < min(shown[1:])
 
 
+def plain_subsequences(word):
+    """Code and weight of each subsequence of a word's symbols, by loops over their places."""
+    out = {}
+    for a in range(len(word)):
+        for b in range(a + 1, len(word)):
+            for c in range(b + 1, len(word)):
+                if c - a <= 4:
+                    out.setdefault((word[a], word[b], word[c]), []).append(toxicity.DECAY ** (c - a))
+        for skipped in (None, 1, 2, 3, 4):
+            places = [a + p for p in range(6 if skipped else 5) if p != skipped]
+            if places[-1] < len(word):
+                out.setdefault(tuple(word[p] for p in places), []).append(toxicity.DECAY if skipped else 1.0)
+    return out
+
+
+def test_subsequence_kernel():
+    """The kernel, its norm and the folded weights against their definitions."""
+    words = [bytes([0, *(c - 96 for c in w)]) for w in (b"idiot", b"idxiot", b"ox", b"meadows", b"banana")]
+    plain = [plain_subsequences(w) for w in words]
+    for w, p in zip(words, plain):
+        assert toxicity._norms(np.array([len(w)]))[0] ** 2 == pytest.approx(max(1e-12, sum(x * x for xs in p.values() for x in xs)))
+    phi, codes = toxicity._features(words, None)
+    kernel = [[sum(sum(x[k]) * sum(y[k]) for k in x.keys() & y.keys()) for y in plain] for x in plain]
+    norms = toxicity._norms(np.array([len(w) for w in words]))
+    assert phi @ phi.T == pytest.approx(np.array(kernel) / norms[:, None] / norms)
+    weights = np.random.default_rng(1).normal(size=len(codes))
+    table = np.zeros(toxicity.WEIGHTS, np.float32)
+    table[codes] = weights
+    model = toxicity.Model(table, 0.25, np.zeros(4))
+    assert model.words(toxicity._stream_of(words)) == pytest.approx(phi @ weights + 0.25, abs=1e-5)
+
+
+def test_nystroem_map():
+    """On the landmarks the map's inner products are the kernel."""
+    words = [bytes([0, *(c - 96 for c in w)]) for w in (b"river", b"stones", b"cloudy", b"lantern")]
+    phi, _ = toxicity._features(words, None)
+    value, vector = np.linalg.eigh(phi @ phi.T)
+    z = phi @ phi.T @ (vector @ np.diag(1 / np.sqrt(value)) @ vector.T)
+    assert z @ z.T == pytest.approx(phi @ phi.T)
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     rows = quality.score_quality(docs, labels).collect()
