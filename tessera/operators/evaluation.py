@@ -58,7 +58,7 @@ def rag_report(rows: DataFrame) -> DataFrame:
     """A generation report by cell: a missing judge's metric of an answerable row counts as 0; refusals of the others."""
     judged = [F.round(F.avg(F.when(F.col("answerable"), F.coalesce(F.col(c), F.lit(0.0)))), 6).alias(c) for c in ("faithfulness", "context_precision", "context_recall", "relevancy")]
     refused = F.round(F.avg(F.when(~F.col("answerable"), F.col("refused").cast("int"))), 6)
-    unanswerable = F.count_distinct(F.when(~F.col("answerable"), F.col("qid"))).alias("n_unanswerable") if "qid" in rows.columns else F.sum((~F.col("answerable")).cast("long")).alias("n_unanswerable")
+    unanswerable = F.sum((~F.col("answerable")).cast("long")).alias("n_unanswerable")
     return rows.groupBy(*CELL).agg(*judged, unanswerable, refused.alias("refusal_rate"), F.round(F.avg("usd"), 9).alias("usd"), F.round(percentile(F.col("serving_ms"), 0.5), 6).alias("p50_ms"), F.round(percentile(F.col("serving_ms"), 0.95), 6).alias("p95_ms"))
 
 

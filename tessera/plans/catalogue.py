@@ -369,7 +369,7 @@ def winner(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RAG = f"""WITH {_CELL_SQL}, rep AS (SELECT strategy, mode, rerank, {", ".join(f"round(avg(CASE WHEN answerable THEN coalesce({c}, 0) END), 6) AS {c}" for c in ("faithfulness", "context_precision", "context_recall", "relevancy"))},
-  round(avg(CASE WHEN NOT answerable THEN CAST(refused AS INT) END), 6) AS refusal_rate, round(avg(usd), 9) AS usd, round(quantile_cont(serving_ms, 0.5), 6) AS p50_ms, round(quantile_cont(serving_ms, 0.95), 6) AS p95_ms FROM rows GROUP BY strategy, mode, rerank)"""
+  round(avg(CASE WHEN NOT answerable THEN CAST(refused AS INT) END), 6) AS refusal_rate, CAST(sum(CASE WHEN answerable THEN 0 ELSE 1 END) AS BIGINT) AS n_unanswerable, round(avg(usd), 9) AS usd, round(quantile_cont(serving_ms, 0.5), 6) AS p50_ms, round(quantile_cont(serving_ms, 0.95), 6) AS p95_ms FROM rows GROUP BY strategy, mode, rerank)"""
 
 
 @query(f"{_RAG} SELECT * FROM rep")
