@@ -230,7 +230,6 @@ def fit(texts: Iterable[tuple[int, list[bytes]]], *, landmarks: int = LANDMARKS,
     phi, codes = _features([words[i] for i in marks], None)
     value, vector = np.linalg.eigh(phi @ phi.T)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    whole = _stream_of(words)
     # a word stands on both sides, weighed by the shares of toxic and of clean texts that have it
     often = [i for i in ranked if p[i] > 1 and odds[i] > 1][:1500] + np.lexsort((np.arange(n), -q))[:1500].tolist()
     plus = np.zeros(n)
@@ -247,7 +246,7 @@ def fit(texts: Iterable[tuple[int, list[bytes]]], *, landmarks: int = LANDMARKS,
             plus[fresh] = p[fresh] / len(toxic)
             minus = np.maximum(minus, CAUTION * np.where(new > 0, np.maximum(new, q), 0) / len(clean))
         rows = np.flatnonzero(plus + minus)
-        z = np.vstack([_features([words[i] for i in rows[at : at + 512]], codes)[0] @ phi.T for at in range(0, len(rows), 512)]) @ root
+        z = np.vstack([_features([words[i] for i in rows[at : at + 128]], codes)[0] @ phi.T for at in range(0, len(rows), 128)]) @ root
         both = np.concatenate([plus[rows], minus[rows]])
         y = np.repeat([1.0, -1.0], len(rows))
         some = both > 0
@@ -255,7 +254,8 @@ def fit(texts: Iterable[tuple[int, list[bytes]]], *, landmarks: int = LANDMARKS,
         table = np.zeros(WEIGHTS, np.float32)
         table[codes] = phi.T @ (root @ w)
         model = Model(table, bias, blank.curve)
-        decision = model.words(whole)
+        # some words at a time: the driver holds little beside them
+        decision = np.concatenate([model.words(_stream_of(words[at : at + 20_000])) for at in range(0, n, 20_000)])
     top = [np.sort(decision[d])[::-1][:WORST] for _, d in docs]
     model.curve = _logistic(np.array([np.append(t, np.full(WORST - len(t), model.bias)) for t in top]), np.array([y for y, _ in docs], float))
     return model
