@@ -6,6 +6,7 @@ number of executors; ties go to the smaller id.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -83,6 +84,12 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
 
 
+def _words(terms: DataFrame) -> tuple[list[str], bool]:
+    """The distinct terms of all queries, and whether the queries' terms are few enough to travel; one job, bounded rows."""
+    rows = terms.limit(BROADCAST_ROWS + 1).collect()
+    return sorted({r["term"] for r in rows}), len(rows) <= BROADCAST_ROWS
+
+
 def _weights(df: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, idf, avgdl): the idf that is never negative.  ``stats`` is one row."""
     return df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
@@ -112,17 +119,16 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k: int | None = 10, k1: float =
     without a match fill up the ranking in order of their ids, with a score of 0.
     """
     terms = _asked(queries)
-    asked = terms.select("term").distinct()
     # the queries' words, if they are few, are looked up while a text is read: only counts of those leave its row
-    words = [r["term"] for r in asked.limit(BROADCAST_ROWS + 1).collect()]
+    words, few = _words(terms)
     tokens = docs.select("id", T.search_tokens(F.col("text")).alias("tokens"))
-    matched = F.filter("tokens", lambda t: t.isin(words)) if len(words) <= BROADCAST_ROWS else F.col("tokens")
+    matched = F.filter("tokens", lambda t: t.isin(words)) if few else F.col("tokens")
     held = tokens.select("id", F.size("tokens").alias("dl"), counted(matched).alias("terms")).repartition("id")
     stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     tf = held.select("id", "dl", F.inline("terms"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     wanted = terms.join(_weights(df, stats), "term")
-    wanted = F.broadcast(wanted) if len(words) <= BROADCAST_ROWS and queries.count() <= BROADCAST_ROWS else wanted
+    wanted = F.broadcast(wanted) if few else wanted
     # documents lie by id: scores are summed where they are, and k rows a query leave
     postings = tf if allowed is None else tf.join(allowed.select("id"), "id", "left_semi")
     pool = docs if allowed is None else docs.join(allowed.select("id"), "id", "left_semi")
@@ -134,7 +140,8 @@ TERM_PARTS = 64
 
 
 def _term_part(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
+    """crc32, so that a driver knows a term's part without a job."""
+    return (F.crc32(term.cast("binary")) % TERM_PARTS).cast("int")
 
 
 def save_index(docs: DataFrame, folder: str, *, k1: float = K1, b: float = B, payload: list[str] | None = None) -> None:
@@ -165,14 +172,14 @@ class SparseIndex:
     def search(self, queries: DataFrame, *, k: int | None = 10, allowed: DataFrame | None = None) -> DataFrame:
         """As ``bm25``: only the folders of the queries' terms are read."""
         terms = _asked(queries)
-        words = [r["term"] for r in terms.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()]
+        words, few = _words(terms)
         postings, df = self.read("postings"), self.read("terms")
-        if len(words) <= BROADCAST_ROWS:
-            parts = [r["part"] for r in self.spark.createDataFrame([(w,) for w in words], "term string").select(_term_part(F.col("term")).alias("part")).distinct().collect()]
+        if few:
+            parts = sorted({zlib.crc32(w.encode()) % TERM_PARTS for w in words})
             scope = F.col("part").isin(parts) & F.col("term").isin(words) if words else F.lit(False)
             postings, df = postings.where(scope), df.where(scope)
         wanted = terms.join(_weights(df.select("term", "df"), self.read("stats").select("n", "avgdl")), "term")
-        wanted = F.broadcast(wanted) if len(words) <= BROADCAST_ROWS and queries.count() <= BROADCAST_ROWS else wanted
+        wanted = F.broadcast(wanted) if few else wanted
         ids = self.read("rows").select("id")
         if allowed is not None:
             postings, ids = postings.join(allowed.select("id"), "id", "left_semi"), ids.join(allowed.select("id"), "id", "left_semi")
