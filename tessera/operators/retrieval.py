@@ -303,12 +303,15 @@ def rrf(rankings: list[DataFrame], *, rrf_k: int = RRF_K, k: int | None = None)
     """Reciprocal rank fusion: a document counts once in each ranking, by its best rank."""
     if not rankings:
         raise ValueError("nothing to fuse")
-    each = [r.groupBy("qid", "id").agg(F.min("rank").alias("rank")) for r in rankings]
+    # grouped by one struct, that no ranking is partitioned by: Spark 4.1 plans a union of rankings as partitioned by qid, without
+    # an exchange, but concatenates it if a ranking's exchange is reused, and a document's ranks would stay apart
+    key = F.struct("qid", "id").alias("_key")
+    each = [r.groupBy("qid", "id").agg(F.min("rank").alias("rank")).select(key, "rank") for r in rankings]
     union = each[0]
     for r in each[1:]:
         union = union.unionByName(r)
-    scores = union.groupBy("qid", "id").agg(F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 9).alias("score"))
-    return ranked(scores, k)
+    scores = union.groupBy("_key").agg(F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 9).alias("score"))
+    return ranked(scores.select("_key.qid", "_key.id", "score"), k)
 
 
 def rerank_identity(ranking: DataFrame, k: int) -> DataFrame:

@@ -52,6 +52,20 @@ def test_rrf_counts_once(spark):
     assert len(out) == 1 and out[0]["score"] == pytest.approx(1 / 61, abs=1e-9)
 
 
+def test_rrf_beside_its_rankings(spark):
+    """In one plan with a ranking that it is made of, whose exchange it reuses, a fusion still counts a document once."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 17}x" for j in range(1, 2 + i % 7))) for i in range(60)], "id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q}x w{q + 3}x w{2 * q}x") for q in range(8)], "qid long, text string")
+    dense, sparse = R.dense_hashed(docs, asked, k=10), R.bm25(docs, asked, k=10)
+    fused = R.rrf([dense, sparse], k=10)
+    cells = [R.rerank_lexical(hits, docs, asked, 50).select("qid", "id", F.lit(name).alias("cell")) for name, hits in (("dense", dense), ("fused", fused))]
+    scores = {}
+    for r in dense.collect() + sparse.collect():
+        scores.setdefault(r["qid"], {}).setdefault(r["id"], []).append(1 / (60 + r["rank"]))
+    best = [(q, i) for q, of in scores.items() for i in sorted(of, key=lambda i: (-round(sum(of[i]), 9), i))[:10]]
+    assert sorted((r["qid"], r["id"]) for r in cells[0].unionByName(cells[1]).collect() if r["cell"] == "fused") == sorted(best)
+
+
 def test_identity(spark):
     assert order(R.rerank_identity(ranking(spark, 3, 1, 2), 2)) == [3, 1]
 
